@@ -151,7 +151,7 @@ PROBS = [0.01, 0.25, 0.5, 0.75, 0.99]
 
 
 @query("quantiles", "G8", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", {p} AS prob, {R(f'quantile_cont({c}, {p})')} AS value FROM ({S.HOURLY})"
+    f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS prob, {R(f'quantile_cont({c}, {p})')} AS value FROM ({S.HOURLY})"
     for c in TYPES for p in PROBS))
 def quantiles(spark, d):
     return profile.quantiles(D.hourly_wide(spark, d), TYPES, PROBS)
@@ -196,7 +196,7 @@ LIMITS = {"error": 40.0, "click": 45.0, "view": 100.0, "purchase": 15.0}
 
 
 @query("limit_exceedance", "P11", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", {v} AS limit_value, count(*) FILTER (WHERE {c} > {v}) AS n_exceed, "
+    f"SELECT '{c}' AS \"column\", CAST({v} AS DOUBLE) AS limit_value, count(*) FILTER (WHERE {c} > {v}) AS n_exceed, "
     f"{R(f'count(*) FILTER (WHERE {c} > {v}) * 100.0 / count({c})')} AS exceed_pct FROM ({S.HOURLY})"
     for c, v in LIMITS.items()))
 def limit_exceedance(spark, d):
