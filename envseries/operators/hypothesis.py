@@ -47,9 +47,9 @@ def corr_test(df: DataFrame, a: str, b: str, decimals: int | None = 6) -> DataFr
     row = pr.crossJoin(sp)
     row = row.withColumn("t", t_from_r(F.col("r"), F.col("n"))) \
              .withColumn("t_s", t_from_r(F.col("rho"), F.col("n")))
-    return row.select(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), "n", "r", "t",
-                      t_pvalue(F.col("t"), F.col("n") - 2).alias("p"), "rho",
-                      t_pvalue(F.col("t_s"), F.col("n") - 2).alias("p_rho"))
+    row = row.withColumn("_dof", F.col("n") - 2)
+    row = row.withColumns({"p": t_pvalue("t", "_dof"), "p_rho": t_pvalue("t_s", "_dof")})
+    return row.select(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), "n", "r", "t", "p", "rho", "p_rho")
 
 
 def group_aggregates(df: DataFrame, flag: str, value: str) -> DataFrame:
@@ -72,7 +72,7 @@ def welch_columns(row: DataFrame) -> DataFrame:
     return (row.withColumn("diff", diff)
             .withColumn("t", F.try_divide(diff, F.sqrt(se)))
             .withColumn("dof", dof)
-            .withColumn("p", t_pvalue(F.col("t"), F.col("dof")))
+            .withColumn("p", t_pvalue("t", "dof"))
             .withColumn("cohens_d", F.when(pooled > 0, F.try_divide(diff, pooled)).otherwise(F.lit(0.0))))
 
 
@@ -100,31 +100,63 @@ def verdict(expected: str, effect: Column, p: Column, strength: Column, threshol
 
 def evaluate(df: DataFrame, hypotheses: Sequence[Hypothesis], columns: Mapping[str, str],
              min_group: int = 5) -> DataFrame:
-    """Verdict per hypothesis (H4, H5).  ``columns`` maps variable names to
-    columns of ``df``; an unmapped variable gives ``n/a`` (H4)."""
-    rows = None
-    for h in hypotheses:
+    """Verdict per hypothesis (H4, H5) -- all hypotheses in ONE aggregate pass.
+
+    Correlation hypotheses need Pearson r and n; group hypotheses need
+    per-group n, mean and variance.  All of these are plain aggregates, so
+    every declared test compiles into a single ``agg`` over one scan; t, df,
+    p and the verdict are expressions on that one row, which ``inline``
+    turns into one row per hypothesis.  ``columns`` maps variable names to
+    columns of ``df``; an unmapped variable gives ``n/a`` (H4).
+    """
+    aggs, parts, tstats, pvals = [], [], {}, {}
+    for i, h in enumerate(hypotheses):
         a, b = (columns.get(v) for v in h.variables)
-        if a is None or b is None or a not in df.columns or b not in df.columns:
-            r = df.sparkSession.range(1).select(
-                F.lit(None).cast("double").alias("effect"), F.lit(None).cast("double").alias("p"),
-                F.lit(None).cast("double").alias("strength"), F.lit(None).cast("bigint").alias("n"),
-                F.lit("n/a").alias("verdict"))
+        missing = a is None or b is None or a not in df.columns or b not in df.columns
+        if missing:
+            effect = p = strength = F.lit(None).cast("double")
+            n = F.lit(None).cast("bigint")
+            v = F.lit("n/a")
         elif h.method == "correlation":
-            t = corr_test(df, a, b)
-            r = t.select(F.col("r").alias("effect"), "p", F.col("r").alias("strength"), "n",
-                         verdict(h.expected, F.col("r"), F.col("p"), F.col("r"), 0.10).alias("verdict"))
+            aggs += [pearson(a, b).alias(f"_r{i}"),
+                     F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"_n{i}")]
+            r, n = F.col(f"_r{i}"), F.col(f"_n{i}")
+            tstats[f"_t{i}"], tstats[f"_df{i}"] = t_from_r(r, n), n - 2
+            pvals[f"_p{i}"] = t_pvalue(f"_t{i}", f"_df{i}")
+            p = F.col(f"_p{i}")
+            effect = strength = r
+            v = verdict(h.expected, r, p, r, 0.10)
         else:
-            t = welch_test(df, a, b)
-            skip = (F.col("n0") < min_group) | (F.col("n1") < min_group)
-            r = t.select(F.col("diff").alias("effect"), "p", F.col("cohens_d").alias("strength"),
-                         (F.col("n0") + F.col("n1")).alias("n"),
-                         verdict(h.expected, F.col("diff"), F.col("p"), F.col("cohens_d"), 0.20, skip)
-                         .alias("verdict"))
-        r = r.select(F.lit(h.id).alias("id"), F.lit(h.method).alias("method"),
-                     F.lit(h.expected).alias("expected"), "effect", "p", "strength", "n", "verdict")
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
+            def g(k, a=a, b=b):
+                return F.when(F.col(a) == k, F.col(b).cast("double"))
+            aggs += [F.count(g(0)).alias(f"_n0{i}"), F.count(g(1)).alias(f"_n1{i}"),
+                     F.avg(g(0)).alias(f"_m0{i}"), F.avg(g(1)).alias(f"_m1{i}"),
+                     F.var_samp(g(0)).alias(f"_v0{i}"), F.var_samp(g(1)).alias(f"_v1{i}")]
+            n0, n1 = F.col(f"_n0{i}"), F.col(f"_n1{i}")
+            m0, m1 = F.col(f"_m0{i}"), F.col(f"_m1{i}")
+            v0, v1 = F.col(f"_v0{i}"), F.col(f"_v1{i}")
+            se0, se1 = v0 / n0, v1 / n1
+            diff = m1 - m0
+            t = F.try_divide(diff, F.sqrt(se0 + se1))
+            dof = F.try_divide((se0 + se1) * (se0 + se1), se0 * se0 / (n0 - 1) + se1 * se1 / (n1 - 1))
+            tstats[f"_t{i}"], tstats[f"_df{i}"] = t, dof
+            pvals[f"_p{i}"] = t_pvalue(f"_t{i}", f"_df{i}")
+            p = F.col(f"_p{i}")
+            pooled = F.sqrt((v0 + v1) / 2.0)
+            d = F.when(pooled > 0, F.try_divide(diff, pooled)).otherwise(F.lit(0.0))
+            n = n0 + n1
+            effect, strength = diff, d
+            skip = (n0 < min_group) | (n1 < min_group)
+            v = verdict(h.expected, diff, p, d, 0.20, skip)
+        parts.append(F.struct(F.lit(h.id).alias("id"), F.lit(h.method).alias("method"),
+                              F.lit(h.expected).alias("expected"), effect.cast("double").alias("effect"),
+                              p.cast("double").alias("p"), strength.cast("double").alias("strength"),
+                              n.cast("bigint").alias("n"), v.alias("verdict")))
+    row = df.agg(*aggs) if aggs else df.sparkSession.range(1)
+    # p-values in their own projection: each fold is evaluated once and the
+    # verdict rules reference the result column (not copies of the fold)
+    row = row.withColumns(tstats).withColumns(pvals) if pvals else row
+    return row.select(F.inline(F.array(*parts)))
 
 
 def tally(verdicts: DataFrame) -> DataFrame:

@@ -25,13 +25,26 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    if not checkpoint_dir(spark):
-        path = tempfile.mkdtemp(prefix="envseries-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+    configured = checkpoint_dir(spark)
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="envseries-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(configured)
     return spark
 
 
+def materialize(df):
+    """Cut the lineage of a frame that several branches read.
+
+    A reliable checkpoint into the cluster's shared ``spark.checkpoint.dir``
+    (never a local checkpoint): lost executors re-read it instead of
+    recomputing the whole upstream plan.
+    """
+    configure(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder named by the cluster, if any."""
     value = spark.conf.get("spark.checkpoint.dir", None)
