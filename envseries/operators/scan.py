@@ -57,10 +57,10 @@ def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str
     wb = Window.partitionBy(*keys).orderBy(F.col(ts))
     d = d.withColumn("_rn", F.row_number().over(wb))
     rn = F.col("_rn")
-    for c in cols:
-        k = _nn_struct(c, rn)
-        d = d.withColumn(f"_lp_{c}", F.last(k, True).over(wb.rowsBetween(UNB_P, 0)))
-        d = d.withColumn(f"_ln_{c}", F.first(k, True).over(wb.rowsBetween(0, UNB_F)))
+    # one projection: window expressions with the same frame share one operator
+    prev_w, next_w = wb.rowsBetween(UNB_P, 0), wb.rowsBetween(0, UNB_F)
+    d = d.select("*", *[F.last(_nn_struct(c, rn), True).over(prev_w).alias(f"_lp_{c}") for c in cols],
+                 *[F.first(_nn_struct(c, rn), True).over(next_w).alias(f"_ln_{c}") for c in cols])
 
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     for c in cols:
@@ -69,28 +69,25 @@ def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str
     b = d.groupBy(*keys).agg(*aggs)
 
     ws = Window.partitionBy(*series).orderBy("_bk") if series else Window.orderBy("_bk")
-    b = b.withColumn("_off", F.coalesce(F.sum("_cnt").over(ws.rowsBetween(UNB_P, -1)), F.lit(0)))
-    b = b.withColumn("_n", F.sum("_cnt").over(ws.rowsBetween(UNB_P, UNB_F)))
+    before, after, whole = ws.rowsBetween(UNB_P, -1), ws.rowsBetween(1, UNB_F), ws.rowsBetween(UNB_P, UNB_F)
+    off_expr = F.coalesce(F.sum("_cnt").over(before), F.lit(0))
+    b = b.select("*", off_expr.alias("_off"), F.sum("_cnt").over(whole).alias("_n"))
     off = F.col("_off")
-    carried = []
+    carried, wins = [], []
     for c in cols:
         gl = _nn_struct(F.col(f"_bl_{c}.v"), off + F.col(f"_bl_{c}.p"))
         gf = _nn_struct(F.col(f"_bf_{c}.v"), off + F.col(f"_bf_{c}.p"))
-        b = b.withColumn(f"_cp_{c}", F.last(gl, True).over(ws.rowsBetween(UNB_P, -1)))
-        b = b.withColumn(f"_cn_{c}", F.first(gf, True).over(ws.rowsBetween(1, UNB_F)))
+        wins += [F.last(gl, True).over(before).alias(f"_cp_{c}"), F.first(gf, True).over(after).alias(f"_cn_{c}")]
         carried += [f"_cp_{c}", f"_cn_{c}"]
-    b = b.select(*keys, "_off", "_n", *carried)
+    b = b.select(*keys, "_off", "_n", *wins)
 
     out = _join_back(d, b, keys)
-    out = out.withColumn("_pos", F.col("_off") + rn)
+    news = {"_pos": F.col("_off") + rn}
     for c in cols:
         lp, ln = F.col(f"_lp_{c}"), F.col(f"_ln_{c}")
-        out = out.withColumn(
-            f"_prev_{c}",
-            F.coalesce(_nn_struct(lp.getField("v"), off + lp.getField("p")), F.col(f"_cp_{c}")))
-        out = out.withColumn(
-            f"_next_{c}",
-            F.coalesce(_nn_struct(ln.getField("v"), off + ln.getField("p")), F.col(f"_cn_{c}")))
+        news[f"_prev_{c}"] = F.coalesce(_nn_struct(lp.getField("v"), off + lp.getField("p")), F.col(f"_cp_{c}"))
+        news[f"_next_{c}"] = F.coalesce(_nn_struct(ln.getField("v"), off + ln.getField("p")), F.col(f"_cn_{c}"))
+    out = out.withColumns(news)
     drop = ["_bk", "_rn", "_off"] + carried
     drop += [f"_lp_{c}" for c in cols] + [f"_ln_{c}" for c in cols]
     return out.drop(*drop)
@@ -114,6 +111,7 @@ def interpolate(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[st
         raise ValueError(f"unknown mode {mode!r}")
     d = neighbours(df, series, ts, cols, bucket)
     pos = F.col("_pos")
+    filled_cols = {}
     for c in cols:
         pv, pp = F.col(f"_prev_{c}.v"), F.col(f"_prev_{c}.p")
         nv, np_ = F.col(f"_next_{c}.v"), F.col(f"_next_{c}.p")
@@ -127,21 +125,22 @@ def interpolate(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[st
             filled = (F.when(F.col(f"_prev_{c}").isNull() | F.col(f"_next_{c}").isNull(), None)
                       .when(np_ - pp - 1 > limit, None)
                       .otherwise(linear))
-        d = d.withColumn(c, F.coalesce(F.col(c), filled.cast("double")))
-    return _drop_helpers(d, cols)
+        filled_cols[c] = F.coalesce(F.col(c), filled.cast("double"))
+    return _drop_helpers(d.withColumns(filled_cols), cols)
 
 
 def forward_fill(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str],
                  limit: int | None = None, bucket: str = "month") -> DataFrame:
     """Carry the last non-null value forward (optionally at most ``limit`` rows)."""
     d = neighbours(df, series, ts, cols, bucket)
+    filled_cols = {}
     for c in cols:
         prev = F.col(f"_prev_{c}")
         fill = prev.getField("v")
         if limit is not None:
             fill = F.when(F.col("_pos") - prev.getField("p") <= limit, fill)
-        d = d.withColumn(c, F.coalesce(F.col(c), fill))
-    return _drop_helpers(d, cols)
+        filled_cols[c] = F.coalesce(F.col(c), fill)
+    return _drop_helpers(d.withColumns(filled_cols), cols)
 
 
 def null_runs(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str],
