@@ -117,3 +117,17 @@ def rolling_centered(df: DataFrame, col: str, series: Sequence[str] = (), ts: st
                .agg(F.avg("_v").alias("_m"), F.count("_v").alias("_n")))
     res = df.join(shifted, [*series, ts], "left")
     return res.withColumn(out, F.when(F.col("_n") >= min_periods, F.col("_m"))).drop("_m", "_n")
+
+
+def localize_filled(df: DataFrame, ts: str, zone: str, series: Sequence[str] = (),
+                    out: str = "ts_utc", order: str | None = None, bucket: str = "month") -> DataFrame:
+    """Localise wall clocks (T5), then fill the instants that came out null
+    (ambiguous fall-back hours) with the previous row's instant (T6).
+
+    Rows are ordered by ``order`` (default: the wall clock itself); the fill
+    is the segmented forward fill, so no whole-series window is used.
+    """
+    from ..functions.timecols import localize
+    from .scan import forward_fill
+    d = df.withColumn(out, localize(ts, zone))
+    return forward_fill(d, series, order or ts, [out], bucket=bucket)

@@ -319,3 +319,11 @@ def lag_values(spark, d):
     h = D.hourly_wide(spark, d).select("ts", "click")
     h = scan.lag_rows(h, [], "ts", "click", 1)
     return scan.lag_rows(h, [], "ts", "click", 3)
+
+
+@query("localize_filled", "T5 T6 W6", """
+SELECT event_id, ts, CAST(last_value(CAST(timezone('UTC', timezone('Europe/Zurich', ts)) AS TIMESTAMP) IGNORE NULLS)
+       OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS TIMESTAMP) AS ts_utc FROM events""")
+def localize_filled(spark, d):
+    e = D.events(spark, d).select("event_id", "ts")
+    return timeline.localize_filled(e, "ts", D.ZONE, bucket="day")

@@ -44,3 +44,15 @@ def test_table_round_trip_partitioned(spark):
     assert back.filter("year = 2024").count() == 1
     sinks.write_report(df, os.path.join(d, "r"))
     assert spark.read.json(os.path.join(d, "r")).count() == 2
+
+
+def test_wide_csv_first_column_becomes_timestamp(spark):
+    from pyspark.sql import types as T
+    d = tempfile.mkdtemp(prefix="envseries-test-")
+    path = os.path.join(d, "wide.csv")
+    with open(path, "w") as f:
+        f.write("Datum,NO,PM2.5\n2023-01-01 00:00:00,3.5,NaN\n2023-01-01 01:00:00,,2.0\n")
+    schema = T.StructType([T.StructField("Datum", T.StringType()), T.StructField("NO", T.DoubleType()),
+                           T.StructField("pm25", T.DoubleType())])
+    rows = readers.read_wide_csv(spark, path, schema).orderBy("timestamp").collect()
+    assert rows[0].timestamp == dt.datetime(2023, 1, 1) and rows[0].pm25 is None and rows[1].NO is None
