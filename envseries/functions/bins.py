@@ -61,3 +61,16 @@ def equal_width_bucket(x: str | Column, lo: Column, hi: Column, bins: int) -> Co
     width = (hi - lo) / bins
     b = F.when(hi == lo, 0).otherwise(F.floor((v - lo) / width))
     return F.least(b, F.lit(bins - 1)).cast("int")
+
+
+def value_bucket(v: Column) -> Column:
+    """Order-preserving bucket of a double: sign, binary exponent and 16
+    mantissa slices, so ``a <= b`` implies ``bucket(a) <= bucket(b)``.
+
+    Used to cut a sort over distinct values into independent segments.
+    """
+    av = F.abs(v)
+    e = F.floor(F.log2(av))
+    m = F.floor((av / F.pow(F.lit(2.0), e) - 1.0) * 16)
+    mag = (e + 1100) * 16 + m
+    return F.when(v > 0, mag + 100000).when(v < 0, -mag - 100000).otherwise(F.lit(0)).cast("bigint")

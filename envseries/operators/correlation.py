@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bins import value_bucket
 from ..functions.stats import pearson
 from . import scan
 
@@ -36,14 +37,7 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str
     return row.select(F.inline(F.array(*parts)))
 
 
-def _value_bucket(v: Column) -> Column:
-    """Order-preserving bucket of a double: sign, binary exponent and 16
-    mantissa slices.  ``a <= b`` implies ``bucket(a) <= bucket(b)``."""
-    av = F.abs(v)
-    e = F.floor(F.log2(av))
-    m = F.floor((av / F.pow(F.lit(2.0), e) - 1.0) * 16)
-    mag = (e + 1100) * 16 + m
-    return F.when(v > 0, mag + 100000).when(v < 0, -mag - 100000).otherwise(F.lit(0)).cast("bigint")
+_value_bucket = value_bucket
 
 
 def average_rank(df: DataFrame, value: str, groups: Sequence[str] = (), out: str = "rank") -> DataFrame:

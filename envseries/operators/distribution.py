@@ -11,22 +11,31 @@ from ..functions.bins import sector
 
 
 def box_stats(df: DataFrame, value: str, group: Sequence[str], k: float = 1.5,
-              approx: bool = False) -> DataFrame:
+              approx: bool = False, method: str = "percentile") -> DataFrame:
     """Box-plot numbers per group (G16 / G17): quartiles, whiskers (the most
     extreme values inside the 1.5 IQR fences), outlier count, mean, n.
 
     Pass 1: quartiles per group; pass 2: fence-conditional min / max / count
     after joining the per-group quartile row back (one row per group).
+    ``method="rank"`` finds the exact quartiles by rank (``quantile.py``)
+    instead of buffering every value of a group: use it when a group is a
+    large share of a raw table.
     """
     group = list(group)
     d = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if approx:
+    if method == "rank":
+        from .quantile import rank_quantiles_wide
+        q = rank_quantiles_wide(d, "_v", [0.25, 0.5, 0.75], ["q1", "median", "q3"], group)
+        m = d.groupBy(*group).agg(F.avg("_v").alias("mean"))
+        q = (q.join(m, group) if group else q.crossJoin(m)).select(*group, "q1", "median", "q3", "mean", "n")
+    elif approx:
         qs = F.percentile_approx("_v", [0.25, 0.5, 0.75], 10000)
     else:
         qs = F.percentile("_v", [0.25, 0.5, 0.75])
-    q = d.groupBy(*group).agg(qs.alias("_q"), F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
-    q = q.select(*group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"), "mean", "n")
+    if method != "rank":
+        q = d.groupBy(*group).agg(qs.alias("_q"), F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
+        q = q.select(*group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                     F.col("_q")[2].alias("q3"), "mean", "n")
     q = q.withColumn("_lo", F.col("q1") - k * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + k * (F.col("q3") - F.col("q1")))
     j = d.join(q, group) if group else d.crossJoin(F.broadcast(q))

@@ -164,13 +164,13 @@ FROM d JOIN q USING ({group_name}) GROUP BY q.{group_name}, q1, median, q3, mean
 @query("box_by_month", "G16", _box_sql("orders", "o_totalprice", "month(o_orderdate)", "month", "INTEGER"))
 def box_by_month(spark, d):
     o = D.table(spark, d, "orders").select(F.month("o_orderdate").cast("int").alias("month"), "o_totalprice")
-    return distribution.box_stats(o, "o_totalprice", ["month"])
+    return distribution.box_stats(o, "o_totalprice", ["month"], method="rank")
 
 
 @query("box_by_season", "G17", _box_sql("orders", "o_totalprice", S.season_sql("month(o_orderdate)"), "season"))
 def box_by_season(spark, d):
     o = features.calendar_features(D.table(spark, d, "orders"), "o_orderdate")
-    return distribution.box_stats(o, "o_totalprice", ["season"])
+    return distribution.box_stats(o, "o_totalprice", ["season"], method="rank")
 
 
 def _hist_sql(src: str, value: str, bins: int, group: str | None = None, density: bool = False) -> str:

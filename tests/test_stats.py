@@ -105,3 +105,19 @@ def test_forest_learns_signal_and_is_repeatable(spark):
     _, p2, _ = models.fit_predict(train, test, "y", ["a", "b"], "forest")
     assert m1.r2 > 0.5
     assert models.regression_metrics(p2, "y", "rf").first().r2 == m1.r2
+
+
+def test_rank_quantiles_equal_percentile(spark):
+    from envseries.operators.quantile import rank_quantiles
+    rng = np.random.default_rng(9)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 3000), np.round(rng.normal(0, 50, 3000), 1))]
+    rows += [(3, 7.0)] + [(4, float(v)) for v in (-2.0, -2.0, 5.0, 1e6)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {(r.g, r.prob): r.value for r in rank_quantiles(df, "v", probs, ["g"]).collect()}
+    ref = df.groupBy("g").agg(F.percentile("v", probs).alias("q")).collect()
+    for r in ref:
+        for p, q in zip(probs, r.q):
+            assert got[(r.g, p)] == pytest.approx(q, rel=1e-12, abs=1e-12)
+    whole = {r.prob: r.value for r in rank_quantiles(df, "v", [0.5]).collect()}
+    assert whole[0.5] == pytest.approx(df.agg(F.median("v")).first()[0])
