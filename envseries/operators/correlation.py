@@ -74,13 +74,16 @@ def _pair_long(df: DataFrame, pairs: Sequence[tuple[str, str]], decimals: int |
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None,
-                    decimals: int | None = 6) -> DataFrame:
+                    decimals: int | None = 6, materialize: bool = False) -> DataFrame:
     """Spearman rho for every pair (C2): average ranks on the pair's complete
     rows, then Pearson of the ranks.  Inputs are rounded to ``decimals`` so
     that float noise neither creates nor breaks ties.
     """
     pairs = list(pairs) if pairs is not None else _pairs(cols)
     long = _pair_long(df, pairs, decimals)
+    if materialize:
+        from ..session import materialize as _mat
+        long = _mat(long)
     r = average_rank(long, "x", ["var_a", "var_b"], "rx")
     r = average_rank(r, "y", ["var_a", "var_b"], "ry")
     return r.groupBy("var_a", "var_b").agg(pearson("rx", "ry").alias("rho"),
@@ -115,7 +118,8 @@ def conditional_correlation(df: DataFrame, a: str, b: str, condition: Column) ->
 
 
 def lag_correlation(df: DataFrame, x: str, y: str, max_lag: int = 6, series: Sequence[str] = (),
-                    ts: str = "ts", decimals: int | None = 6, bucket: str = "month") -> DataFrame:
+                    ts: str = "ts", decimals: int | None = 6, bucket: str = "month",
+                    materialize: bool = False) -> DataFrame:
     """Correlation of ``x`` shifted by k rows with ``y``, k = 0..max_lag.
 
     Rows with null x or y are dropped first, then shifted by position (row,
@@ -132,6 +136,12 @@ def lag_correlation(df: DataFrame, x: str, y: str, max_lag: int = 6, series: Seq
            .withColumn("_tp", F.col("_src") + F.col("lag")))
     cond = [d[s].eqNullSafe(src[f"__s_{s}"]) for s in series] + [d["_pos"] == src["_tp"]]
     pairs = d.join(src, cond).select("lag", "_x", F.col(y).cast("double").alias("_y"))
+    if materialize:
+        # the pair table feeds four branches (Pearson, two rank passes, join
+        # back); shuffles inside it are reused across branches anyway, so
+        # checkpointing pays off only when the upstream plan is expensive
+        from ..session import materialize as _mat
+        pairs = _mat(pairs)
     pr = pairs.groupBy("lag").agg(pearson("_x", "_y").alias("pearson"), F.count(F.lit(1)).alias("n"))
     rx = pairs.withColumn("_x", F.round("_x", decimals)) if decimals is not None else pairs
     rx = rx.withColumn("_y", F.round("_y", decimals)) if decimals is not None else rx
