@@ -25,9 +25,19 @@ ROLES = {"temperature": "signup", "wind_speed": "signup", "precipitation": "purc
 ZONE = "Europe/Zurich"
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The driver table as a lazy DataFrame (file listing and footer read are
+    done once per session and path; the frame itself is immutable)."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    df = _TABLES.get(key)
+    if df is None:
+        configure(spark)
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _TABLES[key] = df
+    return df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
