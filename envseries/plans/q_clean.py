@@ -18,10 +18,11 @@ def _each(fmt: str, cols, sep: str = ", ") -> str:
     return sep.join(fmt.format(c=c) for c in cols)
 
 
-def interp_sql(src: str, cols, limit: int = 3, mode: str = "limit") -> str:
-    """SQL twin of ``scan.interpolate`` on one series ordered by ts."""
-    w_prev = "OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    w_next = "OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+def interp_sql(src: str, cols, limit: int = 3, mode: str = "limit", series: str | None = None) -> str:
+    """SQL twin of ``scan.interpolate`` ordered by ts (optionally per series)."""
+    part = f"PARTITION BY {series} " if series else ""
+    w_prev = f"OVER ({part}ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    w_next = f"OVER ({part}ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     nb = ", ".join(
         f"last_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) {w_prev} AS pp_{c}, "
         f"last_value({c} IGNORE NULLS) {w_prev} AS pv_{c}, "
@@ -37,18 +38,29 @@ def interp_sql(src: str, cols, limit: int = 3, mode: str = "limit") -> str:
             fill = (f"CASE WHEN pp_{c} IS NULL OR np_{c} IS NULL THEN NULL "
                     f"WHEN np_{c} - pp_{c} - 1 > {limit} THEN NULL ELSE {lin} END")
         outs.append(f"coalesce({c}, {fill}) AS {c}")
-    return (f"SELECT ts, {', '.join(outs)} FROM (SELECT *, {nb} FROM "
-            f"(SELECT *, row_number() OVER (ORDER BY ts) AS pos FROM ({src})))")
+    key = f"{series}, " if series else ""
+    return (f"SELECT {key}ts, {', '.join(outs)} FROM (SELECT *, {nb} FROM "
+            f"(SELECT *, row_number() OVER ({part}ORDER BY ts) AS pos FROM ({src})))")
 
 
-def runs_sql(src: str, cols) -> str:
-    """Longest null run per column (gaps and islands), one series by ts."""
+def runs_sql(src: str, cols, series: str | None = None) -> str:
+    """Longest null run per column (gaps and islands) by ts, optionally per series."""
     parts = []
+    part = f"PARTITION BY {series} " if series else ""
+    part2 = f"PARTITION BY {series}, " if series else "PARTITION BY "
     for c in cols:
-        parts.append(
-            f"SELECT '{c}' AS \"column\", CAST(coalesce(max(cnt), 0) AS BIGINT) AS max_run FROM ("
-            f"SELECT grp, count(*) AS cnt FROM (SELECT {c} IS NULL AS z, row_number() OVER (ORDER BY ts) - "
-            f"row_number() OVER (PARTITION BY {c} IS NULL ORDER BY ts) AS grp FROM ({src})) WHERE z GROUP BY grp)")
+        if series:
+            parts.append(
+                f"SELECT s.{series}, '{c}' AS \"column\", CAST(coalesce(max(cnt), 0) AS BIGINT) AS max_run "
+                f"FROM (SELECT DISTINCT {series} FROM ({src})) s LEFT JOIN ("
+                f"SELECT {series}, grp, count(*) AS cnt FROM (SELECT {series}, {c} IS NULL AS z, "
+                f"row_number() OVER ({part}ORDER BY ts) - row_number() OVER ({part2}{c} IS NULL ORDER BY ts) AS grp "
+                f"FROM ({src})) WHERE z GROUP BY {series}, grp) g ON s.{series} = g.{series} GROUP BY s.{series}")
+        else:
+            parts.append(
+                f"SELECT '{c}' AS \"column\", CAST(coalesce(max(cnt), 0) AS BIGINT) AS max_run FROM ("
+                f"SELECT grp, count(*) AS cnt FROM (SELECT {c} IS NULL AS z, row_number() OVER (ORDER BY ts) - "
+                f"row_number() OVER ({part2}{c} IS NULL ORDER BY ts) AS grp FROM ({src})) WHERE z GROUP BY grp)")
     return " UNION ALL ".join(parts)
 
 
@@ -171,6 +183,24 @@ def interpolate_short_gaps(spark, d):
     return scan.interpolate(D.hourly_wide(spark, d), [], "ts", TYPES, limit=3, mode="short_gaps", bucket="day")
 
 
+@query("interpolate_by_series", "W2",
+       f"SELECT user_id, ts, {_each(R('{c}') + ' AS {c}', TYPES)} FROM ({interp_sql(S.USER_HOURLY, TYPES, series='user_id')})")
+def interpolate_by_series(spark, d):
+    return scan.interpolate(D.user_hourly(spark, d), ["user_id"], "ts", TYPES, limit=3, bucket="day")
+
+
+@query("missing_run_by_series", "W3", runs_sql(S.USER_HOURLY, TYPES, series="user_id"))
+def missing_run_by_series(spark, d):
+    return scan.null_runs(D.user_hourly(spark, d), ["user_id"], "ts", TYPES, bucket="day")
+
+
+@query("forward_fill_by_series", "W6", f"""
+SELECT user_id, ts, {_each(R('last_value({c} IGNORE NULLS) OVER w') + ' AS {c}', TYPES)}
+FROM ({S.USER_HOURLY}) WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def forward_fill_by_series(spark, d):
+    return scan.forward_fill(D.user_hourly(spark, d), ["user_id"], "ts", TYPES, bucket="day")
+
+
 @query("interpolate_daily", "W2", f"SELECT ts, {_each(R('{c}') + ' AS {c}', PCOLS)} FROM ({interp_sql(S.ORDERS_DAILY, PCOLS)})")
 def interpolate_daily(spark, d):
     return scan.interpolate(D.orders_daily(spark, d), [], "ts", PCOLS, limit=3, bucket="year")

@@ -22,6 +22,10 @@ def hourly_wide(params=None) -> str:
     return _pivot(params, params, "events", "ts", "event_type", "value", "hour")
 
 
+USER_HOURLY = ("SELECT user_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, "
+               + ", ".join(f"avg(value) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES)
+               + " FROM events WHERE event_type IN (" + ", ".join(f"'{t}'" for t in EVENT_TYPES)
+               + ") GROUP BY 1, 2")
 AIR_SQL = hourly_wide(AIR)
 WEATHER_SQL = hourly_wide(WEATHER)
 HOURLY = hourly_wide()

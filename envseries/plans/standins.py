@@ -54,6 +54,12 @@ def hourly_wide(spark: SparkSession, sf_dir: str, params=None) -> DataFrame:
     return reshape.pivot_wide(events_long(spark, sf_dir), params=params, names=params)
 
 
+def user_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly pivot per user: many series of very different sizes."""
+    e = events(spark, sf_dir).select("user_id", "ts", F.col("event_type").alias("parameter"), "value")
+    return reshape.pivot_wide(e, series=["user_id"], params=EVENT_TYPES, names=EVENT_TYPES)
+
+
 def air_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly_wide(spark, sf_dir, AIR)
 
