@@ -41,6 +41,15 @@ def _nn_struct(value: str | Column, pos: Column) -> Column:
     return F.when(v.isNotNull(), F.struct(pos.alias("p"), v.alias("v")))
 
 
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
+def _nn(v: str, p: str) -> str:
+    """SQL: struct(p, v) when v is not null (a non-null marker with its position)."""
+    return f"CASE WHEN {v} IS NOT NULL THEN named_struct('p', {p}, 'v', {v}) END"
+
+
 def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str],
                bucket: str = "month") -> DataFrame:
     """Add positions and nearest non-null neighbours per column.
@@ -50,53 +59,64 @@ def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str
     ``_prev_c`` = struct(p, v) of the last non-null at or before the row,
     ``_next_c`` = struct(p, v) of the first non-null at or after the row.
     ``ts`` must be unique within a series (dedupe first, ``cleaning.dedupe_first``).
+
+    The many similar window expressions are written as SQL text (one parse
+    each) and emitted in one projection per frame, so Spark evaluates them
+    in a single Window operator per frame.
     """
     series = list(series)
     keys = series + ["_bk"]
+    row_w = f"PARTITION BY {', '.join(_q(k) for k in keys)} ORDER BY {_q(ts)}"
     d = df.withColumn("_bk", F.date_trunc(bucket, F.col(ts)))
-    wb = Window.partitionBy(*keys).orderBy(F.col(ts))
-    d = d.withColumn("_rn", F.row_number().over(wb))
-    rn = F.col("_rn")
-    # one projection: window expressions with the same frame share one operator
-    prev_w, next_w = wb.rowsBetween(UNB_P, 0), wb.rowsBetween(0, UNB_F)
-    d = d.select("*", *[F.last(_nn_struct(c, rn), True).over(prev_w).alias(f"_lp_{c}") for c in cols],
-                 *[F.first(_nn_struct(c, rn), True).over(next_w).alias(f"_ln_{c}") for c in cols])
-
-    aggs = [F.count(F.lit(1)).alias("_cnt")]
+    d = d.selectExpr("*", f"row_number() OVER ({row_w}) AS _rn")
+    prev_w = f"OVER ({row_w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    next_w = f"OVER ({row_w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    d = d.selectExpr("*", *[f"last({_nn(_q(c), '_rn')}, true) {prev_w} AS {_q('_lp_' + c)}" for c in cols],
+                     *[f"first({_nn(_q(c), '_rn')}, true) {next_w} AS {_q('_ln_' + c)}" for c in cols])
+
+    aggs = [F.expr("count(1) AS _cnt")]
     for c in cols:
-        k = _nn_struct(c, rn)
-        aggs += [F.max(k).alias(f"_bl_{c}"), F.min(k).alias(f"_bf_{c}")]
+        aggs += [F.expr(f"max({_nn(_q(c), '_rn')}) AS {_q('_bl_' + c)}"),
+                 F.expr(f"min({_nn(_q(c), '_rn')}) AS {_q('_bf_' + c)}")]
     b = d.groupBy(*keys).agg(*aggs)
 
-    ws = Window.partitionBy(*series).orderBy("_bk") if series else Window.orderBy("_bk")
-    before, after, whole = ws.rowsBetween(UNB_P, -1), ws.rowsBetween(1, UNB_F), ws.rowsBetween(UNB_P, UNB_F)
-    off_expr = F.coalesce(F.sum("_cnt").over(before), F.lit(0))
-    b = b.select("*", off_expr.alias("_off"), F.sum("_cnt").over(whole).alias("_n"))
-    off = F.col("_off")
+    bucket_w = (f"PARTITION BY {', '.join(_q(k) for k in series)} ORDER BY _bk" if series
+                else "ORDER BY _bk")
+    before = f"OVER ({bucket_w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    after = f"OVER ({bucket_w} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    whole = f"OVER ({bucket_w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    b = b.selectExpr("*", f"coalesce(sum(_cnt) {before}, 0) AS _off", f"sum(_cnt) {whole} AS _n")
     carried, wins = [], []
     for c in cols:
-        gl = _nn_struct(F.col(f"_bl_{c}.v"), off + F.col(f"_bl_{c}.p"))
-        gf = _nn_struct(F.col(f"_bf_{c}.v"), off + F.col(f"_bf_{c}.p"))
-        wins += [F.last(gl, True).over(before).alias(f"_cp_{c}"), F.first(gf, True).over(after).alias(f"_cn_{c}")]
+        bl, bf = _q("_bl_" + c), _q("_bf_" + c)
+        wins += [f"last({_nn(bl + '.v', '_off + ' + bl + '.p')}, true) {before} AS {_q('_cp_' + c)}",
+                 f"first({_nn(bf + '.v', '_off + ' + bf + '.p')}, true) {after} AS {_q('_cn_' + c)}"]
         carried += [f"_cp_{c}", f"_cn_{c}"]
-    b = b.select(*keys, "_off", "_n", *wins)
+    b = b.selectExpr(*[_q(k) for k in keys], "_off", "_n", *wins)
 
     out = _join_back(d, b, keys)
-    news = {"_pos": F.col("_off") + rn}
+    news = ["_off + _rn AS _pos"]
     for c in cols:
-        lp, ln = F.col(f"_lp_{c}"), F.col(f"_ln_{c}")
-        news[f"_prev_{c}"] = F.coalesce(_nn_struct(lp.getField("v"), off + lp.getField("p")), F.col(f"_cp_{c}"))
-        news[f"_next_{c}"] = F.coalesce(_nn_struct(ln.getField("v"), off + ln.getField("p")), F.col(f"_cn_{c}"))
-    out = out.withColumns(news)
+        lp, ln = _q("_lp_" + c), _q("_ln_" + c)
+        news += [f"coalesce({_nn(lp + '.v', '_off + ' + lp + '.p')}, {_q('_cp_' + c)}) AS {_q('_prev_' + c)}",
+                 f"coalesce({_nn(ln + '.v', '_off + ' + ln + '.p')}, {_q('_cn_' + c)}) AS {_q('_next_' + c)}"]
     drop = ["_bk", "_rn", "_off"] + carried
     drop += [f"_lp_{c}" for c in cols] + [f"_ln_{c}" for c in cols]
-    return out.drop(*drop)
+    keep = [_q(c) for c in out.columns if c not in drop]
+    return out.selectExpr(*keep, *news)
 
 
 def _drop_helpers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop("_pos", "_n", *[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols])
 
 
+def _replace(df: DataFrame, exprs: dict[str, str], cols: Sequence[str]) -> DataFrame:
+    """Replace columns by SQL expressions in one projection, dropping helpers."""
+    helpers = {"_pos", "_n", *[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols]}
+    sel = [f"{exprs[c]} AS {_q(c)}" if c in exprs else _q(c) for c in df.columns if c not in helpers]
+    return df.selectExpr(*sel)
+
+
 def interpolate(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str],
                 limit: int = 3, mode: str = "limit", bucket: str = "month") -> DataFrame:
     """Positional linear interpolation of nulls.
@@ -110,37 +130,31 @@ def interpolate(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[st
     if mode not in ("limit", "short_gaps"):
         raise ValueError(f"unknown mode {mode!r}")
     d = neighbours(df, series, ts, cols, bucket)
-    pos = F.col("_pos")
-    filled_cols = {}
+    exprs = {}
     for c in cols:
-        pv, pp = F.col(f"_prev_{c}.v"), F.col(f"_prev_{c}.p")
-        nv, np_ = F.col(f"_next_{c}.v"), F.col(f"_next_{c}.p")
-        linear = pv + (nv - pv) * (pos - pp).cast("double") / (np_ - pp).cast("double")
+        pr, nx = _q("_prev_" + c), _q("_next_" + c)
+        linear = (f"{pr}.v + ({nx}.v - {pr}.v) * CAST(_pos - {pr}.p AS DOUBLE) "
+                  f"/ CAST({nx}.p - {pr}.p AS DOUBLE)")
         if mode == "limit":
-            filled = (F.when(F.col(f"_prev_{c}").isNull(), None)
-                      .when(pos - pp > limit, None)
-                      .when(F.col(f"_next_{c}").isNull(), pv)
-                      .otherwise(linear))
+            filled = (f"CASE WHEN {pr} IS NULL THEN NULL WHEN _pos - {pr}.p > {int(limit)} THEN NULL "
+                      f"WHEN {nx} IS NULL THEN {pr}.v ELSE {linear} END")
         else:
-            filled = (F.when(F.col(f"_prev_{c}").isNull() | F.col(f"_next_{c}").isNull(), None)
-                      .when(np_ - pp - 1 > limit, None)
-                      .otherwise(linear))
-        filled_cols[c] = F.coalesce(F.col(c), filled.cast("double"))
-    return _drop_helpers(d.withColumns(filled_cols), cols)
+            filled = (f"CASE WHEN {pr} IS NULL OR {nx} IS NULL THEN NULL "
+                      f"WHEN {nx}.p - {pr}.p - 1 > {int(limit)} THEN NULL ELSE {linear} END")
+        exprs[c] = f"coalesce({_q(c)}, CAST({filled} AS DOUBLE))"
+    return _replace(d, exprs, cols)
 
 
 def forward_fill(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str],
                  limit: int | None = None, bucket: str = "month") -> DataFrame:
     """Carry the last non-null value forward (optionally at most ``limit`` rows)."""
     d = neighbours(df, series, ts, cols, bucket)
-    filled_cols = {}
+    exprs = {}
     for c in cols:
-        prev = F.col(f"_prev_{c}")
-        fill = prev.getField("v")
-        if limit is not None:
-            fill = F.when(F.col("_pos") - prev.getField("p") <= limit, fill)
-        filled_cols[c] = F.coalesce(F.col(c), fill)
-    return _drop_helpers(d.withColumns(filled_cols), cols)
+        pr = _q("_prev_" + c)
+        fill = f"{pr}.v" if limit is None else f"CASE WHEN _pos - {pr}.p <= {int(limit)} THEN {pr}.v END"
+        exprs[c] = f"coalesce({_q(c)}, {fill})"
+    return _replace(d, exprs, cols)
 
 
 def null_runs(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str],
