@@ -1,4 +1,4 @@
-"""Statistical aggregate expressions and the Student-t tail probability.
+"""Statistical aggregate expressions (Pearson, t from r).
 
 Aggregates are plain Spark aggregate expressions so that they run with
 partial (map-side) aggregation.  ANSI mode is on in Spark 4, where ``corr``
@@ -8,13 +8,8 @@ on a constant column raises; the Pearson expression below uses
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _c(c: str | Column) -> Column:
@@ -30,6 +25,12 @@ def pair_complete(a: str | Column, b: str | Column) -> tuple[Column, Column]:
 
 def pearson(a: str | Column, b: str | Column) -> Column:
     """Pearson r over pairwise-complete rows; null for constant input or n < 2."""
+    if isinstance(a, str) and isinstance(b, str):
+        # SQL text: one parse instead of a dozen gateway calls per pair
+        x, y = f"`{a}`", f"`{b}`"
+        both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+        xa, ya = f"CASE WHEN {both} THEN {x} END", f"CASE WHEN {both} THEN {y} END"
+        return F.expr(f"try_divide(covar_samp({xa}, {ya}), stddev_samp({xa}) * stddev_samp({ya}))")
     x, y = pair_complete(a, b)
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
@@ -42,68 +43,3 @@ def pair_count(a: str | Column, b: str | Column) -> Column:
 def t_from_r(r: Column, n: Column) -> Column:
     """t statistic of a correlation coefficient with n pairs."""
     return F.try_divide(r * F.sqrt((n - 2).cast("double")), F.sqrt(1 - r * r))
-
-
-# --- Student-t tail probability ------------------------------------------
-# Regularised incomplete beta by Lentz's continued fraction; vectorised
-# numpy over an Arrow batch.  It is only ever applied to aggregate rows
-# (one per hypothesis / pair), never to the raw table.
-
-def _betacf(a: float, b: float, x: float, iters: int = 300, eps: float = 3e-16) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def betainc_reg(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-           + a * math.log(x) + b * math.log1p(-x))
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float | None, df: float | None) -> float | None:
-    """Two-sided p-value of Student's t with ``df`` degrees of freedom."""
-    if t is None or df is None or not np.isfinite(df) or df <= 0 or np.isnan(t):
-        return None
-    if np.isinf(t):
-        return 0.0
-    return betainc_reg(df / 2.0, 0.5, df / (df + t * t))
-
-
-@F.pandas_udf(T.DoubleType())
-def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
-    """Vectorised two-sided Student-t p-value (Arrow batch, no row UDF)."""
-    out = [t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b))
-           for a, b in zip(t, dof)]
-    return pd.Series(out, dtype="float64")

@@ -70,13 +70,16 @@ def unit_scale(df: DataFrame, col: str, factor: float, out: str) -> DataFrame:
     return df.withColumn(out, F.col(col) / factor)
 
 
+def _x(c: str, impute_zero: bool) -> str:
+    return f"coalesce(CAST(`{c}` AS DOUBLE), 0.0D)" if impute_zero else f"CAST(`{c}` AS DOUBLE)"
+
+
 def _fit(df: DataFrame, cols: Sequence[str], impute_zero: bool) -> DataFrame:
-    def x(c):
-        return F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if impute_zero else F.col(c).cast("double")
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(x(c)).alias(f"_mu{i}"), F.stddev_pop(x(c)).alias(f"_sd{i}"),
-                 F.min(x(c)).alias(f"_mn{i}"), F.max(x(c)).alias(f"_mx{i}")]
+        x = _x(c, impute_zero)
+        aggs += [F.expr(f"avg({x}) AS _mu{i}"), F.expr(f"stddev_pop({x}) AS _sd{i}"),
+                 F.expr(f"min({x}) AS _mn{i}"), F.expr(f"max({x}) AS _mx{i}")]
     return df.agg(*aggs)
 
 
@@ -85,20 +88,19 @@ def scale(df: DataFrame, cols: Sequence[str], kinds: Sequence[str] = ("std", "no
     """z-score (population std, ``{c}_std``) and min-max (``{c}_norm``) scaling
     (F10, F11).  Null is 0 before fitting and transforming (``impute_zero``);
     a zero spread divides by 1.  ``fit_on`` fits on another frame (train split).
+    The fitted statistics are one row, cross-joined as a broadcast.
     """
     stats = _fit(fit_on if fit_on is not None else df, cols, impute_zero)
     d = df.crossJoin(F.broadcast(stats))
-    outs = {}
+    outs = []
     for i, c in enumerate(cols):
-        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if impute_zero else F.col(c).cast("double")
-        sd = F.col(f"_sd{i}")
-        rng = F.col(f"_mx{i}") - F.col(f"_mn{i}")
+        x = _x(c, impute_zero)
         if "std" in kinds:
-            outs[f"{c}_std"] = (x - F.col(f"_mu{i}")) / F.when(sd == 0, 1.0).otherwise(sd)
+            outs.append(f"({x} - _mu{i}) / CASE WHEN _sd{i} = 0 THEN 1.0D ELSE _sd{i} END AS `{c}_std`")
         if "norm" in kinds:
-            outs[f"{c}_norm"] = (x - F.col(f"_mn{i}")) / F.when(rng == 0, 1.0).otherwise(rng)
-    d = d.withColumns(outs)
-    return d.select(*df.columns, *outs.keys())
+            outs.append(f"({x} - _mn{i}) / CASE WHEN _mx{i} - _mn{i} = 0 THEN 1.0D ELSE _mx{i} - _mn{i} END "
+                        f"AS `{c}_norm`")
+    return d.selectExpr(*[f"`{c}`" for c in df.columns], *outs)
 
 
 def feature_table(df: DataFrame, roles: Mapping[str, str], ts: str = "ts", zone: str | None = None

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson, t_from_r
-from ..functions.tdist import t_pvalue
+from ..functions.tdist import t_pvalue, t_pvalue_sql
 from .correlation import spearman
 
 
@@ -98,6 +98,18 @@ def verdict(expected: str, effect: Column, p: Column, strength: Column, threshol
     return v
 
 
+def verdict_sql(expected: str, effect: str, p: str, strength: str, threshold: float,
+                skipped: str = "false") -> str:
+    """SQL text of ``verdict`` (same rules, same order)."""
+    direction = f"({effect}) < 0" if expected == "negative" else f"({effect}) > 0"
+    dir_ok = f"coalesce({direction}, false)"
+    sig = f"coalesce(({p}) < 0.05D, false)"
+    strong = f"coalesce(abs({strength}) >= {threshold!r}D, false)"
+    return (f"CASE WHEN {skipped} THEN 'n/a' WHEN {dir_ok} AND {sig} AND {strong} THEN 'confirmed' "
+            f"WHEN {dir_ok} AND {sig} THEN 'partly (weak)' WHEN NOT {dir_ok} THEN 'not confirmed' "
+            f"ELSE 'partly (not significant)' END")
+
+
 def evaluate(df: DataFrame, hypotheses: Sequence[Hypothesis], columns: Mapping[str, str],
              min_group: int = 5) -> DataFrame:
     """Verdict per hypothesis (H4, H5) -- all hypotheses in ONE aggregate pass.
@@ -109,54 +121,47 @@ def evaluate(df: DataFrame, hypotheses: Sequence[Hypothesis], columns: Mapping[s
     turns into one row per hypothesis.  ``columns`` maps variable names to
     columns of ``df``; an unmapped variable gives ``n/a`` (H4).
     """
-    aggs, parts, tstats, pvals = [], [], {}, {}
+    aggs, parts, tstats, pvals = [], [], [], []
     for i, h in enumerate(hypotheses):
         a, b = (columns.get(v) for v in h.variables)
         missing = a is None or b is None or a not in df.columns or b not in df.columns
         if missing:
-            effect = p = strength = F.lit(None).cast("double")
-            n = F.lit(None).cast("bigint")
-            v = F.lit("n/a")
+            effect = p = strength = "CAST(NULL AS DOUBLE)"
+            n, v = "CAST(NULL AS BIGINT)", "'n/a'"
         elif h.method == "correlation":
             aggs += [pearson(a, b).alias(f"_r{i}"),
-                     F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"_n{i}")]
-            r, n = F.col(f"_r{i}"), F.col(f"_n{i}")
-            tstats[f"_t{i}"], tstats[f"_df{i}"] = t_from_r(r, n), n - 2
-            pvals[f"_p{i}"] = t_pvalue(f"_t{i}", f"_df{i}")
-            p = F.col(f"_p{i}")
-            effect = strength = r
-            v = verdict(h.expected, r, p, r, 0.10)
+                     F.expr(f"count_if(`{a}` IS NOT NULL AND `{b}` IS NOT NULL) AS _n{i}")]
+            tstats += [f"try_divide(_r{i} * sqrt(CAST(_n{i} - 2 AS DOUBLE)), sqrt(1 - _r{i} * _r{i})) AS _t{i}",
+                       f"_n{i} - 2 AS _df{i}"]
+            pvals.append(f"{t_pvalue_sql(f'_t{i}', f'_df{i}')} AS _p{i}")
+            effect = strength = f"_r{i}"
+            p, n = f"_p{i}", f"_n{i}"
+            v = verdict_sql(h.expected, effect, p, strength, 0.10)
         else:
             def g(k, a=a, b=b):
-                return F.when(F.col(a) == k, F.col(b).cast("double"))
-            aggs += [F.count(g(0)).alias(f"_n0{i}"), F.count(g(1)).alias(f"_n1{i}"),
-                     F.avg(g(0)).alias(f"_m0{i}"), F.avg(g(1)).alias(f"_m1{i}"),
-                     F.var_samp(g(0)).alias(f"_v0{i}"), F.var_samp(g(1)).alias(f"_v1{i}")]
-            n0, n1 = F.col(f"_n0{i}"), F.col(f"_n1{i}")
-            m0, m1 = F.col(f"_m0{i}"), F.col(f"_m1{i}")
-            v0, v1 = F.col(f"_v0{i}"), F.col(f"_v1{i}")
-            se0, se1 = v0 / n0, v1 / n1
-            diff = m1 - m0
-            t = F.try_divide(diff, F.sqrt(se0 + se1))
-            dof = F.try_divide((se0 + se1) * (se0 + se1), se0 * se0 / (n0 - 1) + se1 * se1 / (n1 - 1))
-            tstats[f"_t{i}"], tstats[f"_df{i}"] = t, dof
-            pvals[f"_p{i}"] = t_pvalue(f"_t{i}", f"_df{i}")
-            p = F.col(f"_p{i}")
-            pooled = F.sqrt((v0 + v1) / 2.0)
-            d = F.when(pooled > 0, F.try_divide(diff, pooled)).otherwise(F.lit(0.0))
-            n = n0 + n1
-            effect, strength = diff, d
-            skip = (n0 < min_group) | (n1 < min_group)
-            v = verdict(h.expected, diff, p, d, 0.20, skip)
-        parts.append(F.struct(F.lit(h.id).alias("id"), F.lit(h.method).alias("method"),
-                              F.lit(h.expected).alias("expected"), effect.cast("double").alias("effect"),
-                              p.cast("double").alias("p"), strength.cast("double").alias("strength"),
-                              n.cast("bigint").alias("n"), v.alias("verdict")))
+                return f"CASE WHEN `{a}` = {k} THEN CAST(`{b}` AS DOUBLE) END"
+            aggs += [F.expr(f"count({g(0)}) AS _n0{i}"), F.expr(f"count({g(1)}) AS _n1{i}"),
+                     F.expr(f"avg({g(0)}) AS _m0{i}"), F.expr(f"avg({g(1)}) AS _m1{i}"),
+                     F.expr(f"var_samp({g(0)}) AS _v0{i}"), F.expr(f"var_samp({g(1)}) AS _v1{i}")]
+            se0, se1 = f"(_v0{i} / _n0{i})", f"(_v1{i} / _n1{i})"
+            diff = f"(_m1{i} - _m0{i})"
+            tstats += [f"try_divide({diff}, sqrt({se0} + {se1})) AS _t{i}",
+                       f"try_divide(({se0} + {se1}) * ({se0} + {se1}), "
+                       f"{se0} * {se0} / (_n0{i} - 1) + {se1} * {se1} / (_n1{i} - 1)) AS _df{i}"]
+            pvals.append(f"{t_pvalue_sql(f'_t{i}', f'_df{i}')} AS _p{i}")
+            pooled = f"sqrt((_v0{i} + _v1{i}) / 2.0D)"
+            strength = f"(CASE WHEN {pooled} > 0 THEN try_divide({diff}, {pooled}) ELSE 0.0D END)"
+            effect, p, n = diff, f"_p{i}", f"(_n0{i} + _n1{i})"
+            v = verdict_sql(h.expected, effect, p, strength, 0.20, f"(_n0{i} < {min_group} OR _n1{i} < {min_group})")
+        parts.append(f"named_struct('id', '{h.id}', 'method', '{h.method}', 'expected', '{h.expected}', "
+                     f"'effect', CAST({effect} AS DOUBLE), 'p', CAST({p} AS DOUBLE), "
+                     f"'strength', CAST({strength} AS DOUBLE), 'n', CAST({n} AS BIGINT), 'verdict', {v})")
     row = df.agg(*aggs) if aggs else df.sparkSession.range(1)
-    # p-values in their own projection: each fold is evaluated once and the
-    # verdict rules reference the result column (not copies of the fold)
-    row = row.withColumns(tstats).withColumns(pvals) if pvals else row
-    return row.select(F.inline(F.array(*parts)))
+    # t / df, then p-values in their own projections: each fold is evaluated
+    # once and the verdict rules reference the result column
+    if pvals:
+        row = row.selectExpr("*", *tstats).selectExpr("*", *pvals)
+    return row.selectExpr(f"inline(array({', '.join(parts)}))")
 
 
 def tally(verdicts: DataFrame) -> DataFrame:

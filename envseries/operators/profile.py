@@ -19,33 +19,47 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, num) and f.name not in exclude]
 
 
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
+def _lit(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def _tidy(row: DataFrame, structs: Sequence[str]) -> DataFrame:
+    """One wide aggregate row -> one row per struct (``inline``), in SQL text."""
+    return row.selectExpr(f"inline(array({', '.join(structs)}))")
+
+
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing: bool = True
                  ) -> DataFrame:
     """Null count and percent per column (G3 / K7), largest first."""
     cols = list(cols) if cols is not None else df.columns
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"_z{i}") for i, c in enumerate(cols)])
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"_z{i}").alias("n_null"),
-                      (F.col(f"_z{i}") * 100.0 / F.col("_n")).alias("null_pct"))
-             for i, c in enumerate(cols)]
-    out = row.select(F.inline(F.array(*parts)))
+    row = df.agg(F.expr("count(1) AS _n"),
+                 *[F.expr(f"count_if({_q(c)} IS NULL) AS _z{i}") for i, c in enumerate(cols)])
+    out = _tidy(row, [f"named_struct('column', {_lit(c)}, 'n_null', _z{i}, 'null_pct', _z{i} * 100.0D / _n)"
+                      for i, c in enumerate(cols)])
     if only_missing:
-        out = out.filter(F.col("n_null") > 0)
+        out = out.filter("n_null > 0")
     return out
 
 
+def _null_cells(cols: Sequence[str]) -> str:
+    return "CAST(" + " + ".join(f"count_if({_q(c)} IS NULL)" for c in cols) + " AS BIGINT)"
+
+
 def table_null_share(df: DataFrame, cols: Sequence[str] | None = None, warn_pct: float = 20.0
                      ) -> DataFrame:
     """Share of null cells over all (numeric) cells of the table."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    total = None
-    for c in cols:
-        e = F.count_if(F.col(c).isNull())
-        total = e if total is None else total + e
-    row = df.agg(F.count(F.lit(1)).alias("n_rows"), total.cast("bigint").alias("n_null_cells"))
-    row = row.withColumn("n_cells", F.col("n_rows") * len(cols))
-    row = row.withColumn("null_pct", F.try_divide(F.col("n_null_cells") * 100.0, F.col("n_cells")))
-    return row.withColumn("warn", F.coalesce(F.col("null_pct") > warn_pct, F.lit(False)))
+    row = df.agg(F.expr("count(1) AS n_rows"), F.expr(f"{_null_cells(cols)} AS n_null_cells"))
+    return row.selectExpr("n_rows", "n_null_cells", f"n_rows * {len(cols)} AS n_cells",
+                          f"try_divide(n_null_cells * 100.0D, n_rows * {len(cols)}) AS null_pct",
+                          f"coalesce(try_divide(n_null_cells * 100.0D, n_rows * {len(cols)}) > {warn_pct!r}, false)"
+                          " AS warn")
 
 
 def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False
@@ -53,34 +67,28 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: boo
     """dtype, min, max (as strings), distinct count per column, nulls excluded."""
     cols = list(cols) if cols is not None else df.columns
     types = dict(df.dtypes)
-    dist = F.approx_count_distinct if approx else F.count_distinct
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.min(c).cast("string").alias(f"_mn{i}"), F.max(c).cast("string").alias(f"_mx{i}"),
-                 dist(c).alias(f"_d{i}"), F.count(c).alias(f"_c{i}")]
+        dexpr = f"approx_count_distinct({_q(c)})" if approx else f"count(DISTINCT {_q(c)})"
+        aggs += [F.expr(f"CAST(min({_q(c)}) AS STRING) AS _mn{i}"), F.expr(f"CAST(max({_q(c)}) AS STRING) AS _mx{i}"),
+                 F.expr(f"{dexpr} AS _d{i}"), F.expr(f"count({_q(c)}) AS _c{i}")]
     row = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
-                      F.col(f"_mn{i}").alias("min_value"), F.col(f"_mx{i}").alias("max_value"),
-                      F.col(f"_d{i}").alias("n_distinct"), F.col(f"_c{i}").alias("n_non_null"))
-             for i, c in enumerate(cols)]
-    return row.select(F.inline(F.array(*parts)))
+    return _tidy(row, [f"named_struct('column', {_lit(c)}, 'dtype', {_lit(types[c])}, 'min_value', _mn{i}, "
+                       f"'max_value', _mx{i}, 'n_distinct', _d{i}, 'n_non_null', _c{i})" for i, c in enumerate(cols)])
 
 
 def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """count, mean, sample std, min, median, max per column."""
-    med = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx else F.median
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"_n{i}"), F.avg(c).alias(f"_a{i}"), F.stddev_samp(c).alias(f"_s{i}"),
-                 F.min(c).cast("double").alias(f"_mn{i}"), med(c).cast("double").alias(f"_md{i}"),
-                 F.max(c).cast("double").alias(f"_mx{i}")]
+        x = _q(c)
+        med = f"percentile_approx({x}, 0.5, 10000)" if approx else f"median({x})"
+        aggs += [F.expr(f"count({x}) AS _n{i}"), F.expr(f"avg({x}) AS _a{i}"), F.expr(f"stddev_samp({x}) AS _s{i}"),
+                 F.expr(f"CAST(min({x}) AS DOUBLE) AS _mn{i}"), F.expr(f"CAST({med} AS DOUBLE) AS _md{i}"),
+                 F.expr(f"CAST(max({x}) AS DOUBLE) AS _mx{i}")]
     row = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"),
-                      F.col(f"_a{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
-                      F.col(f"_mn{i}").alias("min"), F.col(f"_md{i}").alias("median"),
-                      F.col(f"_mx{i}").alias("max"))
-             for i, c in enumerate(cols)]
-    return row.select(F.inline(F.array(*parts)))
+    return _tidy(row, [f"named_struct('column', {_lit(c)}, 'n', _n{i}, 'mean', _a{i}, 'std', _s{i}, 'min', _mn{i}, "
+                       f"'median', _md{i}, 'max', _mx{i})" for i, c in enumerate(cols)])
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -100,16 +108,13 @@ def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99),
               approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Linear-interpolated quantiles per column (G8); ``approx`` for huge inputs."""
-    aggs = []
+    aggs, structs = [], []
     for i, c in enumerate(cols):
         for j, p in enumerate(probs):
-            e = F.percentile_approx(c, p, accuracy) if approx else F.percentile(c, p)
-            aggs.append(e.cast("double").alias(f"_q{i}_{j}"))
-    row = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"),
-                      F.col(f"_q{i}_{j}").alias("value"))
-             for i, c in enumerate(cols) for j, p in enumerate(probs)]
-    return row.select(F.inline(F.array(*parts)))
+            e = f"percentile_approx({_q(c)}, {p!r}, {accuracy})" if approx else f"percentile({_q(c)}, {p!r})"
+            aggs.append(F.expr(f"CAST({e} AS DOUBLE) AS _q{i}_{j}"))
+            structs.append(f"named_struct('column', {_lit(c)}, 'prob', {_lit(p)}, 'value', _q{i}_{j})")
+    return _tidy(df.agg(*aggs), structs)
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5, flag_pct: float = 5.0,
@@ -118,29 +123,24 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5, flag_pct: f
 
     Pass 1: quartiles (one row, broadcast). Pass 2: conditional counts.
     """
-    q = (lambda c, p: F.percentile_approx(c, p, 10000)) if approx else F.percentile
-    th = df.agg(*[q(c, p).cast("double").alias(f"_{t}{i}") for i, c in enumerate(cols)
+    def q(c, p):
+        return f"percentile_approx({_q(c)}, {p}, 10000)" if approx else f"percentile({_q(c)}, {p})"
+    th = df.agg(*[F.expr(f"CAST({q(c, p)} AS DOUBLE) AS _{t}{i}") for i, c in enumerate(cols)
                   for t, p in (("a", 0.25), ("b", 0.75))])
-    th = th.select(*[x for i in range(len(cols)) for x in (
-        F.col(f"_a{i}").alias(f"q1_{i}"), F.col(f"_b{i}").alias(f"q3_{i}"),
-        (F.col(f"_a{i}") - k * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(f"lo_{i}"),
-        (F.col(f"_b{i}") + k * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(f"hi_{i}"))])
+    th = th.selectExpr(*[x for i in range(len(cols)) for x in (
+        f"_a{i} AS q1_{i}", f"_b{i} AS q3_{i}", f"_a{i} - {k!r} * (_b{i} - _a{i}) AS lo_{i}",
+        f"_b{i} + {k!r} * (_b{i} - _a{i}) AS hi_{i}")])
     d = df.select(*cols).crossJoin(F.broadcast(th))
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.first(f"q1_{i}").alias(f"q1_{i}"), F.first(f"q3_{i}").alias(f"q3_{i}"),
-                 F.first(f"lo_{i}").alias(f"lo_{i}"), F.first(f"hi_{i}").alias(f"hi_{i}"),
-                 F.count_if((F.col(c) < F.col(f"lo_{i}")) | (F.col(c) > F.col(f"hi_{i}"))).alias(f"o_{i}"),
-                 F.count(c).alias(f"n_{i}")]
-    row = d.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"q1_{i}").alias("q1"), F.col(f"q3_{i}").alias("q3"),
-                      (F.col(f"q3_{i}") - F.col(f"q1_{i}")).alias("iqr"),
-                      F.col(f"lo_{i}").alias("lower_fence"), F.col(f"hi_{i}").alias("upper_fence"),
-                      F.col(f"o_{i}").alias("n_outliers"),
-                      F.try_divide(F.col(f"o_{i}") * 100.0, F.col(f"n_{i}")).alias("outlier_pct"))
-             for i, c in enumerate(cols)]
-    out = row.select(F.inline(F.array(*parts)))
-    return out.withColumn("flag", F.coalesce(F.col("outlier_pct") > flag_pct, F.lit(False)))
+        aggs += [F.expr(f"first(q1_{i}) AS q1_{i}"), F.expr(f"first(q3_{i}) AS q3_{i}"),
+                 F.expr(f"first(lo_{i}) AS lo_{i}"), F.expr(f"first(hi_{i}) AS hi_{i}"),
+                 F.expr(f"count_if({_q(c)} < lo_{i} OR {_q(c)} > hi_{i}) AS o_{i}"), F.expr(f"count({_q(c)}) AS n_{i}")]
+    out = _tidy(d.agg(*aggs), [
+        f"named_struct('column', {_lit(c)}, 'q1', q1_{i}, 'q3', q3_{i}, 'iqr', q3_{i} - q1_{i}, "
+        f"'lower_fence', lo_{i}, 'upper_fence', hi_{i}, 'n_outliers', o_{i}, "
+        f"'outlier_pct', try_divide(o_{i} * 100.0D, n_{i}))" for i, c in enumerate(cols)])
+    return out.selectExpr("*", f"coalesce(outlier_pct > {flag_pct!r}, false) AS flag")
 
 
 def headline_stats(df: DataFrame, cols: Sequence[str], ts: str, units: Mapping[str, str] | None = None
@@ -149,14 +149,12 @@ def headline_stats(df: DataFrame, cols: Sequence[str], ts: str, units: Mapping[s
     units = units or {}
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"_n{i}"), F.min(F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_f{i}"),
-                 F.max(F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_l{i}"), F.avg(c).alias(f"_a{i}")]
-    row = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"),
-                      F.col(f"_f{i}").alias("first_ts"), F.col(f"_l{i}").alias("last_ts"),
-                      F.col(f"_a{i}").alias("mean"), F.lit(units.get(c, "")).alias("unit"))
-             for i, c in enumerate(cols)]
-    return row.select(F.inline(F.array(*parts)))
+        x, t = _q(c), _q(ts)
+        aggs += [F.expr(f"count({x}) AS _n{i}"), F.expr(f"min(CASE WHEN {x} IS NOT NULL THEN {t} END) AS _f{i}"),
+                 F.expr(f"max(CASE WHEN {x} IS NOT NULL THEN {t} END) AS _l{i}"), F.expr(f"avg({x}) AS _a{i}")]
+    return _tidy(df.agg(*aggs), [
+        f"named_struct('column', {_lit(c)}, 'n', _n{i}, 'first_ts', _f{i}, 'last_ts', _l{i}, 'mean', _a{i}, "
+        f"'unit', {_lit(units.get(c, ''))})" for i, c in enumerate(cols)])
 
 
 def limit_exceedance(df: DataFrame, limits: Mapping[str, float]) -> DataFrame:
@@ -164,13 +162,10 @@ def limit_exceedance(df: DataFrame, limits: Mapping[str, float]) -> DataFrame:
     cols = list(limits)
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count_if(F.col(c) > limits[c]).alias(f"_e{i}"), F.count(c).alias(f"_n{i}")]
-    row = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("column"), F.lit(float(limits[c])).alias("limit_value"),
-                      F.col(f"_e{i}").alias("n_exceed"),
-                      F.try_divide(F.col(f"_e{i}") * 100.0, F.col(f"_n{i}")).alias("exceed_pct"))
-             for i, c in enumerate(cols)]
-    return row.select(F.inline(F.array(*parts)))
+        aggs += [F.expr(f"count_if({_q(c)} > {float(limits[c])!r}) AS _e{i}"), F.expr(f"count({_q(c)}) AS _n{i}")]
+    return _tidy(df.agg(*aggs), [
+        f"named_struct('column', {_lit(c)}, 'limit_value', {_lit(limits[c])}, 'n_exceed', _e{i}, "
+        f"'exceed_pct', try_divide(_e{i} * 100.0D, _n{i}))" for i, c in enumerate(cols)])
 
 
 def source_catalog(entries: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
-from envseries.functions.stats import t_two_sided_p
+from reference_t import t_two_sided_p
 from envseries.functions.tdist import t_pvalue
 from envseries.operators import correlation, hypothesis, models
 from envseries.plans import standins as D
