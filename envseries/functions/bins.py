@@ -33,6 +33,18 @@ def right_closed_bins(c: str | Column, edges: Sequence[float], labels: Sequence[
     return expr
 
 
+def right_closed_bins_sql(c: str, edges: Sequence[float], labels: Sequence[str],
+                          include_lowest: bool = False) -> str:
+    """SQL text of ``right_closed_bins`` for column ``c``."""
+    x = f"`{c}`"
+    parts = []
+    for i, label in enumerate(labels):
+        lo, hi = edges[i], edges[i + 1]
+        op = ">=" if include_lowest and i == 0 else ">"
+        parts.append(f"WHEN {x} {op} {lo} AND {x} <= {hi} THEN '{label}'")
+    return f"CASE {' '.join(parts)} END"
+
+
 def bin_ordinal(c: str | Column, labels: Sequence[str]) -> Column:
     x = _c(c)
     expr = None

@@ -81,6 +81,12 @@ def season(month: str | Column) -> Column:
     )
 
 
+def season_sql(month: str) -> str:
+    """SQL text of ``season`` for a month expression."""
+    return (f"CASE WHEN {month} IN (12, 1, 2) THEN 'Winter' WHEN {month} IN (3, 4, 5) THEN 'Frühling' "
+            f"WHEN {month} IN (6, 7, 8) THEN 'Sommer' WHEN {month} IN (9, 10, 11) THEN 'Herbst' END")
+
+
 def season_ordinal(name: str | Column) -> Column:
     n = _c(name)
     expr = None

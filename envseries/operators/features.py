@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bins
-from ..functions.timecols import RUSH_HOURS, local_time, season, weekday0
+from ..functions.timecols import RUSH_HOURS, season_sql
 
 
 def calendar_features(df: DataFrame, ts: str = "ts", zone: str | None = None) -> DataFrame:
@@ -23,51 +23,49 @@ def calendar_features(df: DataFrame, ts: str = "ts", zone: str | None = None) ->
     With ``zone`` the parts are taken from the local wall clock of the UTC
     instant; joins stay on the instant itself.
     """
-    t = local_time(ts, zone) if zone else F.col(ts)
-    d = df.withColumns({
-        "hour": F.hour(t).cast("int"),
-        "weekday": weekday0(t),
-        "month": F.month(t).cast("int"),
-    })
-    return d.withColumns({
-        "season": season(F.col("month")),
-        "is_weekend": (F.col("weekday") >= 5).cast("int"),
-        "is_rush_hour": F.col("hour").isin(RUSH_HOURS).cast("int"),
-    })
+    t = (f"CAST(from_utc_timestamp(CAST(`{ts}` AS TIMESTAMP), '{zone}') AS TIMESTAMP_NTZ)" if zone
+         else f"`{ts}`")
+    d = df.selectExpr("*", f"CAST(hour({t}) AS INT) AS hour", f"CAST(weekday({t}) AS INT) AS weekday",
+                      f"CAST(month({t}) AS INT) AS month")
+    rush = ", ".join(str(h) for h in RUSH_HOURS)
+    return d.selectExpr("*", f"{season_sql('month')} AS season", "CAST(weekday >= 5 AS INT) AS is_weekend",
+                        f"CAST(hour IN ({rush}) AS INT) AS is_rush_hour")
 
 
 def category_features(df: DataFrame, temperature: str | None = None, wind_speed: str | None = None,
                       include_lowest: bool = False) -> DataFrame:
     """Temperature and wind categories from right-closed bins."""
-    d = df
+    new = []
     if temperature:
-        d = d.withColumn("temp_category", bins.right_closed_bins(
-            temperature, bins.TEMP_EDGES, bins.TEMP_LABELS, include_lowest))
+        new.append(bins.right_closed_bins_sql(temperature, bins.TEMP_EDGES, bins.TEMP_LABELS, include_lowest)
+                   + " AS temp_category")
     if wind_speed:
-        d = d.withColumn("wind_category", bins.right_closed_bins(
-            wind_speed, bins.WIND_EDGES, bins.WIND_LABELS, include_lowest))
-    return d
+        new.append(bins.right_closed_bins_sql(wind_speed, bins.WIND_EDGES, bins.WIND_LABELS, include_lowest)
+                   + " AS wind_category")
+    return df.selectExpr("*", *new) if new else df
 
 
 def rain_flag(df: DataFrame, precipitation: str, threshold: float = 0.1, out: str = "rain") -> DataFrame:
     """1 when precipitation > threshold; null counts as 0."""
-    return df.withColumn(out, bins.flag(F.col(precipitation) > threshold))
+    return df.selectExpr("*", f"CAST(coalesce(`{precipitation}` > {threshold!r}D, false) AS INT) AS `{out}`")
 
 
 def joint_extreme_flag(df: DataFrame, high_col: str, low_col: str, q_high: float = 0.75,
                        q_low: float = 0.25, out: str = "inversion", approx: bool = False) -> DataFrame:
     """1 when ``high_col`` > its q_high quantile and ``low_col`` < its q_low
     quantile (inversion indicator, F8); nulls give 0."""
-    q = (lambda c, p: F.percentile_approx(c, p, 10000)) if approx else F.percentile
-    th = df.agg(q(high_col, q_high).cast("double").alias("_qh"), q(low_col, q_low).cast("double").alias("_ql"))
+    def q(c, p):
+        return f"percentile_approx(`{c}`, {p!r}, 10000)" if approx else f"percentile(`{c}`, {p!r})"
+    th = df.agg(F.expr(f"CAST({q(high_col, q_high)} AS DOUBLE) AS _qh"),
+                F.expr(f"CAST({q(low_col, q_low)} AS DOUBLE) AS _ql"))
     d = df.crossJoin(F.broadcast(th))
-    d = d.withColumn(out, bins.flag((F.col(high_col) > F.col("_qh")) & (F.col(low_col) < F.col("_ql"))))
-    return d.drop("_qh", "_ql")
+    flag = f"CAST(coalesce(`{high_col}` > _qh AND `{low_col}` < _ql, false) AS INT) AS `{out}`"
+    return d.selectExpr(*[f"`{c}`" for c in df.columns], flag)
 
 
 def unit_scale(df: DataFrame, col: str, factor: float, out: str) -> DataFrame:
     """Unit conversion by division (seconds -> hours: factor 3600, F9)."""
-    return df.withColumn(out, F.col(col) / factor)
+    return df.selectExpr("*", f"`{col}` / {float(factor)!r}D AS `{out}`")
 
 
 def _x(c: str, impute_zero: bool) -> str:

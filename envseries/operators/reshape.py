@@ -43,8 +43,13 @@ def pivot_wide(df: DataFrame, *, series: Sequence[str] = (), ts: str = "ts",
     reduced map-side before the shuffle.
     """
     names = list(names) if names is not None else [safe_name(p) for p in params]
-    fn = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[agg]
-    aggs = [fn(F.when(F.col(parameter) == p, F.col(value))).alias(n) for p, n in zip(params, names)]
+    if agg not in ("avg", "sum", "min", "max", "count"):
+        raise ValueError(agg)
+
+    def lit(v: str) -> str:
+        return "'" + v.replace("'", "''") + "'"
+    aggs = [F.expr(f"{agg}(CASE WHEN `{parameter}` = {lit(p)} THEN `{value}` END) AS `{n}`")
+            for p, n in zip(params, names)]
     return (df.filter(F.col(parameter).isin(list(params)))
             .groupBy(*series, floor_to(ts, unit).alias("ts"))
             .agg(*aggs))

@@ -27,11 +27,12 @@ def round_doubles(df: DataFrame, nd: int = 6) -> DataFrame:
     """Round every double column (top level) for order-insensitive comparison."""
     cols = []
     for f in df.schema.fields:
+        name = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`"), nd).alias(f.name))
+            cols.append(f"round({name}, {nd}) AS {name}")
         else:
-            cols.append(F.col(f"`{f.name}`"))
-    return df.select(*cols)
+            cols.append(name)
+    return df.selectExpr(*cols)
 
 
 def query(name: str, ops: str, sql: str | None = None):
