@@ -86,3 +86,12 @@ def value_bucket(v: Column) -> Column:
     m = F.floor((av / F.pow(F.lit(2.0), e) - 1.0) * 16)
     mag = (e + 1100) * 16 + m
     return F.when(v > 0, mag + 100000).when(v < 0, -mag - 100000).otherwise(F.lit(0)).cast("bigint")
+
+
+def value_bucket_sql(v: str) -> str:
+    """SQL text of ``value_bucket``."""
+    e = f"floor(log2(abs({v})))"
+    m = f"floor((abs({v}) / pow(2.0D, {e}) - 1.0D) * 16)"
+    mag = f"(({e} + 1100) * 16 + {m})"
+    return (f"CAST(CASE WHEN {v} > 0 THEN {mag} + 100000 WHEN {v} < 0 THEN -{mag} - 100000 ELSE 0 END "
+            f"AS BIGINT)")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bins import value_bucket
+from ..functions.bins import value_bucket, value_bucket_sql
 from ..functions.stats import pearson
 from . import scan
 
@@ -28,13 +28,10 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str
     pairs = list(pairs) if pairs is not None else _pairs(cols)
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [pearson(a, b).alias(f"_r{i}"), F.count_if(both).alias(f"_n{i}")]
+        aggs += [pearson(a, b).alias(f"_r{i}"), F.expr(f"count_if(`{a}` IS NOT NULL AND `{b}` IS NOT NULL) AS _n{i}")]
     row = df.agg(*aggs)
-    parts = [F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                      F.col(f"_r{i}").alias("r"), F.col(f"_n{i}").alias("n"))
-             for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*parts)))
+    parts = [f"named_struct('var_a', '{a}', 'var_b', '{b}', 'r', _r{i}, 'n', _n{i})" for i, (a, b) in enumerate(pairs)]
+    return row.selectExpr(f"inline(array({', '.join(parts)}))")
 
 
 _value_bucket = value_bucket
@@ -49,28 +46,31 @@ def average_rank(df: DataFrame, value: str, groups: Sequence[str] = (), out: str
     rank table is joined back on (groups, value).  Null values get null.
     """
     groups = list(groups)
-    cnt = (df.filter(F.col(value).isNotNull())
-           .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
-           .withColumn("_vb", _value_bucket(F.col(value))))
     keys = groups + ["_vb"]
-    wl = Window.partitionBy(*keys).orderBy(value)
-    cnt = cnt.withColumn("_cum", F.sum("_c").over(wl.rowsBetween(UNB_P, 0)))
-    bt = cnt.groupBy(*keys).agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*groups).orderBy("_vb") if groups else Window.orderBy("_vb")
-    bt = bt.withColumn("_off", F.coalesce(F.sum("_bc").over(wb.rowsBetween(UNB_P, -1)), F.lit(0)))
-    ranks = cnt.join(bt.drop("_bc"), keys).select(
-        *groups, value, (F.col("_off") + F.col("_cum") - (F.col("_c") - 1) / 2.0).alias(out))
+    v = f"`{value}`"
+    cnt = (df.filter(f"{v} IS NOT NULL")
+           .groupBy(*groups, value).agg(F.expr("count(1) AS _c"))
+           .selectExpr("*", f"{value_bucket_sql(v)} AS _vb"))
+    part = ", ".join(f"`{k}`" for k in keys)
+    cnt = cnt.selectExpr("*", f"sum(_c) OVER (PARTITION BY {part} ORDER BY {v} "
+                              "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum")
+    bt = cnt.groupBy(*keys).agg(F.expr("sum(_c) AS _bc"))
+    gpart = f"PARTITION BY {', '.join(f'`{g}`' for g in groups)} " if groups else ""
+    bt = bt.selectExpr(*[f"`{k}`" for k in keys],
+                       f"coalesce(sum(_bc) OVER ({gpart}ORDER BY _vb ROWS BETWEEN UNBOUNDED PRECEDING "
+                       "AND 1 PRECEDING), 0) AS _off")
+    ranks = cnt.join(bt, keys).selectExpr(*[f"`{g}`" for g in groups], v,
+                                          f"_off + _cum - (_c - 1) / 2.0D AS `{out}`")
     return df.join(ranks, [*groups, value], "left")
 
 
 def _pair_long(df: DataFrame, pairs: Sequence[tuple[str, str]], decimals: int | None) -> DataFrame:
     """(var_a, var_b, x, y) rows of every pair, pairwise complete."""
     def rnd(c):
-        x = F.col(c).cast("double")
-        return F.round(x, decimals) if decimals is not None else x
-    arr = F.array(*[F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                             rnd(a).alias("x"), rnd(b).alias("y")) for a, b in pairs])
-    return df.select(F.inline(arr)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+        x = f"CAST(`{c}` AS DOUBLE)"
+        return f"round({x}, {decimals})" if decimals is not None else x
+    arr = ", ".join(f"named_struct('var_a', '{a}', 'var_b', '{b}', 'x', {rnd(a)}, 'y', {rnd(b)})" for a, b in pairs)
+    return df.selectExpr(f"inline(array({arr}))").filter("x IS NOT NULL AND y IS NOT NULL")
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None,

@@ -23,16 +23,15 @@ def plausibility(df: DataFrame, rules: Mapping[str, tuple[float, float]]) -> Dat
     cols = [c for c in rules if c in df.columns]
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.min(c).cast("double").alias(f"_mn{i}"), F.max(c).cast("double").alias(f"_mx{i}")]
+        aggs += [F.expr(f"CAST(min(`{c}`) AS DOUBLE) AS _mn{i}"), F.expr(f"CAST(max(`{c}`) AS DOUBLE) AS _mx{i}")]
     row = df.agg(*aggs)
     parts = []
     for i, c in enumerate(cols):
-        lo, hi = rules[c]
-        ok = F.coalesce((F.col(f"_mn{i}") >= lo) & (F.col(f"_mx{i}") <= hi), F.lit(False))
-        parts.append(F.struct(F.lit(c).alias("column"), F.col(f"_mn{i}").alias("min_actual"),
-                              F.col(f"_mx{i}").alias("max_actual"), F.lit(float(lo)).alias("min_rule"),
-                              F.lit(float(hi)).alias("max_rule"), ok.alias("ok")))
-    return row.select(F.inline(F.array(*parts)))
+        lo, hi = (float(x) for x in rules[c])
+        parts.append(f"named_struct('column', '{c}', 'min_actual', _mn{i}, 'max_actual', _mx{i}, "
+                     f"'min_rule', {lo!r}D, 'max_rule', {hi!r}D, "
+                     f"'ok', coalesce(_mn{i} >= {lo!r}D AND _mx{i} <= {hi!r}D, false))")
+    return row.selectExpr(f"inline(array({', '.join(parts)}))")
 
 
 def merge_ratio(final: DataFrame, raw: DataFrame, threshold: float = 80.0) -> DataFrame:
