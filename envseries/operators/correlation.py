@@ -135,20 +135,27 @@ def lag_correlation(df: DataFrame, x: str, y: str, max_lag: int = 6, series: Seq
            .withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
            .withColumn("_tp", F.col("_src") + F.col("lag")))
     cond = [d[s].eqNullSafe(src[f"__s_{s}"]) for s in series] + [d["_pos"] == src["_tp"]]
-    pairs = d.join(src, cond).select("lag", "_x", F.col(y).cast("double").alias("_y"))
+    pairs = d.join(src, cond).select(*[F.col(f"__s_{s}") for s in series], "lag", "_tp", "_x",
+                                     F.col(y).cast("double").alias("_y"))
     if materialize:
-        # the pair table feeds four branches (Pearson, two rank passes, join
-        # back); shuffles inside it are reused across branches anyway, so
-        # checkpointing pays off only when the upstream plan is expensive
+        # the pair table feeds the rank pass and the final aggregate; shuffles
+        # inside it are reused anyway, so checkpointing pays off only when the
+        # upstream plan is expensive
         from ..session import materialize as _mat
         pairs = _mat(pairs)
-    pr = pairs.groupBy("lag").agg(pearson("_x", "_y").alias("pearson"), F.count(F.lit(1)).alias("n"))
-    rx = pairs.withColumn("_x", F.round("_x", decimals)) if decimals is not None else pairs
-    rx = rx.withColumn("_y", F.round("_y", decimals)) if decimals is not None else rx
-    rk = average_rank(rx, "_x", ["lag"], "_rx")
-    rk = average_rank(rk, "_y", ["lag"], "_ry")
-    sp = rk.groupBy("lag").agg(pearson("_rx", "_ry").alias("spearman"))
-    return pr.join(sp, "lag")
+    # rank x and y in ONE pass: stack them, rank per (lag, side), pivot back
+    # on the row id (series, position) -- unique and deterministic
+    ids = [f"__s_{s}" for s in series] + ["_tp"]
+    rnd = (lambda c: f"round({c}, {decimals})") if decimals is not None else (lambda c: c)
+    long = pairs.selectExpr(*[f"`{c}`" for c in ids], "lag",
+                            f"inline(array(named_struct('_side', 0, '_v', {rnd('_x')}, '_raw', _x), "
+                            f"named_struct('_side', 1, '_v', {rnd('_y')}, '_raw', _y)))")
+    ranked = average_rank(long, "_v", ["lag", "_side"], "_rk")
+    wide = ranked.groupBy("lag", *ids).agg(
+        F.expr("max(CASE WHEN _side = 0 THEN _raw END) AS _x"), F.expr("max(CASE WHEN _side = 1 THEN _raw END) AS _y"),
+        F.expr("max(CASE WHEN _side = 0 THEN _rk END) AS _rx"), F.expr("max(CASE WHEN _side = 1 THEN _rk END) AS _ry"))
+    return wide.groupBy("lag").agg(pearson("_x", "_y").alias("pearson"), F.expr("count(1) AS n"),
+                                   pearson("_rx", "_ry").alias("spearman"))
 
 
 def strongest_lag(lags: DataFrame) -> DataFrame:
