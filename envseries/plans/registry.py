@@ -24,12 +24,17 @@ REGISTRY: dict[str, Entry] = {}
 
 
 def round_doubles(df: DataFrame, nd: int = 6) -> DataFrame:
-    """Round every double column (top level) for order-insensitive comparison."""
+    """Round every double column (top level) for order-insensitive comparison.
+
+    A 5e-10 nudge moves values that sit exactly on a rounding tie off it, so
+    both engines round them the same way whatever their summation order.
+    """
     cols = []
     for f in df.schema.fields:
         name = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(f"round({name}, {nd}) AS {name}")
+            # same tie nudge as the SQL twins (sqlbase.R)
+            cols.append(f"round({name} + 5e-10D, {nd}) AS {name}")
         else:
             cols.append(name)
     return df.selectExpr(*cols)

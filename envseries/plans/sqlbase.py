@@ -6,8 +6,14 @@ from .standins import AIR, EVENT_TYPES, PRIORITIES, PRIORITY_COLS, WEATHER
 
 
 def R(expr: str, nd: int = 6) -> str:
-    """Round a double expression for order-insensitive comparison."""
-    return f"round({expr}, {nd})"
+    """Round a double expression for order-insensitive comparison.
+
+    Values are nudged by 5e-10 before rounding, identically on the Spark
+    side (``registry.round_doubles``): a mean that lies exactly on a
+    rounding tie would otherwise round differently depending on the
+    floating-point summation order of each engine.
+    """
+    return f"round(({expr}) + 5e-10, {nd})"
 
 
 def _pivot(params, names, src, ts, par, val, unit):
