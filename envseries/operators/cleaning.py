@@ -170,22 +170,19 @@ def missingness_class_matrix(df: DataFrame, cols: Sequence[str], series: Sequenc
 
 
 def winsorize(df: DataFrame, cols: Sequence[str], q_low: float = 0.01, q_high: float = 0.99,
-              threshold_pct: float = 3.0, approx: bool = False, accuracy: int = 10000
-              ) -> DataFrame:
+              threshold_pct: float = 3.0, approx: bool = False, accuracy: int = 10000,
+              method: str | None = None) -> DataFrame:
     """Clip to [q_low, q_high] quantiles a column whose share of values outside
     exceeds ``threshold_pct`` percent of its non-null values.
 
     Quantiles come from one aggregate row that is cross-joined as a broadcast
     (one row: proven size); the whole decision stays inside the plan.
-    ``approx=True`` switches to ``percentile_approx`` for unbounded cardinality.
+    ``method`` as in ``quantile.quantile_row`` (``approx=True`` = "approx").
     """
-    def q(c: str, p: float):
-        if approx:
-            return F.percentile_approx(c, p, accuracy)
-        return F.percentile(c, p)
-
-    th = df.agg(*[q(c, p).alias(f"_{tag}_{c}") for c in cols
-                  for tag, p in (("lo", q_low), ("hi", q_high))])
+    from .quantile import quantile_row
+    method = method or ("approx" if approx else "percentile")
+    th = quantile_row(df, [(c, p, f"_{tag}_{c}") for c in cols for tag, p in (("lo", q_low), ("hi", q_high))],
+                      method, accuracy)
     d = df.crossJoin(F.broadcast(th))
     share = {}
     for c in cols:
@@ -202,10 +199,11 @@ def winsorize(df: DataFrame, cols: Sequence[str], q_low: float = 0.01, q_high: f
 
 
 def winsorize_report(df: DataFrame, cols: Sequence[str], q_low: float = 0.01, q_high: float = 0.99,
-                     threshold_pct: float = 3.0) -> DataFrame:
+                     threshold_pct: float = 3.0, method: str = "percentile") -> DataFrame:
     """Per column: quantile bounds, share outside, whether clipping applies."""
-    th = df.agg(*[F.percentile(c, p).alias(f"_{tag}_{c}") for c in cols
-                  for tag, p in (("lo", q_low), ("hi", q_high))])
+    from .quantile import quantile_row
+    th = quantile_row(df, [(c, p, f"_{tag}_{c}") for c in cols for tag, p in (("lo", q_low), ("hi", q_high))],
+                      method)
     d = df.crossJoin(F.broadcast(th))
     aggs = []
     for c in cols:

@@ -51,13 +51,14 @@ def rain_flag(df: DataFrame, precipitation: str, threshold: float = 0.1, out: st
 
 
 def joint_extreme_flag(df: DataFrame, high_col: str, low_col: str, q_high: float = 0.75,
-                       q_low: float = 0.25, out: str = "inversion", approx: bool = False) -> DataFrame:
+                       q_low: float = 0.25, out: str = "inversion", approx: bool = False,
+                       method: str | None = None) -> DataFrame:
     """1 when ``high_col`` > its q_high quantile and ``low_col`` < its q_low
-    quantile (inversion indicator, F8); nulls give 0."""
-    def q(c, p):
-        return f"percentile_approx(`{c}`, {p!r}, 10000)" if approx else f"percentile(`{c}`, {p!r})"
-    th = df.agg(F.expr(f"CAST({q(high_col, q_high)} AS DOUBLE) AS _qh"),
-                F.expr(f"CAST({q(low_col, q_low)} AS DOUBLE) AS _ql"))
+    quantile (inversion indicator, F8); nulls give 0.  ``method`` as in
+    ``quantile.quantile_row``."""
+    from .quantile import quantile_row
+    method = method or ("approx" if approx else "percentile")
+    th = quantile_row(df, [(high_col, q_high, "_qh"), (low_col, q_low, "_ql")], method)
     d = df.crossJoin(F.broadcast(th))
     flag = f"CAST(coalesce(`{high_col}` > _qh AND `{low_col}` < _ql, false) AS INT) AS `{out}`"
     return d.selectExpr(*[f"`{c}`" for c in df.columns], flag)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantile import quantile_row
+
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     num = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -106,27 +108,28 @@ def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99),
-              approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Linear-interpolated quantiles per column (G8); ``approx`` for huge inputs."""
-    aggs, structs = [], []
-    for i, c in enumerate(cols):
-        for j, p in enumerate(probs):
-            e = f"percentile_approx({_q(c)}, {p!r}, {accuracy})" if approx else f"percentile({_q(c)}, {p!r})"
-            aggs.append(F.expr(f"CAST({e} AS DOUBLE) AS _q{i}_{j}"))
-            structs.append(f"named_struct('column', {_lit(c)}, 'prob', {_lit(p)}, 'value', _q{i}_{j})")
-    return _tidy(df.agg(*aggs), structs)
+              approx: bool = False, accuracy: int = 10000, method: str | None = None) -> DataFrame:
+    """Linear-interpolated quantiles per column.
+
+    ``method`` as in ``quantile.quantile_row``: exact ``percentile`` (default),
+    exact by ``rank`` for raw tables, or ``approx``.
+    """
+    method = method or ("approx" if approx else "percentile")
+    specs = [(c, float(p), f"_q{i}_{j}") for i, c in enumerate(cols) for j, p in enumerate(probs)]
+    row = quantile_row(df, specs, method, accuracy)
+    return _tidy(row, [f"named_struct('column', {_lit(c)}, 'prob', {_lit(p)}, 'value', {a})" for c, p, a in specs])
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5, flag_pct: float = 5.0,
-                 approx: bool = False) -> DataFrame:
+                 approx: bool = False, method: str | None = None) -> DataFrame:
     """Q1, Q3, IQR, fences and outlier count / percent per column.
 
-    Pass 1: quartiles (one row, broadcast). Pass 2: conditional counts.
+    Pass 1: quartiles (one row, broadcast; ``method`` as in
+    ``quantile.quantile_row``). Pass 2: conditional counts.
     """
-    def q(c, p):
-        return f"percentile_approx({_q(c)}, {p}, 10000)" if approx else f"percentile({_q(c)}, {p})"
-    th = df.agg(*[F.expr(f"CAST({q(c, p)} AS DOUBLE) AS _{t}{i}") for i, c in enumerate(cols)
-                  for t, p in (("a", 0.25), ("b", 0.75))])
+    method = method or ("approx" if approx else "percentile")
+    th = quantile_row(df, [(c, p, f"_{t}{i}") for i, c in enumerate(cols) for t, p in (("a", 0.25), ("b", 0.75))],
+                      method)
     th = th.selectExpr(*[x for i in range(len(cols)) for x in (
         f"_a{i} AS q1_{i}", f"_b{i} AS q3_{i}", f"_a{i} - {k!r} * (_b{i} - _a{i}) AS lo_{i}",
         f"_b{i} + {k!r} * (_b{i} - _a{i}) AS hi_{i}")])

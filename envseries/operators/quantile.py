@@ -71,3 +71,28 @@ def rank_quantiles_wide(df: DataFrame, value: str, probs: Sequence[float], names
     long = rank_quantiles(df, value, probs, groups)
     aggs = [F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(n) for p, n in zip(probs, names)]
     return long.groupBy(*groups).agg(*aggs, F.max("n").alias("n"))
+
+
+def quantile_row(df: DataFrame, specs: Sequence[tuple[str, float, str]], method: str = "percentile",
+                 accuracy: int = 10000) -> DataFrame:
+    """One row with the requested quantiles: ``specs`` = (column, prob, alias).
+
+    ``method``: ``"percentile"`` (exact, buffers a group's values -- bounded
+    tables), ``"rank"`` (exact by rank, no value buffer -- raw tables) or
+    ``"approx"`` (``percentile_approx``).  The row is meant to be
+    cross-joined as a broadcast (one row: a proven size).
+    """
+    if method == "rank":
+        cols = sorted({c for c, _, _ in specs})
+        probs = sorted({float(p) for _, p, _ in specs})
+        pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+        long = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (_col, _val)")
+        q = rank_quantiles(long, "_val", probs, ["_col"])
+        return q.agg(*[F.expr(f"max(CASE WHEN _col = '{c}' AND prob = {float(p)!r}D THEN value END) AS `{a}`")
+                       for c, p, a in specs])
+    if method == "approx":
+        return df.agg(*[F.expr(f"CAST(percentile_approx(`{c}`, {float(p)!r}, {accuracy}) AS DOUBLE) AS `{a}`")
+                        for c, p, a in specs])
+    if method != "percentile":
+        raise ValueError(f"unknown quantile method {method!r}")
+    return df.agg(*[F.expr(f"CAST(percentile(`{c}`, {float(p)!r}) AS DOUBLE) AS `{a}`") for c, p, a in specs])

@@ -121,3 +121,22 @@ def test_rank_quantiles_equal_percentile(spark):
             assert got[(r.g, p)] == pytest.approx(q, rel=1e-12, abs=1e-12)
     whole = {r.prob: r.value for r in rank_quantiles(df, "v", [0.5]).collect()}
     assert whole[0.5] == pytest.approx(df.agg(F.median("v")).first()[0])
+
+
+@pytest.mark.parametrize("op", ["quantiles", "iqr", "winsorize", "flag"])
+def test_rank_method_equals_percentile(spark, op):
+    from envseries.operators import cleaning, features, profile
+    h = D.hourly_wide(spark, SF01)
+    cols = ["click", "error", "view"]
+
+    def run(method):
+        if op == "quantiles":
+            out = profile.quantiles(h, cols, method=method)
+        elif op == "iqr":
+            out = profile.iqr_outliers(h, cols, method=method)
+        elif op == "winsorize":
+            out = cleaning.winsorize(h, cols, threshold_pct=0.0, method=method)
+        else:
+            out = features.joint_extreme_flag(h, "purchase", "signup", method=method)
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out.collect())
+    assert run("rank") == run("percentile")
