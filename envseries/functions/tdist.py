@@ -66,7 +66,7 @@ def betainc_sql(a: str, b: str, x: str, iters: int = 2000) -> str:
     front = (f"exp({lgamma_sql('acc.aa + acc.bb')} - {lgamma_sql('acc.aa')} - {lgamma_sql('acc.bb')} "
              f"+ acc.aa * ln(acc.xx) + acc.bb * ln(1.0D - acc.xx))")
     finish = f"acc -> CASE WHEN acc.direct THEN {front} * acc.h / acc.aa ELSE 1.0D - {front} * acc.h / acc.aa END"
-    n = f"least({iters}, CAST(50.0D + 8.0D * sqrt(greatest({a}, {b})) AS INT))"
+    n = f"least({iters}, CAST(20.0D + 3.0D * sqrt(greatest({a}, {b})) AS INT))"
     return f"aggregate(sequence(1, 2 * {n}), {init}, {step}, {finish})"
 
 
