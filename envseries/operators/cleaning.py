@@ -149,7 +149,6 @@ def missingness_class_matrix(df: DataFrame, cols: Sequence[str], series: Sequenc
     per_m = df.groupBy(*series, F.month(ts).alias("month")).agg(
         *[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in cols])
     long = per_m.unpivot([*series, "month"], list(cols), "column", "rate")
-    months = F.sequence(F.lit(1), F.lit(12))
     agg = long.groupBy(*series, "column").agg(
         F.sum("rate").alias("_sum"), F.sum(F.col("rate") * F.col("rate")).alias("_sq"),
         F.max("rate").alias("_max"),
@@ -163,7 +162,6 @@ def missingness_class_matrix(df: DataFrame, cols: Sequence[str], series: Sequenc
     cls = (F.when((F.col("cv") >= 0.5) & (n_active <= 6), "MAR")
            .when(F.col("cv") < 0.35, "MCAR")
            .otherwise("MCAR/MAR"))
-    del months
     return agg.select(*series, "column", "cv", n_active.alias("n_active"),
                       F.array_join(F.transform("active_months", lambda m: m.cast("string")), ",")
                       .alias("active_months"), cls.alias("missing_class"))

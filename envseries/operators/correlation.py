@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bins import value_bucket, value_bucket_sql
+from ..functions.bins import value_bucket_sql
 from ..functions.stats import pearson
 from . import scan
 
@@ -34,9 +34,6 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str
     return row.selectExpr(f"inline(array({', '.join(parts)}))")
 
 
-_value_bucket = value_bucket
-
-
 def average_rank(df: DataFrame, value: str, groups: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Average rank (ties share the mean rank) of ``value`` within ``groups``.
 
@@ -106,7 +103,6 @@ def top_pairs(matrix: DataFrame, left: Sequence[str], right: Sequence[str], k: i
 def target_relevance(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """Correlation of each feature with the target, ranked by |r| (C4)."""
     m = pearson_matrix(df, [], pairs=[(f, target) for f in features])
-    w = Window.orderBy(F.abs(F.col("r")).desc_nulls_last(), F.col("var_a"))
     return (m.select(F.col("var_a").alias("feature"), "r", "n")
             .withColumn("rank", F.row_number().over(Window.orderBy(
                 F.abs(F.col("r")).desc_nulls_last(), F.col("feature")))))

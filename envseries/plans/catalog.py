@@ -1,21 +1,8 @@
-"""The registered query catalogue (imports every query group)."""
+"""The registered query catalogue: importing the query groups registers them."""
 
 from __future__ import annotations
 
-from . import q_prepare  # noqa: F401  (registers queries)
+from . import q_analyse, q_clean, q_models, q_prepare  # noqa: F401  (register on import)
 from .registry import REGISTRY, Entry
 
-try:  # later groups register on import
-    from . import q_clean  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-try:
-    from . import q_analyse  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-try:
-    from . import q_models  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-
 __all__ = ["REGISTRY", "Entry"]
