@@ -41,11 +41,12 @@ def read_long_csv(spark: SparkSession, path: str, *, ts: str = "Datum",
     parsed with its offset, converted to UTC and returned zone-less as ``ts``;
     output columns: ``ts, parameter, value`` plus ``extra``.
     """
-    fields = [T.StructField(ts, T.StringType()), T.StructField(parameter, T.StringType()),
-              T.StructField(value, T.StringType())]
-    fields += [T.StructField(e, T.StringType()) for e in extra]
-    raw = (spark.read.option("header", True).option("sep", sep)
-           .option("enforceSchema", False).schema(T.StructType(fields)).csv(path))
+    # every column as string from the header (no inference pass); columns not
+    # named here (station, unit, ...) are simply not selected
+    raw = spark.read.option("header", True).option("sep", sep).csv(path)
+    missing = [c for c in (ts, parameter, value, *extra) if c not in raw.columns]
+    if missing:
+        raise ValueError(f"columns {missing} not in {path}")
     out = raw.select(
         parse_offset_ts(F.col(ts)).alias("ts"),
         F.trim(F.col(parameter)).alias("parameter"),
