@@ -50,7 +50,8 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str], k: float = 1.5,
 def histogram(df: DataFrame, value: str, bins: int = 60, group: Sequence[str] = (),
               density: bool = False) -> DataFrame:
     """Equal-width histogram over each group's [min, max]; the last bin is closed;
-    empty bins appear with 0 (G18 / G19).  Adds the group mean and median.
+    empty bins appear with 0 (G18 / G19); a group with one distinct value uses
+    [v - 0.5, v + 0.5].  Adds the group mean and median.
     ``density`` divides counts by (n * bin width).
     """
     group = list(group)
@@ -58,6 +59,10 @@ def histogram(df: DataFrame, value: str, bins: int = 60, group: Sequence[str] =
     r = d.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                               F.count(F.lit(1)).alias("n_total"), F.avg("_v").alias("mean"),
                               F.median("_v").alias("median"))
+    # a single distinct value spans [v - 0.5, v + 0.5], as numpy's histogram does
+    r = r.selectExpr(*[f"`{g}`" for g in group], "n_total", "mean", "median",
+                     "CASE WHEN _hi = _lo THEN _lo - 0.5D ELSE _lo END AS _lo",
+                     "CASE WHEN _hi = _lo THEN _hi + 0.5D ELSE _hi END AS _hi")
     width = (F.col("_hi") - F.col("_lo")) / bins
     j = d.join(r, group) if group else d.crossJoin(F.broadcast(r))
     b = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(

@@ -116,7 +116,8 @@ def cv_r2(train: DataFrame, target: str, features: Sequence[str], kind: str, key
         tr = t.filter(F.col("_fold") != k).drop("_fold")
         va = t.filter(F.col("_fold") == k).drop("_fold")
         _, pred, _ = fit_predict(tr, va, target, features, kind)
-        scores.append(float(regression_metrics(pred, target, kind).first()["r2"]))
+        r2 = regression_metrics(pred, target, kind).first()["r2"]
+        scores.append(float("nan") if r2 is None else float(r2))  # undefined on a constant fold
     mean = sum(scores) / len(scores)
     std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
     return mean, std, scores

@@ -180,12 +180,14 @@ def _hist_sql(src: str, value: str, bins: int, group: str | None = None, density
             if density else "")
     return f"""
 WITH d AS (SELECT {g}CAST({value} AS DOUBLE) AS v FROM ({src}) WHERE {value} IS NOT NULL),
-r AS (SELECT {g}min(v) AS lo, max(v) AS hi, count(*) AS n_total, avg(v) AS mean, median(v) AS median FROM d
+r0 AS (SELECT {g}min(v) AS lo0, max(v) AS hi0, count(*) AS n_total, avg(v) AS mean, median(v) AS median FROM d
       {'GROUP BY ' + group if group else ''}),
+r AS (SELECT *, CASE WHEN hi0 = lo0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+             CASE WHEN hi0 = lo0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM r0),
 b AS (SELECT {g}CAST(least(CASE WHEN hi = lo THEN 0 ELSE floor((v - lo) / ((hi - lo) / {bins})) END, {bins - 1}) AS INTEGER) AS bin
       FROM d JOIN r {gj}),
 c AS (SELECT {g}bin, count(*) AS n FROM b GROUP BY {'ALL'}),
-dom AS (SELECT r.*, CAST(unnest(range(0, {bins})) AS INTEGER) AS bin FROM r)
+dom AS (SELECT r.* EXCLUDE (lo0, hi0), CAST(unnest(range(0, {bins})) AS INTEGER) AS bin FROM r)
 SELECT {'dom.' + group + ', ' if group else ''}dom.bin, {R(f'lo + (hi - lo) / {bins} * dom.bin')} AS bin_low,
        {R(f'lo + (hi - lo) / {bins} * (dom.bin + 1)')} AS bin_high, coalesce(c.n, 0) AS n, n_total,
        {R('mean')} AS mean, {R('median')} AS median{dens.replace('r.', 'dom.')}

@@ -140,3 +140,12 @@ def test_rank_method_equals_percentile(spark, op):
             out = features.joint_extreme_flag(h, "purchase", "signup", method=method)
         return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out.collect())
     assert run("rank") == run("percentile")
+
+
+def test_histogram_single_value_uses_numpy_range(spark):
+    from envseries.operators import distribution
+    df = spark.createDataFrame([(3.0,), (3.0,)], "v double")
+    out = distribution.histogram(df, "v", 4).orderBy("bin").collect()
+    counts, edges = np.histogram([3.0, 3.0], bins=4)
+    assert [r.n for r in out] == list(counts)
+    assert [r.bin_low for r in out] == pytest.approx(list(edges[:-1]))
