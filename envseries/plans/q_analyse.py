@@ -87,7 +87,7 @@ rk AS (SELECT lag, {avg_rank_sql('round(x, 6)', 'lag')} AS rx, {avg_rank_sql('ro
 sp AS (SELECT lag, {pearson_sql('rx', 'ry')} AS spearman FROM rk GROUP BY lag)"""
 
 
-@query("lag_correlation", "C6 W5 D13", _LAG_SQL + f"""
+@query("lag_correlation", "C6 W5 D13 P4", _LAG_SQL + f"""
 SELECT lag, {R('pearson')} AS pearson, n, {R('spearman')} AS spearman FROM pe JOIN sp USING (lag)""")
 def lag_correlation(spark, d):
     return correlation.lag_correlation(D.hourly_wide(spark, d), "purchase", "click", 6, bucket="day")
@@ -117,7 +117,7 @@ c AS (SELECT n, mx, {a0} AS a0, {a1} AS a1, {a2} AS a2 FROM s)
 SELECT CAST(n AS BIGINT) AS n, a2 AS c2, a1 - 2 * a2 * mx AS c1, a0 - a1 * mx + a2 * mx * mx AS c0 FROM c WHERE n > 10"""
 
 
-@query("quad_trend", "C7", f"SELECT n, {R('c2')} AS c2, {R('c1')} AS c1, {R('c0')} AS c0 FROM ({_quad_sql(S.HOURLY, 'signup', 'view')})")
+@query("quad_trend", "C7 P4", f"SELECT n, {R('c2')} AS c2, {R('c1')} AS c1, {R('c0')} AS c0 FROM ({_quad_sql(S.HOURLY, 'signup', 'view')})")
 def quad_trend(spark, d):
     return correlation.quad_trend(D.hourly_wide(spark, d), "signup", "view")
 
