@@ -40,44 +40,57 @@ def _guard(v: str) -> str:
     return f"(CASE WHEN abs({v}) < {_TINY} THEN {_TINY} ELSE {v} END)"
 
 
+def _let(value: str, var: str, body: str) -> str:
+    """Bind ``value`` to lambda variable ``var`` once, then evaluate ``body``
+    (a one-element ``transform``): keeps repeated sub-expressions out of the
+    expression tree the optimizer and code generator have to walk."""
+    return f"transform(array({value}), {var} -> {body})[0]"
+
+
 def betainc_sql(a: str, b: str, x: str, iters: int = 2000) -> str:
     """Regularised incomplete beta I_x(a, b), 0 < x < 1, as SQL text.
 
     The symmetry switch is taken before the loop (one continued fraction);
     the loop runs O(sqrt(max(a, b))) iterations -- the convergence rate of
     the fraction -- capped at ``iters``; each iteration is two half-steps
-    reading only accumulator fields.
+    reading only accumulator fields, with every repeated term bound once.
     """
-    direct = f"(({x}) < (({a}) + 1.0D) / (({a}) + ({b}) + 2.0D))"
-    aa = f"(CASE WHEN {direct} THEN ({a}) ELSE ({b}) END)"
-    bb = f"(CASE WHEN {direct} THEN ({b}) ELSE ({a}) END)"
-    xx = f"(CASE WHEN {direct} THEN ({x}) ELSE 1.0D - ({x}) END)"
-    d0 = f"(1.0D / {_guard(f'1.0D - (({a}) + ({b})) * {xx} / ({aa} + 1.0D)')})"
-    init = (f"named_struct('aa', {aa}, 'bb', {bb}, 'xx', {xx}, 'direct', {direct}, "
+    inner = _betainc_bound(iters)
+    return _let(f"named_struct('a', CAST({a} AS DOUBLE), 'b', CAST({b} AS DOUBLE), 'x', CAST({x} AS DOUBLE))",
+                "q", inner)
+
+
+def _betainc_bound(iters: int) -> str:
+    """Body of ``betainc_sql`` over the bound struct ``q`` (fields a, b, x)."""
+    direct = "(q.x < (q.a + 1.0D) / (q.a + q.b + 2.0D))"
+    sw = (f"named_struct('aa', CASE WHEN {direct} THEN q.a ELSE q.b END, "
+          f"'bb', CASE WHEN {direct} THEN q.b ELSE q.a END, "
+          f"'xx', CASE WHEN {direct} THEN q.x ELSE 1.0D - q.x END, 'direct', {direct})")
+    d0 = f"(1.0D / {_guard('1.0D - (w.aa + w.bb) * w.xx / (w.aa + 1.0D)')})"
+    init = (f"named_struct('aa', w.aa, 'bb', w.bb, 'xx', w.xx, 'direct', w.direct, "
             f"'c', 1.0D, 'd', {d0}, 'h', {d0})")
     m = "CAST(ceil(k / 2.0D) AS DOUBLE)"
     odd = f"({m} * (acc.bb - {m}) * acc.xx / ((acc.aa - 1.0D + 2.0D * {m}) * (acc.aa + 2.0D * {m})))"
     even = f"(-(acc.aa + {m}) * (acc.aa + acc.bb + {m}) * acc.xx / ((acc.aa + 2.0D * {m}) * (acc.aa + 1.0D + 2.0D * {m})))"
-    coef = f"(CASE WHEN pmod(k, 2) = 1 THEN {odd} ELSE {even} END)"
-    dn = f"(1.0D / {_guard(f'1.0D + {coef} * acc.d')})"
-    cn = _guard(f"1.0D + {coef} / acc.c")
-    step = (f"(acc, k) -> named_struct('aa', acc.aa, 'bb', acc.bb, 'xx', acc.xx, 'direct', acc.direct, "
-            f"'c', {cn}, 'd', {dn}, 'h', acc.h * {dn} * {cn})")
+    coef = f"CASE WHEN pmod(k, 2) = 1 THEN {odd} ELSE {even} END"
+    upd = f"named_struct('dn', 1.0D / {_guard('1.0D + cf * acc.d')}, 'cn', {_guard('1.0D + cf / acc.c')})"
+    new_acc = ("named_struct('aa', acc.aa, 'bb', acc.bb, 'xx', acc.xx, 'direct', acc.direct, "
+               "'c', z.cn, 'd', z.dn, 'h', acc.h * z.dn * z.cn)")
+    step = f"(acc, k) -> {_let(coef, 'cf', _let(upd, 'z', new_acc))}"
     front = (f"exp({lgamma_sql('acc.aa + acc.bb')} - {lgamma_sql('acc.aa')} - {lgamma_sql('acc.bb')} "
              f"+ acc.aa * ln(acc.xx) + acc.bb * ln(1.0D - acc.xx))")
-    finish = f"acc -> CASE WHEN acc.direct THEN {front} * acc.h / acc.aa ELSE 1.0D - {front} * acc.h / acc.aa END"
-    n = f"least({iters}, CAST(20.0D + 3.0D * sqrt(greatest({a}, {b})) AS INT))"
-    return f"aggregate(sequence(1, 2 * {n}), {init}, {step}, {finish})"
+    finish = f"acc -> {_let(front, 'fr', 'CASE WHEN acc.direct THEN fr * acc.h / acc.aa ELSE 1.0D - fr * acc.h / acc.aa END')}"
+    n = f"least({iters}, CAST(20.0D + 3.0D * sqrt(greatest(q.a, q.b)) AS INT))"
+    loop = f"aggregate(sequence(1, 2 * {n}), {init}, {step}, {finish})"
+    return _let(sw, "w", loop)
 
 
 def t_pvalue_sql(t: str, dof: str, iters: int = 2000) -> str:
     """Two-sided Student-t p-value of columns/expressions ``t`` and ``dof`` (SQL text)."""
-    tt, df = f"CAST({t} AS DOUBLE)", f"CAST({dof} AS DOUBLE)"
-    x = f"({df} / ({df} + {tt} * {tt}))"
-    p = betainc_sql(f"({df} / 2.0D)", "0.5D", x, iters)
-    return (f"CASE WHEN {tt} IS NULL OR {df} IS NULL OR {df} <= 0 OR isnan({tt}) OR isnan({df}) THEN NULL "
-            f"WHEN {x} >= 1.0D THEN 1.0D WHEN {x} <= 0.0D THEN 0.0D "
-            f"ELSE least(greatest({p}, 0.0D), 1.0D) END")
+    body = ("CASE WHEN s.t IS NULL OR s.d IS NULL OR s.d <= 0 OR isnan(s.t) OR isnan(s.d) THEN NULL "
+            "WHEN s.d / (s.d + s.t * s.t) >= 1.0D THEN 1.0D WHEN s.d / (s.d + s.t * s.t) <= 0.0D THEN 0.0D "
+            f"ELSE least(greatest({betainc_sql('s.d / 2.0D', '0.5D', 's.d / (s.d + s.t * s.t)', iters)}, 0.0D), 1.0D) END")
+    return _let(f"named_struct('t', CAST({t} AS DOUBLE), 'd', CAST({dof} AS DOUBLE))", "s", body)
 
 
 def t_pvalue(t: str, dof: str, iters: int = 2000) -> Column:
