@@ -70,13 +70,43 @@ def _pair_long(df: DataFrame, pairs: Sequence[tuple[str, str]], decimals: int |
     return df.selectExpr(f"inline(array({arr}))").filter("x IS NOT NULL AND y IS NOT NULL")
 
 
+def ranked_pairs(pairs: DataFrame, groups: Sequence[str], ids: Sequence[str], x: str, y: str,
+                 decimals: int | None = 6) -> DataFrame:
+    """Average ranks of ``x`` and ``y`` within ``groups`` in ONE rank pass.
+
+    ``ids`` must identify a row within its group (e.g. a time key or a
+    position).  Both sides are stacked, ranked per (groups, side) and pivoted
+    back on (groups, ids); output: groups, ids, ``_x``, ``_y``, ``_rx``, ``_ry``.
+    """
+    groups, ids = list(groups), list(ids)
+    rnd = (lambda c: f"round({c}, {decimals})") if decimals is not None else (lambda c: c)
+    xs, ys = f"CAST(`{x}` AS DOUBLE)", f"CAST(`{y}` AS DOUBLE)"
+    long = pairs.selectExpr(*[f"`{c}`" for c in groups + ids],
+                            f"inline(array(named_struct('_side', 0, '_v', {rnd(xs)}, '_raw', {xs}), "
+                            f"named_struct('_side', 1, '_v', {rnd(ys)}, '_raw', {ys})))")
+    ranked = average_rank(long, "_v", [*groups, "_side"], "_rk")
+    return ranked.groupBy(*groups, *ids).agg(
+        F.expr("max(CASE WHEN _side = 0 THEN _raw END) AS _x"), F.expr("max(CASE WHEN _side = 1 THEN _raw END) AS _y"),
+        F.expr("max(CASE WHEN _side = 0 THEN _rk END) AS _rx"), F.expr("max(CASE WHEN _side = 1 THEN _rk END) AS _ry"))
+
+
 def spearman_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None,
-                    decimals: int | None = 6, materialize: bool = False) -> DataFrame:
+                    decimals: int | None = 6, materialize: bool = False,
+                    key: Sequence[str] | None = None) -> DataFrame:
     """Spearman rho for every pair (C2): average ranks on the pair's complete
     rows, then Pearson of the ranks.  Inputs are rounded to ``decimals`` so
-    that float noise neither creates nor breaks ties.
+    that float noise neither creates nor breaks ties.  With a unique row
+    ``key`` both sides are ranked in one pass (``ranked_pairs``).
     """
     pairs = list(pairs) if pairs is not None else _pairs(cols)
+    if key:
+        key = list(key)
+        arr = ", ".join(f"named_struct('var_a', '{a}', 'var_b', '{b}', 'x', CAST(`{a}` AS DOUBLE), "
+                        f"'y', CAST(`{b}` AS DOUBLE))" for a, b in pairs)
+        long = df.selectExpr(*[f"`{k}`" for k in key], f"inline(array({arr}))") \
+                 .filter("x IS NOT NULL AND y IS NOT NULL")
+        r = ranked_pairs(long, ["var_a", "var_b"], key, "x", "y", decimals)
+        return r.groupBy("var_a", "var_b").agg(pearson("_rx", "_ry").alias("rho"), F.expr("count(1) AS n"))
     long = _pair_long(df, pairs, decimals)
     if materialize:
         from ..session import materialize as _mat
@@ -87,8 +117,9 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[st
                                            F.count(F.lit(1)).alias("n"))
 
 
-def spearman(df: DataFrame, a: str, b: str, decimals: int | None = 6) -> DataFrame:
-    return spearman_matrix(df, [a, b], decimals=decimals)
+def spearman(df: DataFrame, a: str, b: str, decimals: int | None = 6,
+             key: Sequence[str] | None = None) -> DataFrame:
+    return spearman_matrix(df, [a, b], decimals=decimals, key=key)
 
 
 def top_pairs(matrix: DataFrame, left: Sequence[str], right: Sequence[str], k: int = 10,
@@ -139,17 +170,9 @@ def lag_correlation(df: DataFrame, x: str, y: str, max_lag: int = 6, series: Seq
         # upstream plan is expensive
         from ..session import materialize as _mat
         pairs = _mat(pairs)
-    # rank x and y in ONE pass: stack them, rank per (lag, side), pivot back
-    # on the row id (series, position) -- unique and deterministic
+    # rank x and y in ONE pass, keyed by (series, position) -- unique, deterministic
     ids = [f"__s_{s}" for s in series] + ["_tp"]
-    rnd = (lambda c: f"round({c}, {decimals})") if decimals is not None else (lambda c: c)
-    long = pairs.selectExpr(*[f"`{c}`" for c in ids], "lag",
-                            f"inline(array(named_struct('_side', 0, '_v', {rnd('_x')}, '_raw', _x), "
-                            f"named_struct('_side', 1, '_v', {rnd('_y')}, '_raw', _y)))")
-    ranked = average_rank(long, "_v", ["lag", "_side"], "_rk")
-    wide = ranked.groupBy("lag", *ids).agg(
-        F.expr("max(CASE WHEN _side = 0 THEN _raw END) AS _x"), F.expr("max(CASE WHEN _side = 1 THEN _raw END) AS _y"),
-        F.expr("max(CASE WHEN _side = 0 THEN _rk END) AS _rx"), F.expr("max(CASE WHEN _side = 1 THEN _rk END) AS _ry"))
+    wide = ranked_pairs(pairs, ["lag"], ids, "_x", "_y", decimals)
     return wide.groupBy("lag").agg(pearson("_x", "_y").alias("pearson"), F.expr("count(1) AS n"),
                                    pearson("_rx", "_ry").alias("spearman"))
 

@@ -39,11 +39,13 @@ HYPOTHESES = (
 )
 
 
-def corr_test(df: DataFrame, a: str, b: str, decimals: int | None = 6) -> DataFrame:
-    """Pearson r, t, p and Spearman rho, t, p over pairwise-complete rows (H1)."""
+def corr_test(df: DataFrame, a: str, b: str, decimals: int | None = 6,
+              key: Sequence[str] | None = None) -> DataFrame:
+    """Pearson r, t, p and Spearman rho, t, p over pairwise-complete rows (H1).
+    ``key`` (a unique row key) lets the ranks be computed in one pass."""
     pr = df.agg(pearson(a, b).alias("r"),
                 F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"))
-    sp = spearman(df, a, b, decimals).select("rho")
+    sp = spearman(df, a, b, decimals, key=key).select("rho")
     row = pr.crossJoin(sp)
     row = row.withColumn("t", t_from_r(F.col("r"), F.col("n"))) \
              .withColumn("t_s", t_from_r(F.col("rho"), F.col("n")))

@@ -39,7 +39,7 @@ def _spearman_sql(src: str, a: str, b: str, where: str = "") -> str:
 
 @query("spearman_matrix", "C2 W7", " UNION ALL ".join(_spearman_sql(S.HOURLY, a, b) for a, b in PAIRS))
 def spearman_matrix(spark, d):
-    return correlation.spearman_matrix(D.hourly_wide(spark, d), TYPES)
+    return correlation.spearman_matrix(D.hourly_wide(spark, d), TYPES, key=["ts"])
 
 
 CROSS = [(a, b) for a, b in PAIRS if (a in D.AIR) != (b in D.AIR)]
@@ -312,7 +312,7 @@ WITH RECURSIVE st AS ({_corr_stats_sql(S.FINAL, 'purchase', 'click')}),
 SELECT var_a, var_b, n, {R('r')} AS r, {R('t')} AS t, {R("(SELECT p FROM pv WHERE id = 'r')")} AS p,
        {R('rho')} AS rho, {R("(SELECT p FROM pv WHERE id = 's')")} AS p_rho FROM st""")
 def corr_test(spark, d):
-    return hypothesis.corr_test(D.final_table(spark, d), "purchase", "click")
+    return hypothesis.corr_test(D.final_table(spark, d), "purchase", "click", key=["ts"])
 
 
 @query("welch_test", "H2", f"""

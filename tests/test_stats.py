@@ -149,3 +149,13 @@ def test_histogram_single_value_uses_numpy_range(spark):
     counts, edges = np.histogram([3.0, 3.0], bins=4)
     assert [r.n for r in out] == list(counts)
     assert [r.bin_low for r in out] == pytest.approx(list(edges[:-1]))
+
+
+def test_spearman_one_pass_equals_two_pass(spark):
+    h = D.hourly_wide(spark, SF01)
+    cols = ["click", "error", "view", "signup"]
+    a = {(r.var_a, r.var_b): (r.rho, r.n) for r in correlation.spearman_matrix(h, cols).collect()}
+    b = {(r.var_a, r.var_b): (r.rho, r.n) for r in correlation.spearman_matrix(h, cols, key=["ts"]).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][1] == b[k][1] and a[k][0] == pytest.approx(b[k][0], abs=1e-12)
