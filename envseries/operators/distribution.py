@@ -81,10 +81,23 @@ def histogram(df: DataFrame, value: str, bins: int = 60, group: Sequence[str] =
     return out.select(*cols)
 
 
-def group_stat(df: DataFrame, value: str | Sequence[str], group: Sequence[str], stat: str = "median"
-               ) -> DataFrame:
-    """Median / mean / sum of one or more values per group."""
+def group_stat(df: DataFrame, value: str | Sequence[str], group: Sequence[str], stat: str = "median",
+               method: str = "percentile") -> DataFrame:
+    """Median / mean / sum of one or more values per group.
+
+    ``method="rank"`` computes medians by rank (``quantile.py``) instead of
+    buffering a group's values -- for groups that are a large share of a raw table.
+    """
     values = [value] if isinstance(value, str) else list(value)
+    group = list(group)
+    if stat == "median" and method == "rank":
+        from .quantile import rank_quantiles
+        pairs = ", ".join(f"'{v}', CAST(`{v}` AS DOUBLE)" for v in values)
+        long = df.selectExpr(*[f"`{g}`" for g in group], f"stack({len(values)}, {pairs}) AS (_col, _val)")
+        q = rank_quantiles(long, "_val", [0.5], [*group, "_col"])
+        med = q.groupBy(*group).agg(*[F.expr(f"max(CASE WHEN _col = '{v}' THEN value END) AS `{v}`") for v in values])
+        keys = df.select(*group).distinct()  # groups whose values are all null keep a null median
+        return keys.join(med, group, "left") if group else med
     fn = {"median": F.median, "mean": F.avg, "sum": F.sum, "count": F.count}[stat]
     return df.groupBy(*group).agg(*[fn(v).alias(v) for v in values])
 

@@ -79,16 +79,25 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: boo
                        f"'max_value', _mx{i}, 'n_distinct', _d{i}, 'n_non_null', _c{i})" for i, c in enumerate(cols)])
 
 
-def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """count, mean, sample std, min, median, max per column."""
+def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, method: str | None = None) -> DataFrame:
+    """count, mean, sample std, min, median, max per column.
+
+    The median follows ``method`` as in ``quantile.quantile_row``; with
+    ``"rank"`` it comes from a separate one-row frame (no value buffer).
+    """
+    method = method or ("approx" if approx else "percentile")
     aggs = []
     for i, c in enumerate(cols):
         x = _q(c)
-        med = f"percentile_approx({x}, 0.5, 10000)" if approx else f"median({x})"
         aggs += [F.expr(f"count({x}) AS _n{i}"), F.expr(f"avg({x}) AS _a{i}"), F.expr(f"stddev_samp({x}) AS _s{i}"),
-                 F.expr(f"CAST(min({x}) AS DOUBLE) AS _mn{i}"), F.expr(f"CAST({med} AS DOUBLE) AS _md{i}"),
-                 F.expr(f"CAST(max({x}) AS DOUBLE) AS _mx{i}")]
+                 F.expr(f"CAST(min({x}) AS DOUBLE) AS _mn{i}"), F.expr(f"CAST(max({x}) AS DOUBLE) AS _mx{i}")]
+        if method == "percentile":
+            aggs.append(F.expr(f"CAST(median({x}) AS DOUBLE) AS _md{i}"))
+        elif method == "approx":
+            aggs.append(F.expr(f"CAST(percentile_approx({x}, 0.5, 10000) AS DOUBLE) AS _md{i}"))
     row = df.agg(*aggs)
+    if method == "rank":
+        row = row.crossJoin(quantile_row(df, [(c, 0.5, f"_md{i}") for i, c in enumerate(cols)], "rank"))
     return _tidy(row, [f"named_struct('column', {_lit(c)}, 'n', _n{i}, 'mean', _a{i}, 'std', _s{i}, 'min', _mn{i}, "
                        f"'median', _md{i}, 'max', _mx{i})" for i, c in enumerate(cols)])
 

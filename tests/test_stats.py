@@ -159,3 +159,15 @@ def test_spearman_one_pass_equals_two_pass(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert a[k][1] == b[k][1] and a[k][0] == pytest.approx(b[k][0], abs=1e-12)
+
+
+def test_rank_medians_in_describe_and_group_stat(spark):
+    from envseries.operators import distribution, profile
+    h = D.hourly_wide(spark, SF01).withColumn("hour", F.hour("ts"))
+    cols = ["click", "error", "view"]
+
+    def rows(df):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rows(profile.describe(h, cols, method="rank")) == rows(profile.describe(h, cols))
+    assert rows(distribution.group_stat(h, cols, ["hour"], "median", method="rank")) == \
+        rows(distribution.group_stat(h, cols, ["hour"], "median"))
