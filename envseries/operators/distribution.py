@@ -48,7 +48,7 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str], k: float = 1.5,
 
 
 def histogram(df: DataFrame, value: str, bins: int = 60, group: Sequence[str] = (),
-              density: bool = False) -> DataFrame:
+              density: bool = False, method: str = "percentile") -> DataFrame:
     """Equal-width histogram over each group's [min, max]; the last bin is closed;
     empty bins appear with 0 (G18 / G19); a group with one distinct value uses
     [v - 0.5, v + 0.5].  Adds the group mean and median.
@@ -56,9 +56,16 @@ def histogram(df: DataFrame, value: str, bins: int = 60, group: Sequence[str] =
     """
     group = list(group)
     d = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    r = d.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                              F.count(F.lit(1)).alias("n_total"), F.avg("_v").alias("mean"),
-                              F.median("_v").alias("median"))
+    if method == "rank":  # median by rank: no per-group value buffer
+        from .quantile import rank_quantiles
+        med = rank_quantiles(d, "_v", [0.5], group).select(*group, F.col("value").alias("median"))
+        r = d.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                  F.count(F.lit(1)).alias("n_total"), F.avg("_v").alias("mean"))
+        r = r.join(med, group) if group else r.crossJoin(med)
+    else:
+        r = d.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                  F.count(F.lit(1)).alias("n_total"), F.avg("_v").alias("mean"),
+                                  F.median("_v").alias("median"))
     # a single distinct value spans [v - 0.5, v + 0.5], as numpy's histogram does
     r = r.selectExpr(*[f"`{g}`" for g in group], "n_total", "mean", "median",
                      "CASE WHEN _hi = _lo THEN _lo - 0.5D ELSE _lo END AS _lo",

@@ -171,3 +171,13 @@ def test_rank_medians_in_describe_and_group_stat(spark):
     assert rows(profile.describe(h, cols, method="rank")) == rows(profile.describe(h, cols))
     assert rows(distribution.group_stat(h, cols, ["hour"], "median", method="rank")) == \
         rows(distribution.group_stat(h, cols, ["hour"], "median"))
+
+
+def test_histogram_rank_median(spark):
+    from envseries.operators import distribution
+    f = D.final_table(spark, SF01)
+
+    def rows(df):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rows(distribution.histogram(f, "click", 50, ["inversion"], density=True, method="rank")) == \
+        rows(distribution.histogram(f, "click", 50, ["inversion"], density=True))
