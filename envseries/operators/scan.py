@@ -60,6 +60,12 @@ def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str
     ``_next_c`` = struct(p, v) of the first non-null at or after the row.
     ``ts`` must be unique within a series (dedupe first, ``cleaning.dedupe_first``).
 
+    ``bucket`` (a ``date_trunc`` unit) sets the unit of work: one (series,
+    bucket) is one window partition, so pick it such that a bucket fits a
+    task -- ``month`` for hourly tables (at most 744 rows per series and
+    bucket), ``day`` / ``hour`` / ``minute`` for raw high-frequency rows.
+    The bucket table has one row per (series, bucket).
+
     The many similar window expressions are written as SQL text (one parse
     each) and emitted in one projection per frame, so Spark evaluates them
     in a single Window operator per frame.
