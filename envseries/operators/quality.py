@@ -72,7 +72,16 @@ def content_digest(df: DataFrame) -> DataFrame:
 def check_rows(final: DataFrame, raw: DataFrame, ts: str, rules: Mapping[str, tuple[float, float]],
                measure_cols: Sequence[str], unit: str = "hour", series: Sequence[str] = ()
                ) -> DataFrame:
-    """All checks as rows ``(dimension, check, value, threshold, ok)`` (Q9 / Q10 input)."""
+    """All checks as rows ``(dimension, check, value, threshold, ok)`` (Q9 / Q10 input).
+
+    Without series keys every data check comes from ONE aggregate over the
+    final table (time span, distinct periods, rows, per-rule min / max) and
+    one count over the raw table.
+    """
+    numeric = {"double", "float", "int", "bigint", "smallint", "tinyint"}
+    types_ok = all(t in numeric for c, t in final.dtypes if c in measure_cols)
+    if not series:
+        return _check_rows_one_pass(final, raw, ts, rules, unit, types_ok)
     comp = completeness(final, series, ts, unit).select(
         F.lit("system").alias("dimension"), F.lit("time_completeness").alias("check"),
         F.col("completeness_pct").alias("value"), F.lit(95.0).alias("threshold"), "ok")
@@ -84,8 +93,6 @@ def check_rows(final: DataFrame, raw: DataFrame, ts: str, rules: Mapping[str, tu
     merge = merge_ratio(final, raw).select(
         F.lit("usage").alias("dimension"), F.lit("merge_ratio").alias("check"),
         F.col("merge_pct").alias("value"), F.lit(80.0).alias("threshold"), "ok")
-    numeric = {"double", "float", "int", "bigint", "smallint", "tinyint"}
-    types_ok = all(t in numeric for c, t in final.dtypes if c in measure_cols)
     dtype = final.sparkSession.range(1).select(
         F.lit("presentation").alias("dimension"), F.lit("numeric_types").alias("check"),
         F.lit(1.0 if types_ok else 0.0).alias("value"), F.lit(1.0).alias("threshold"),
@@ -93,6 +100,39 @@ def check_rows(final: DataFrame, raw: DataFrame, ts: str, rules: Mapping[str, tu
     return comp.unionByName(plaus).unionByName(merge).unionByName(dtype)
 
 
+def _check_rows_one_pass(final: DataFrame, raw: DataFrame, ts: str, rules: Mapping[str, tuple[float, float]],
+                         unit: str, types_ok: bool) -> DataFrame:
+    sec = {"hour": 3600, "day": 86400, "minute": 60}[unit]
+    p = f"CAST(date_trunc('{unit}', `{ts}`) AS TIMESTAMP_NTZ)"
+    cols = [c for c in rules if c in final.columns]
+    aggs = [F.expr(f"min({p}) AS _lo"), F.expr(f"max({p}) AS _hi"), F.expr(f"count(DISTINCT {p}) AS _np"),
+            F.expr("count(1) AS _nf")]
+    for i, c in enumerate(cols):
+        aggs += [F.expr(f"CAST(min(`{c}`) AS DOUBLE) AS _mn{i}"), F.expr(f"CAST(max(`{c}`) AS DOUBLE) AS _mx{i}")]
+    row = final.agg(*aggs).crossJoin(raw.agg(F.expr("count(1) AS _nr")))
+    expected = (f"(CAST((unix_micros(CAST(_hi AS TIMESTAMP)) - unix_micros(CAST(_lo AS TIMESTAMP))) "
+                f"/ {sec * 1_000_000} AS BIGINT) + 1)")
+    comp = f"_np * 100.0D / {expected}"
+    if cols:
+        oks = " AND ".join(f"coalesce(_mn{i} >= {float(rules[c][0])!r}D AND _mx{i} <= {float(rules[c][1])!r}D, false)"
+                           for i, c in enumerate(cols))
+        plaus_v, plaus_ok = f"CASE WHEN {oks} THEN 1.0D ELSE 0.0D END", oks
+    else:
+        plaus_v, plaus_ok = "CAST(NULL AS DOUBLE)", "true"
+    merge = "try_divide(_nf * 100.0D, _nr)"
+    parts = [
+        f"named_struct('dimension', 'system', 'check', 'time_completeness', 'value', {comp}, "
+        f"'threshold', 95.0D, 'ok', {comp} >= 95.0D)",
+        f"named_struct('dimension', 'content', 'check', 'plausibility', 'value', {plaus_v}, "
+        f"'threshold', 1.0D, 'ok', {plaus_ok})",
+        f"named_struct('dimension', 'usage', 'check', 'merge_ratio', 'value', {merge}, "
+        f"'threshold', 80.0D, 'ok', coalesce({merge} >= 80.0D, false))",
+        f"named_struct('dimension', 'presentation', 'check', 'numeric_types', 'value', "
+        f"{1.0 if types_ok else 0.0!r}D, 'threshold', 1.0D, 'ok', {str(types_ok).lower()})",
+    ]
+    return row.selectExpr(f"inline(array({', '.join(parts)}))")
+
+
 def quality_score(checks: DataFrame) -> DataFrame:
     """Number of passed checks out of all (Q9)."""
     return checks.agg(F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total"))
