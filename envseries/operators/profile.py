@@ -108,10 +108,11 @@ def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``count(*) - count(distinct ...)`` via two grouped pre-aggregations, so a
     hot key is combined map-side.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    rows = df.groupBy(*df.columns).count().agg(F.count(F.lit(1)).alias("n_distinct_rows"))
+    # the row total falls out of the distinct-row counts: two scans, not three
+    rows = df.groupBy(*df.columns).count().agg(F.count(F.lit(1)).alias("n_distinct_rows"),
+                                               F.sum("count").alias("n_rows"))
     ks = df.groupBy(*keys).count().agg(F.count(F.lit(1)).alias("n_distinct_keys"))
-    out = n.crossJoin(rows).crossJoin(ks)
+    out = rows.crossJoin(ks)
     return out.select("n_rows", (F.col("n_rows") - F.col("n_distinct_rows")).alias("n_duplicate_rows"),
                       (F.col("n_rows") - F.col("n_distinct_keys")).alias("n_duplicate_keys"))
 
