@@ -327,3 +327,17 @@ SELECT event_id, ts, CAST(last_value(CAST(timezone('UTC', timezone('Europe/Zuric
 def localize_filled(spark, d):
     e = D.events(spark, d).select("event_id", "ts")
     return timeline.localize_filled(e, "ts", D.ZONE, bucket="day")
+
+
+@query("time_completeness_by_series", "Q1 T8", f"""
+SELECT user_id, ts_min, ts_max, n_rows, n_present, n_expected, n_expected - n_present AS n_missing,
+       {R('n_present * 100.0 / n_expected')} AS completeness_pct,
+       {R('n_rows * 100.0 / n_expected')} AS row_completeness_pct,
+       n_present * 100.0 / n_expected >= 95 AS ok
+FROM (SELECT user_id, min(date_trunc('hour', ts)) AS ts_min, max(date_trunc('hour', ts)) AS ts_max,
+             count(*) AS n_rows, count(DISTINCT date_trunc('hour', ts)) AS n_present,
+             date_diff('hour', min(date_trunc('hour', ts)), max(date_trunc('hour', ts))) + 1 AS n_expected
+      FROM events GROUP BY 1)""")
+def time_completeness_by_series(spark, d):
+    e = D.events(spark, d).select("user_id", "ts")
+    return timeline.completeness(e, ["user_id"], "ts", "hour")
