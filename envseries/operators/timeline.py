@@ -54,10 +54,12 @@ def completeness(df: DataFrame, series: Sequence[str] = (), ts: str = "ts",
     ``expected`` is computed arithmetically from first/last period, so no
     spine is materialised; distinct periods use a partial aggregate.
     """
-    per = df.select(*series, floor_to(ts, unit).alias("_p"))
+    # two-level aggregation (series, period) -> series: raw rows collapse
+    # map-side to one row per period, and no distinct-aggregate expansion
+    per = df.groupBy(*series, floor_to(ts, unit).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     agg = per.groupBy(*series).agg(
         F.min("_p").alias("ts_min"), F.max("_p").alias("ts_max"),
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_p").alias("n_present"))
+        F.sum("_c").alias("n_rows"), F.count(F.lit(1)).alias("n_present"))
     exp = expected_count(F.col("ts_min"), F.col("ts_max"), unit)
     return (agg.withColumn("n_expected", exp)
             .withColumn("n_missing", F.col("n_expected") - F.col("n_present"))
