@@ -4,12 +4,15 @@ One hash function gives every document the set of its word-shingle hashes; the k
 with equal sets form a class and are represented once.  Retained values are indexed in inverted lists; lists generate
 overlaps, the union of two sketches estimates their similarity, and links are confirmed on the full sets.
 
-Which pairs a list generates: two sets with Jaccard >= 0.8 share at least ``min_overlap`` retained values (all values
-when the sets have at most k members; otherwise Binomial(64, 0.8) falls below 32 with probability 1e-8).  Sorting each
-sketch by how common its values are, such pairs must share one of the first ``len - min_overlap + 1`` values, so the
-common ones (passages in many documents) need no list.  A list whose members already are one component is finished;
-short lists give all their pairs, longer ones compare every member with hubs, more of them each round, until no list
-joins different components.  So a group of n near copies costs about n comparisons, and nothing is dropped.
+Which pairs a list generates: two sets with Jaccard >= 0.8 share at least ``min_overlap`` retained values (for sets of
+at most k members, whose sketch is the whole set, that is certain; otherwise Binomial(192, 0.8) falls below 122 with
+probability 1e-8).  With each sketch sorted by how common its values are, such pairs must share one of the first
+``len - min_overlap + 1`` values, so the common ones (passages in many documents) need no list, and a document most of
+whose values are its own is in no list with others.
+
+A list whose members already are one component is finished.  Short lists give all their pairs, longer ones compare every
+member with a hub, the member with the fewest values of its own, and with more hubs each round until no list joins
+different components.  So a group of n near copies costs about n comparisons, and nothing is dropped.
 """
 
 from __future__ import annotations
@@ -25,21 +28,40 @@ from .components import components, moved
 from .storage import written
 from .textscan import Words, shingle_sets, text_slices
 
-SKETCH = 64
+SKETCH = 192
+#: Values are kept as the upper 40 bits of their hash.
+VALUE_BYTES = 5
+#: Least agreement in the union sketch of sets with Jaccard 0.8: 5.7 standard deviations below the mean.
+AGREE = 122
 #: Buckets of the table of value counts: fixed, whatever the corpus.
-COUNT_BITS = 20
+COUNT_BITS = 21
 #: Bits of the filter of documents whose full sets are wanted: fixed, whatever the corpus.
 FILTER_BITS = 24
 SHORT_LIST = 8
 
 
-def min_overlap(n: int, k: int = SKETCH) -> int:
-    """Retained values that a set of n shares, at least, with any set of Jaccard similarity 0.8 or more."""
-    return min(-(-4 * n // 5), k // 2)
+def min_overlap(n: int) -> int:
+    """Retained values that a set of n shares, at least, with any set of Jaccard similarity 0.8 or more.
 
+    Whole sets share 4/5 of the larger one; a larger set B cut to k values lacks at most n / 4 of them in a whole set.
+    """
+    return min(-(-4 * n // 5), SKETCH - -(-n // 4)) if n <= SKETCH else AGREE
+
+
+def packed(values: np.ndarray, keep: int) -> bytes:
+    """Upper ``keep`` bytes of each 64-bit value."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, 8 - keep:]).tobytes()
+
+
+def unpacked(blob, keep: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, keep)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :keep] = raw
+    return out.view(np.int64).ravel()
 
-def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Per input row: doc_id, n (set size), sid (digest of the set, null if empty), sketch (k smallest, ascending)."""
+
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Per input row: doc_id, n (set size), sid (digest of the set, null if empty), sketch (its smallest values, packed)."""
 
     def run(batches):
         for batch in batches:
@@ -50,15 +72,14 @@ def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) ->
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                               for s in sets], pa.binary()),
-                    pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    pa.array([packed(s[:SKETCH], VALUE_BYTES) for s in sets], pa.binary())],
                     names=["doc_id", "n", "sid", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, n long, sid binary, sketch array<long>")
+        .mapInArrow(run, "doc_id long, n long, sid binary, sketch binary")
 
 
-def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                k: int = SKETCH) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id), sid (class).
 
     Links: Jaccard similarity of the sets of distinct ``words``-word shingles of at least 0.8 (100 * intersection
@@ -67,11 +88,11 @@ def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     together.  A null id stands for no document: it links others through its text no less, is never the id of a
     component unless alone in it, and counts as not kept unless its component has no id.  Other columns are ignored.
     """
-    rows = written(sketches(docs, words, k, id_col, text_col), "near-sketches")
+    rows = written(sketches(docs, words, id_col, text_col), "near-sketches")
     classes = written(rows.filter("n > 0").groupBy("sid", "n").agg(
         F.min("doc_id").alias("min_id"), F.first("sketch").alias("sketch"))
         .withColumn("cid", F.monotonically_increasing_id()), "near-classes")
-    labels = _link(docs, classes, words, k, id_col, text_col)
+    labels = _link(docs, classes, words, id_col, text_col)
     placed = classes.select("sid", "cid", "min_id").join(labels, F.col("cid") == F.col("node"), "left") \
         .select("sid", "min_id", F.coalesce("root", "cid").alias("root"))
     placed = written(placed, "near-placed")
@@ -85,46 +106,59 @@ def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
 
 def _counts(classes: DataFrame) -> np.ndarray:
     """How often retained values fall into each of 2 ** COUNT_BITS buckets: a table of fixed size."""
-    mask = (1 << COUNT_BITS) - 1
-    got = (classes.select(F.explode("sketch").alias("v"))
-           .groupBy(F.expr(f"cast(v & {mask} AS int)").alias("b")).agg(F.count(F.lit(1)).alias("c")).toArrow())
-    out = np.zeros(mask + 1, np.int64)
+    size = 1 << COUNT_BITS
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for sketch in batch.column(0):
+                np.add.at(total, unpacked(sketch.as_buffer(), VALUE_BYTES) & (size - 1), 1)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["b", "c"])
+
+    got = classes.select("sketch").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(size, np.int64)
     out[got["b"].to_numpy()] = got["c"].to_numpy()
     return out
 
 
-def _postings(classes: DataFrame, k: int) -> DataFrame:
-    """(v, cid, n) for the rarest values of each sketch; any fixed order of the values keeps all similar pairs."""
+def _postings(classes: DataFrame) -> DataFrame:
+    """(v, cid, n, len, rest) for the rarest values of each sketch; any fixed order of values keeps all similar pairs.
+
+    ``rest``: how many values of the sketch come no earlier in that order.  At the first value that two sketches share
+    the smaller rest bounds their overlap.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(_counts(classes))
 
     def run(batches):
-        counts, mask = shared.value, (1 << COUNT_BITS) - 1
+        counts = shared.value
         for batch in batches:
-            values, cid, n = [], [], []
-            for c, size, sketch in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
-                s = np.array(sketch, np.int64)
-                s = s[np.lexsort((s, counts[s & mask]))][:len(s) - min_overlap(size, k) + 1]
-                values.append(s)
-                cid.append(np.full(len(s), c))
-                n.append(np.full(len(s), size))
-            if values:
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (values, cid, n)],
-                                      names=["v", "cid", "n"])
+            parts = []
+            for c, n, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = unpacked(sketch.as_buffer(), VALUE_BYTES)
+                rest = np.arange(len(s), min_overlap(n) - 1, -1)
+                s = s[np.lexsort((s, counts[s & (len(counts) - 1)]))][:len(rest)]
+                parts.append(np.stack([s, *(np.full(len(s), x) for x in (c, n, len(s))), rest]))
+            if parts:
+                yield pa.record_batch([pa.array(x) for x in np.concatenate(parts, 1)], names=["v", "cid", "n", "len", "rest"])
 
-    return classes.select("cid", "n", "sketch").mapInArrow(run, "v long, cid long, n long")
+    return classes.select("cid", "n", "sketch").mapInArrow(run, "v long, cid long, n long, len long, rest long")
 
 
-def _link(docs, classes, words, k, id_col, text_col) -> DataFrame:
+def _link(docs, classes, words, id_col, text_col) -> DataFrame:
     """(node, root) of the classes that are linked with another one."""
-    postings = written(_postings(classes, k), "near-postings")
+    postings = written(_postings(classes), "near-postings")
     several = written(postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v"), "near-lists")
-    active = written(postings.join(several, "v"), "near-active")
+    active = written(postings.join(several, "v"), "near-shared")
+    # own: how many of a class's indexed values no other class has
+    alone = active.groupBy("cid").agg((F.first("len") - F.count(F.lit(1))).alias("own"))
+    active = written(active.drop("len").join(alone, "cid"), "near-active")
     labels = tested = sets = None
     short, hubs = SHORT_LIST, 1
     while not active.isEmpty():
         members = active.withColumn("root", F.col("cid")) if labels is None else active.join(
             labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-                "v", "cid", "n", F.coalesce("root", "cid").alias("root"))
+                "v", "cid", "n", "own", "rest", F.coalesce("root", "cid").alias("root"))
         open_lists = written(members.groupBy("v").agg(
             F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
             .filter("lo <> hi").select("v", "c"), "near-open")
@@ -136,8 +170,8 @@ def _link(docs, classes, words, k, id_col, text_col) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        likely = written(_estimated(pairs, classes, k), "near-likely")
-        active, limit = members.filter(F.col("c") > short).select("v", "cid", "n"), short
+        likely = written(_estimated(pairs, classes), "near-likely")
+        active, limit = members.filter(F.col("c") > short).select("v", "cid", "n", "own", "rest"), short
         if sets is None:  # those that later rounds may ask for, too
             wanted = likely.select(F.explode(F.array("a", "b")).alias("cid")).union(active.select("cid")).distinct()
             sets = _full_sets(wanted, docs, classes, words, id_col, text_col)
@@ -153,7 +187,7 @@ def _link(docs, classes, words, k, id_col, text_col) -> DataFrame:
                 fresh = image.join(labels.select("node"), "node", "left_anti")
                 labels = written(moved(labels, image.withColumnRenamed("root", "to"), "near-labels").union(fresh),
                                  "near-labels")
-        short, hubs = limit * 4, hubs * 8
+        short, hubs = limit * 8, hubs * 8
     if labels is None:
         return classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
     return labels
@@ -162,30 +196,43 @@ def _link(docs, classes, words, k, id_col, text_col) -> DataFrame:
 def _pairs(members: DataFrame, short: int, hubs: int) -> DataFrame:
     """Distinct (a, b), a < b, of different components and similar sizes: all pairs of short lists, hubs of others."""
     side = lambda df, p: df.select("v", F.col("cid").alias(f"{p}"), F.col("n").alias(f"n{p}"),
-                                   F.col("root").alias(f"r{p}"))
-    fits = "x <> y AND rx <> ry AND 5 * least(nx, ny) >= 4 * greatest(nx, ny)"
+                                   F.col("rest").alias(f"t{p}"), F.col("root").alias(f"r{p}"))
+    # whole sets of Jaccard 0.8 share 4/9 of their summed sizes
+    fits = f"""x <> y AND rx <> ry AND 5 * least(nx, ny) >= 4 * greatest(nx, ny)
+        AND (greatest(nx, ny) > {SKETCH} OR 9 * least(tx, ty) >= 4 * (nx + ny))"""
     small = members.filter(F.col("c") <= short)
     out = side(small, "x").join(side(small, "y"), "v").filter(F.expr(fits + " AND x < y"))
     large = members.filter(F.col("c") > short)
     chosen = written(large.withColumn("h", F.expr(f"pmod(xxhash64(cid, {hubs}), {hubs})"))
-                     .groupBy("v", "h").agg(F.min(F.struct("n", "cid", "root")).alias("m"))
-                     .select("v", F.col("m.cid").alias("y"), F.col("m.n").alias("ny"), F.col("m.root").alias("ry")),
+                     .groupBy("v", "h").agg(F.min(F.struct("own", "n", "cid", "root", "rest")).alias("m"))
+                     .select("v", F.col("m.cid").alias("y"), F.col("m.n").alias("ny"),
+                             F.col("m.rest").alias("ty"), F.col("m.root").alias("ry")),
                      "near-hubs")
     out = out.select("x", "y").union(side(large, "x").join(chosen, "v").filter(F.expr(fits)).select("x", "y"))
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose union sketch (the k smallest values of both sketches) agrees in enough values."""
-    one = lambda p: classes.select(F.col("cid").alias(p), F.col("n").alias(f"n{p}"),
-                                   F.col("sketch").alias(f"s{p}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    agree = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    small = F.greatest("na", "nb") <= k
-    enough = F.when(small, 10 * agree >= 8 * F.size(F.array_union("sa", "sb"))) \
-        .otherwise(2 * agree >= F.size(union))
-    return both.filter(enough).select("a", "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y, n) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4).to_pylist())):
+                both = np.concatenate([unpacked(z.as_buffer(), VALUE_BYTES) for z in (x, y)])
+                both.sort()
+                new = np.append(True, both[1:] != both[:-1])
+                size = int(new.sum())
+                if n <= SKETCH:  # whole sets
+                    keep[i] = len(both) - size >= 0.8 * size - 1
+                else:
+                    agree = ~new[1:] & (np.cumsum(new)[1:] <= SKETCH)
+                    keep[i] = agree.sum() >= AGREE * min(size, SKETCH) / SKETCH
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    one = lambda p: classes.select(F.col("cid").alias(p), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"s{p}"))
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb", F.greatest("na", "nb").alias("n")) \
+        .mapInArrow(run, "a long, b long")
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -212,7 +259,7 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: in
                     spot = int.from_bytes(sid[:3], "big") % bits
                     if int(filled[spot // 64]) >> (spot % 64) & 1:
                         ids.append(sid)
-                        blobs.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())
+                        blobs.append(packed(s, 6))
                 if ids:
                     yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())],
                                           names=["sid", "blob"])
@@ -229,22 +276,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint8).reshape(-1, 6) for z in (x, y))
-                both = _common(x, y)
+                x, y = (np.unique(unpacked(z.as_buffer(), 6)) for z in (x, y))
+                both = np.concatenate([x, y])
+                both.sort()
+                both = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * both >= 80 * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     one = lambda p: sets.select(F.col("cid").alias(p), F.col("blob").alias(f"set_{p}"))
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "set_a", "set_b") \
         .mapInArrow(check, "a long, b long")
-
-
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    wide = []
-    for z in (x, y):
-        w = np.zeros((len(z), 8), np.uint8)
-        w[:, :6] = z
-        wide.append(np.unique(w.view(np.uint64).ravel()))
-    both = np.concatenate(wide)
-    both.sort()
-    return int((both[1:] == both[:-1]).sum())
