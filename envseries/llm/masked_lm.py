@@ -170,7 +170,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
             for a, b, raw, offsets in text_slices(batch.column(1)):
                 lp, first = log_probabilities(*shared.value, raw, offsets)
                 n = np.diff(first)
-                total = np.bincount(np.repeat(np.arange(b - a), n), lp, minlength=b - a)
+                total = np.bincount(np.repeat(np.arange(b - a), n), lp, minlength=b - a).astype(float)
                 mean = total / np.maximum(n, 1)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(total),
                                        pa.array(mean), pa.array(np.exp(-mean))],
