@@ -36,7 +36,7 @@ def spine(df: DataFrame, series: Sequence[str] = (), ts: str = "ts", unit: str =
 def missing_periods(df: DataFrame, series: Sequence[str] = (), ts: str = "ts",
                     unit: str = "hour") -> DataFrame:
     """Expected periods with no row (T9 / J3): spine ``left_anti`` present periods."""
-    present = df.select(*series, floor_to(ts, unit).alias(ts))
+    present = df.select(*series, floor_to(ts, unit).alias(ts)).distinct()  # reduced before the shuffle
     return spine(df, series, ts, unit).join(present, [*series, ts], "left_anti")
 
 

@@ -46,7 +46,7 @@ def ridge_model(spark, d):
 def forest_importance(spark, d):
     train, test = _frames(spark, d)
     model, _, _ = models.fit_predict(train, test, TARGET, FEATURES, "forest")
-    rows = models.importances(model, FEATURES)[:10]
+    rows = models.importances(model, FEATURES)
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
