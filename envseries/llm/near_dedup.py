@@ -38,6 +38,10 @@ COUNT_BITS = 21
 #: Bits of the filter of documents whose full sets are wanted: fixed, whatever the corpus.
 FILTER_BITS = 24
 SHORT_LIST = 8
+#: Bits of a set's signature, half of them in each of two longs.
+SIGN_BITS = 128
+#: Most bits in which the signatures of sets with Jaccard 0.8 differ: Binomial(128, 0.1) exceeds it with probability 1e-8.
+SIGN_DIFF = 36
 
 
 def min_overlap(n: int) -> int:
@@ -48,6 +52,18 @@ def min_overlap(n: int) -> int:
     return min(-(-4 * n // 5), SKETCH - -(-n // 4)) if n <= SKETCH else AGREE
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """A bit of the least value in each of ``SIGN_BITS`` bins of a sorted set (empty bins: 0), as two longs.
+
+    The bins' least values agree with the probability of the Jaccard similarity, and bits of different ones by half the
+    chance.  Only bins that hold a member of one set alone can differ.
+    """
+    bits = np.zeros(SIGN_BITS, np.uint8)
+    back = s[::-1]
+    bits[back % np.uint64(SIGN_BITS)] = (back // np.uint64(SIGN_BITS)) % np.uint64(2)  # the least one is set last
+    return np.packbits(bits).view(np.int64)
+
+
 def packed(values: np.ndarray, keep: int) -> bytes:
     """Upper ``keep`` bytes of each 64-bit value."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, 8 - keep:]).tobytes()
@@ -61,22 +77,25 @@ def unpacked(blob, keep: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Per input row: doc_id, n (set size), sid (digest of the set, null if empty), sketch (its smallest values, packed)."""
+    """Per input row: doc_id, n (set size), sid (digest of the set, null if empty), sketch (its smallest values, packed),
+    g0 and g1 (its signature)."""
 
     def run(batches):
         for batch in batches:
             for a, b, raw, offsets in text_slices(batch.column(1)):
                 sets = list(shingle_sets(Words(raw, offsets), words))
+                sign = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.record_batch([
                     batch.column(0).slice(a, b - a),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                               for s in sets], pa.binary()),
-                    pa.array([packed(s[:SKETCH], VALUE_BYTES) for s in sets], pa.binary())],
-                    names=["doc_id", "n", "sid", "sketch"])
+                    pa.array([packed(s[:SKETCH], VALUE_BYTES) for s in sets], pa.binary()),
+                    pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy())],
+                    names=["doc_id", "n", "sid", "sketch", "g0", "g1"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, n long, sid binary, sketch binary")
+        .mapInArrow(run, "doc_id long, n long, sid binary, sketch binary, g0 long, g1 long")
 
 
 def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +109,8 @@ def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     """
     rows = written(sketches(docs, words, id_col, text_col), "near-sketches")
     classes = written(rows.filter("n > 0").groupBy("sid", "n").agg(
-        F.min("doc_id").alias("min_id"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("min_id"), F.first("sketch").alias("sketch"), F.first("g0").alias("g0"),
+        F.first("g1").alias("g1"))
         .withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     labels = _link(docs, classes, words, id_col, text_col)
     placed = classes.select("sid", "cid", "min_id").join(labels, F.col("cid") == F.col("node"), "left") \
@@ -152,13 +172,13 @@ def _link(docs, classes, words, id_col, text_col) -> DataFrame:
     active = written(postings.join(several, "v"), "near-shared")
     # own: how many of a class's indexed values no other class has
     alone = active.groupBy("cid").agg((F.first("len") - F.count(F.lit(1))).alias("own"))
-    active = written(active.drop("len").join(alone, "cid"), "near-active")
+    active = written(active.drop("len").join(alone, "cid").join(classes.select("cid", "g0", "g1"), "cid"), "near-active")
     labels = tested = sets = None
     short, hubs = SHORT_LIST, 1
     while not active.isEmpty():
         members = active.withColumn("root", F.col("cid")) if labels is None else active.join(
             labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-                "v", "cid", "n", "own", "rest", F.coalesce("root", "cid").alias("root"))
+                "v", "cid", "n", "own", "rest", "g0", "g1", F.coalesce("root", "cid").alias("root"))
         open_lists = written(members.groupBy("v").agg(
             F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
             .filter("lo <> hi").select("v", "c"), "near-open")
@@ -171,7 +191,7 @@ def _link(docs, classes, words, id_col, text_col) -> DataFrame:
         pairs = written(pairs, "near-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         likely = written(_estimated(pairs, classes), "near-likely")
-        active, limit = members.filter(F.col("c") > short).select("v", "cid", "n", "own", "rest"), short
+        active, limit = members.filter(F.col("c") > short).select("v", "cid", "n", "own", "rest", "g0", "g1"), short
         if sets is None:  # those that later rounds may ask for, too
             wanted = likely.select(F.explode(F.array("a", "b")).alias("cid")).union(active.select("cid")).distinct()
             sets = _full_sets(wanted, docs, classes, words, id_col, text_col)
@@ -196,17 +216,21 @@ def _link(docs, classes, words, id_col, text_col) -> DataFrame:
 def _pairs(members: DataFrame, short: int, hubs: int) -> DataFrame:
     """Distinct (a, b), a < b, of different components and similar sizes: all pairs of short lists, hubs of others."""
     side = lambda df, p: df.select("v", F.col("cid").alias(f"{p}"), F.col("n").alias(f"n{p}"),
-                                   F.col("rest").alias(f"t{p}"), F.col("root").alias(f"r{p}"))
-    # whole sets of Jaccard 0.8 share 4/9 of their summed sizes
+                                   F.col("rest").alias(f"t{p}"), F.col("root").alias(f"r{p}"),
+                                   F.col("g0").alias(f"g{p}"), F.col("g1").alias(f"h{p}"))
+    # whole sets of Jaccard 0.8 share 4/9 of their summed sizes, so 1/9 is in one of them alone
+    differ = "bit_count(gx ^ gy) + bit_count(hx ^ hy)"
     fits = f"""x <> y AND rx <> ry AND 5 * least(nx, ny) >= 4 * greatest(nx, ny)
-        AND (greatest(nx, ny) > {SKETCH} OR 9 * least(tx, ty) >= 4 * (nx + ny))"""
+        AND CASE WHEN greatest(nx, ny) > {SKETCH} THEN {differ} <= {SIGN_DIFF}
+                 ELSE 9 * least(tx, ty) >= 4 * (nx + ny) AND 9 * ({differ}) <= nx + ny END"""
     small = members.filter(F.col("c") <= short)
     out = side(small, "x").join(side(small, "y"), "v").filter(F.expr(fits + " AND x < y"))
     large = members.filter(F.col("c") > short)
     chosen = written(large.withColumn("h", F.expr(f"pmod(xxhash64(cid, {hubs}), {hubs})"))
-                     .groupBy("v", "h").agg(F.min(F.struct("own", "n", "cid", "root", "rest")).alias("m"))
+                     .groupBy("v", "h").agg(F.min(F.struct("own", "n", "cid", "root", "rest", "g0", "g1")).alias("m"))
                      .select("v", F.col("m.cid").alias("y"), F.col("m.n").alias("ny"),
-                             F.col("m.rest").alias("ty"), F.col("m.root").alias("ry")),
+                             F.col("m.rest").alias("ty"), F.col("m.root").alias("ry"),
+                             F.col("m.g0").alias("gy"), F.col("m.g1").alias("hy")),
                      "near-hubs")
     out = out.select("x", "y").union(side(large, "x").join(chosen, "v").filter(F.expr(fits)).select("x", "y"))
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
