@@ -174,24 +174,28 @@ def _link(docs, classes, words, id_col, text_col) -> DataFrame:
     alone = active.groupBy("cid").agg((F.first("len") - F.count(F.lit(1))).alias("own"))
     active = written(active.drop("len").join(alone, "cid").join(classes.select("cid", "g0", "g1"), "cid"), "near-active")
     labels = tested = sets = None
-    short, hubs = SHORT_LIST, 1
+    short, hubs, turn = SHORT_LIST, 1, 0
+    active = active.withColumn("most", F.col("n"))
     while not active.isEmpty():
+        turn += 1
         members = active.withColumn("root", F.col("cid")) if labels is None else active.join(
             labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-                "v", "cid", "n", "own", "rest", "g0", "g1", F.coalesce("root", "cid").alias("root"))
+                "v", "cid", "n", "own", "rest", "most", "g0", "g1", F.coalesce("root", "cid").alias("root"))
         open_lists = written(members.groupBy("v").agg(
             F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
             .filter("lo <> hi").select("v", "c"), "near-open")
         if open_lists.isEmpty():
             break
         members = written(members.join(open_lists, "v"), "near-members")
+        if turn > 2:  # the few classes still at stake: what they share is counted on their full sets
+            members = written(members.drop("most").join(_shared_sizes(members, sets), "cid"), "near-bounded")
         pairs = _pairs(members, short, hubs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         likely = written(_estimated(pairs, classes), "near-likely")
-        active, limit = members.filter(F.col("c") > short).select("v", "cid", "n", "own", "rest", "g0", "g1"), short
+        active, limit = members.filter(F.col("c") > short).select("v", "cid", "n", "own", "rest", "most", "g0", "g1"), short
         if sets is None:  # those that later rounds may ask for, too
             wanted = likely.select(F.explode(F.array("a", "b")).alias("cid")).union(active.select("cid")).distinct()
             sets = _full_sets(wanted, docs, classes, words, id_col, text_col)
@@ -213,24 +217,44 @@ def _link(docs, classes, words, id_col, text_col) -> DataFrame:
     return labels
 
 
+def _shared_sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cid, most): how many shingles of each class any other member of ``members`` has, too: the most it can share.
+
+    Links that are still to be found join two classes of ``members``, so shingles of one class alone are in none.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for cid, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.unique(unpacked(blob.as_buffer(), 6))
+                yield pa.record_batch([pa.array(s), pa.array(np.full(len(s), cid))], names=["s", "cid"])
+
+    ids = members.select("cid").distinct()
+    each = sets.join(ids, "cid", "left_semi").select("cid", "blob").mapInArrow(run, "s long, cid long")
+    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).filter("c = 1") \
+        .groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+    whole = members.groupBy("cid").agg(F.first("n").alias("n"))
+    return whole.join(alone, "cid", "left").select("cid", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
 def _pairs(members: DataFrame, short: int, hubs: int) -> DataFrame:
     """Distinct (a, b), a < b, of different components and similar sizes: all pairs of short lists, hubs of others."""
     side = lambda df, p: df.select("v", F.col("cid").alias(f"{p}"), F.col("n").alias(f"n{p}"),
                                    F.col("rest").alias(f"t{p}"), F.col("root").alias(f"r{p}"),
-                                   F.col("g0").alias(f"g{p}"), F.col("g1").alias(f"h{p}"))
-    # whole sets of Jaccard 0.8 share 4/9 of their summed sizes, so 1/9 is in one of them alone
+                                   F.col("most").alias(f"m{p}"), F.col("g0").alias(f"g{p}"), F.col("g1").alias(f"h{p}"))
+    # full sets of Jaccard 0.8 share 4/9 of their summed sizes, so 1/9 is in one of them alone
     differ = "bit_count(gx ^ gy) + bit_count(hx ^ hy)"
     fits = f"""x <> y AND rx <> ry AND 5 * least(nx, ny) >= 4 * greatest(nx, ny)
-        AND CASE WHEN greatest(nx, ny) > {SKETCH} THEN {differ} <= {SIGN_DIFF}
+        AND 9 * least(mx, my) >= 4 * (nx + ny) AND CASE WHEN greatest(nx, ny) > {SKETCH} THEN {differ} <= {SIGN_DIFF}
                  ELSE 9 * least(tx, ty) >= 4 * (nx + ny) AND 9 * ({differ}) <= nx + ny END"""
     small = members.filter(F.col("c") <= short)
     out = side(small, "x").join(side(small, "y"), "v").filter(F.expr(fits + " AND x < y"))
     large = members.filter(F.col("c") > short)
     chosen = written(large.withColumn("h", F.expr(f"pmod(xxhash64(cid, {hubs}), {hubs})"))
-                     .groupBy("v", "h").agg(F.min(F.struct("own", "n", "cid", "root", "rest", "g0", "g1")).alias("m"))
+                     .groupBy("v", "h").agg(F.min(F.struct("own", "n", "cid", "root", "rest", "most", "g0", "g1")).alias("m"))
                      .select("v", F.col("m.cid").alias("y"), F.col("m.n").alias("ny"),
                              F.col("m.rest").alias("ty"), F.col("m.root").alias("ry"),
-                             F.col("m.g0").alias("gy"), F.col("m.g1").alias("hy")),
+                             F.col("m.most").alias("my"), F.col("m.g0").alias("gy"), F.col("m.g1").alias("hy")),
                      "near-hubs")
     out = out.select("x", "y").union(side(large, "x").join(chosen, "v").filter(F.expr(fits)).select("x", "y"))
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -307,6 +331,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = 100 * both >= 80 * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    one = lambda p: sets.select(F.col("cid").alias(p), F.col("blob").alias(f"set_{p}"))
+    def one(p):  # only the sets that these pairs need are shuffled
+        ids = pairs.select(F.col(p).alias("cid")).distinct()
+        return sets.join(ids, "cid", "left_semi").select(F.col("cid").alias(p), F.col("blob").alias(f"set_{p}"))
+
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "set_a", "set_b") \
         .mapInArrow(check, "a long, b long")
