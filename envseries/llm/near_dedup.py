@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, moved
@@ -189,7 +189,7 @@ def _link(docs, classes, words, id_col, text_col) -> DataFrame:
         members = written(members.join(open_lists, "v"), "near-members")
         if turn > 2:  # the few classes still at stake: what they share is counted on their full sets
             members = written(members.drop("most").join(_shared_sizes(members, sets), "cid"), "near-bounded")
-        pairs = _pairs(members, short, hubs)
+        pairs = _pairs(members, short, hubs, turn > 1)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
@@ -237,9 +237,13 @@ def _shared_sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.join(alone, "cid", "left").select("cid", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
 
 
-def _pairs(members: DataFrame, short: int, hubs: int) -> DataFrame:
-    """Distinct (a, b), a < b, of different components and similar sizes: all pairs of short lists, hubs of others."""
-    side = lambda df, p: df.select("v", F.col("cid").alias(f"{p}"), F.col("n").alias(f"n{p}"),
+def _pairs(members: DataFrame, short: int, hubs: int, once: bool) -> DataFrame:
+    """Distinct (a, b), a < b, of different components and similar sizes: all pairs of short lists, hubs of others.
+
+    ``once``: each row carries the earlier values of its class (fewer than ``SKETCH``), and two classes that share many
+    short lists meet in the first of them alone.
+    """
+    side = lambda df, p, *more: df.select(*more, "v", F.col("cid").alias(f"{p}"), F.col("n").alias(f"n{p}"),
                                    F.col("rest").alias(f"t{p}"), F.col("root").alias(f"r{p}"),
                                    F.col("most").alias(f"m{p}"), F.col("g0").alias(f"g{p}"), F.col("g1").alias(f"h{p}"))
     # full sets of Jaccard 0.8 share 4/9 of their summed sizes, so 1/9 is in one of them alone
@@ -248,7 +252,14 @@ def _pairs(members: DataFrame, short: int, hubs: int) -> DataFrame:
         AND 9 * least(mx, my) >= 4 * (nx + ny) AND CASE WHEN greatest(nx, ny) > {SKETCH} THEN {differ} <= {SIGN_DIFF}
                  ELSE 9 * least(tx, ty) >= 4 * (nx + ny) AND 9 * ({differ}) <= nx + ny END"""
     small = members.filter(F.col("c") <= short)
-    out = side(small, "x").join(side(small, "y"), "v").filter(F.expr(fits + " AND x < y"))
+    if once:
+        earlier = Window.partitionBy("cid").orderBy(F.desc("rest")).rowsBetween(Window.unboundedPreceding, -1)
+        small = written(small.withColumn("before", F.collect_list("v").over(earlier)), "near-small")
+        one = lambda p: side(small, p, F.col("before").alias(f"b{p}"))
+        out = one("x").join(one("y"), "v").filter(
+            F.expr(f"CASE WHEN x < y AND {fits} THEN NOT arrays_overlap(bx, by) ELSE false END"))
+    else:
+        out = side(small, "x").join(side(small, "y"), "v").filter(F.expr(fits + " AND x < y"))
     large = members.filter(F.col("c") > short)
     chosen = written(large.withColumn("h", F.expr(f"pmod(xxhash64(cid, {hubs}), {hubs})"))
                      .groupBy("v", "h").agg(F.min(F.struct("own", "n", "cid", "root", "rest", "most", "g0", "g1")).alias("m"))
