@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, moved
-from .storage import written
+from .storage import dropped, written
 from .textscan import Words, shingle_sets, text_slices
 
 SKETCH = 192
@@ -107,17 +107,20 @@ def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     together.  A null id stands for no document: it links others through its text no less, is never the id of a
     component unless alone in it, and counts as not kept unless its component has no id.  Other columns are ignored.
     """
-    rows = written(sketches(docs, words, id_col, text_col), "near-sketches")
-    classes = written(rows.filter("n > 0").groupBy("sid", "n").agg(
+    full = written(sketches(docs, words, id_col, text_col), "near-sketches")
+    classes = written(full.filter("n > 0").groupBy("sid", "n").agg(
         F.min("doc_id").alias("min_id"), F.first("sketch").alias("sketch"), F.first("g0").alias("g0"),
         F.first("g1").alias("g1"))
         .withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    rows = written(full.select("doc_id", "n", "sid"), "near-rows")
+    dropped(full)
     labels = _link(docs, classes, words, id_col, text_col)
     placed = classes.select("sid", "cid", "min_id").join(labels, F.col("cid") == F.col("node"), "left") \
         .select("sid", "min_id", F.coalesce("root", "cid").alias("root"))
     placed = written(placed, "near-placed")
     lowest = written(placed.groupBy("root").agg(F.min("min_id").alias("component_id")), "near-lowest")
     member = written(placed.join(lowest, "root").select("sid", "component_id"), "near-member")
+    dropped(classes, placed, lowest)
     out = rows.select("doc_id", "n", "sid").join(member, "sid", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
@@ -170,9 +173,13 @@ def _link(docs, classes, words, id_col, text_col) -> DataFrame:
     postings = written(_postings(classes), "near-postings")
     several = written(postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v"), "near-lists")
     active = written(postings.join(several, "v"), "near-shared")
+    dropped(postings, several)
     # own: how many of a class's indexed values no other class has
     alone = active.groupBy("cid").agg((F.first("len") - F.count(F.lit(1))).alias("own"))
-    active = written(active.drop("len").join(alone, "cid").join(classes.select("cid", "g0", "g1"), "cid"), "near-active")
+    shared = active
+    active = written(shared.drop("len").join(alone, "cid").join(classes.select("cid", "g0", "g1"), "cid"), "near-active")
+    dropped(shared)
+    base = active
     labels = tested = sets = None
     short, hubs, turn = SHORT_LIST, 1, 0
     active = active.withColumn("most", F.col("n"))
@@ -187,8 +194,12 @@ def _link(docs, classes, words, id_col, text_col) -> DataFrame:
         if open_lists.isEmpty():
             break
         members = written(members.join(open_lists, "v"), "near-members")
+        dropped(base, open_lists)
         if turn > 2:  # the few classes still at stake: what they share is counted on their full sets
-            members = written(members.drop("most").join(_shared_sizes(members, sets), "cid"), "near-bounded")
+            plain = members
+            members = written(plain.drop("most").join(_shared_sizes(plain, sets), "cid"), "near-bounded")
+            dropped(plain)
+        base = members
         pairs = _pairs(members, short, hubs, turn > 1)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -212,8 +223,9 @@ def _link(docs, classes, words, id_col, text_col) -> DataFrame:
                 labels = written(moved(labels, image.withColumnRenamed("root", "to"), "near-labels").union(fresh),
                                  "near-labels")
         short, hubs = limit * 8, hubs * 8
+    dropped(base, *([] if sets is None else [sets]))
     if labels is None:
-        return classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
+        return classes.sparkSession.createDataFrame([], "node long, root long")
     return labels
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 
+#: Whether Spark removes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; only a local session without that setting gets its own folder."""
@@ -22,10 +25,32 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table stands for the job's shuffle files, so those go as soon as it is written; the session keeps its setting.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more; frames that still refer to them can't be used."""
+    for df in frames:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if "/envseries/" not in folder:
+                raise ValueError(f"not a table of the shared folder: {folder}")
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
