@@ -4,78 +4,155 @@ A network sees the two words on either side of a masked one and predicts its cla
 is its share of the corpus counts.  The log-probabilities of all words, each conditioned on both sides, add up to a
 document's score.
 
-Words are hashed into 2 ** 18 buckets, counted over all documents.  The commonest buckets are classes of their own, the
-others share classes by frequency.  Training runs on all documents: every partition takes numpy gradient steps from the
-same start, and the parameters are averaged, weighted by words.  Tables are of fixed size, whatever the corpus.
+Every distinct word has its count in a Spark table, which joins to the words of the texts.  The number of classes follows
+the root of the number of distinct words V: the OWN * sqrt(V) commonest words are classes of their own, the others share
+TAIL * sqrt(V) classes by their last bytes and their length.  Only what has a row per class is broadcast.
+
+Training is one pass over all texts in ROUNDS rounds.  A round deals its texts to lanes by hash; each lane takes numpy
+gradient steps from the last average, and the lanes' parameters are averaged.  The number of lanes follows the root of
+the number of words, so do the steps of a lane; neither depends on files or partitions.
 """
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import Words, text_slices
+from .storage import written
+from .textscan import Words, mix64, text_slices
 
-BUCKET_BITS = 18
-OWN, BANDS = 47, 8
-#: One class for the outside of a text, OWN of single buckets, two for each frequency band.
-CLASSES = 1 + OWN + 2 * BANDS
+OWN, TAIL = 4, 2
 CONTEXT = (-2, -1, 1, 2)
-HIDDEN, BATCH, RATE = 16, 2048, 0.5
+HIDDEN, BATCH = 16, 32768
+#: Step on the sum of a parameter row's gradients, and its bound as a step on their mean.
+RATE, MOST = 0.1, 2.0
+ROUNDS = 4
+#: Batches of a lane over all rounds, for each lane.
+LANE_BATCHES = 4
+#: Distinct words are sent on after so many words.
+COUNT_WORDS = 1 << 22
+#: Rows of parameters that are averaged together.
+PIECE = 4096
+#: Log count that stands for a class without words.
+ABSENT = -30.0
 
-SHAPES = {"e": (len(CONTEXT), CLASSES, HIDDEN), "c": (HIDDEN,), "w": (HIDDEN, CLASSES), "b": (CLASSES,)}
 
-
-def buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    words = Words(raw, offsets)
-    return (words.hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), words.first
+def ending(words: Words) -> np.ndarray:
+    """Hash of every word's last three bytes and its length up to 15, as a 31-bit number."""
+    size = words.ends - words.starts
+    out = np.minimum(size, 15).astype(np.uint64)
+    for k in range(1, 4):
+        byte = words.low[np.maximum(words.ends - k, words.starts)].astype(np.uint64)
+        out = (out << np.uint64(8)) | np.where(size >= k, byte, 0).astype(np.uint64)
+    return (mix64(out) >> np.uint64(33)).astype(np.int64)
 
 
-def count_words(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each bucket over all texts."""
+class Counts:
+    """The table (h, s, n) of all distinct words: hash, hash of the ending, occurrences."""
 
-    def run(batches):
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for _, _, raw, offsets in text_slices(batch.column(0)):
-                total += np.bincount(buckets(raw, offsets)[0], minlength=1 << BUCKET_BITS)
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["b", "n"])
-
-    got = docs.select(F.col("text").cast("string")).mapInArrow(run, "b long, n long").groupBy("b") \
-        .agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[got["b"].to_numpy()] = got["n"].to_numpy()
-    return out
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
 
+    def sum(self) -> int:
+        return self.frame.agg(F.sum("n")).first()[0] or 0
 
-def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each bucket and its log share of the class (buckets never seen count half an occurrence)."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    cls = np.zeros(len(counts), np.int16)
-    rest = order[OWN:]
-    mass = np.cumsum(counts[rest] + 0.5)
-    band = np.minimum((mass / mass[-1] * BANDS).astype(int), BANDS - 1)
-    cls[rest] = 1 + OWN + 2 * band + rest % 2
-    cls[order[:OWN]] = 1 + np.arange(OWN)
-    seen = np.maximum(counts, 0.5)
-    total = np.bincount(cls, seen, CLASSES)
-    return cls, np.log(seen / total[cls]).astype(np.float32)
 
+def count_words(docs: DataFrame) -> Counts:
+    """Occurrences of each word over all texts."""
 
-def initial() -> dict:
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, _, raw, offsets in text_slices(batch.column(0)):
+                words = Words(raw, offsets)
+                held.append((words.hashes(), ending(words)))
+                size += len(words)
+                if size >= COUNT_WORDS:
+                    yield _tally(held)
+                    held, size = [], 0
+        if size:
+            yield _tally(held)
+
+    return Counts(written(docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, s long, n long")
+                          .groupBy("h").agg(F.min("s").alias("s"), F.sum("n").alias("n")), "lm-counts"))
+
+
+def _tally(held: list) -> pa.RecordBatch:
+    h, s = (np.concatenate(x) for x in zip(*held))
+    h, at, n = np.unique(h, return_index=True, return_counts=True)
+    return pa.record_batch([pa.array(h.view(np.int64)), pa.array(s[at]), pa.array(n)], names=["h", "s", "n"])
+
+
+class Classes:
+    """Class of every word: 0 is the outside of a text, then the ``own`` words by falling count, then the tail."""
+
+    def __init__(self, own: np.ndarray, tail: int, counts: np.ndarray):
+        self.order = np.argsort(own).astype(np.int32)
+        self.own, self.tail, self.counts = own[self.order], tail, counts
+
+    def __len__(self) -> int:
+        return 1 + len(self.own) + self.tail
+
+    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and classes."""
+        h = words.hashes()
+        if not len(self.own):
+            return h, np.zeros(len(h), np.int32)
+        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+        return h, np.where(self.own[at] == h, 1 + self.order[at], 1 + len(self.own) + ending(words) % self.tail) \
+            .astype(np.int32)
+
+
+def vocabulary(counts: Counts) -> tuple[Classes, DataFrame]:
+    """The classes, and the table (h, share) of the tail's words with their log share of their class."""
+    frame = counts.frame
+    root = sqrt(frame.count())
+    best = frame.orderBy(F.desc("n"), "h").limit(ceil(OWN * root)).select("h", "n").toArrow() if root else None
+    own = best["h"].to_numpy() if root else np.zeros(0, np.int64)
+    tail = max(1, ceil(TAIL * root))
+    spark = frame.sparkSession
+    known = spark.createDataFrame(pa.table({"h": pa.array(own, pa.int64())}))
+    rest = frame.join(F.broadcast(known), "h", "left_anti") \
+        .withColumn("cls", (F.col("s") % tail + 1 + len(own)).cast("int"))
+    total = rest.groupBy("cls").agg(F.sum("n").alias("total"))
+    got = total.toArrow()
+    of = np.zeros(1 + len(own) + tail, np.int64)
+    if root:
+        of[1:1 + len(own)] = best["n"].to_numpy()
+    of[got["cls"].to_numpy()] = got["total"].to_numpy()
+    totals = spark.createDataFrame(pa.table({"cls": got["cls"].cast(pa.int32()), "total": got["total"]}))
+    share = rest.join(F.broadcast(totals), "cls").select("h", F.log(F.col("n") / F.col("total")).alias("share"))
+    return Classes(own.view(np.uint64), tail, of), share
+
+
+def initial(classes: int = 64, counts: np.ndarray | None = None) -> dict:
+    """Parameters before training; with counts the network starts from the classes' own frequencies.
+
+    Classes lie in groups of about root many: ``u`` and ``a`` say which group, ``w`` and ``b`` which class of it.
+    """
     rng = np.random.Generator(np.random.PCG64(5))
-    return {"e": rng.normal(0, 0.3, SHAPES["e"]).astype(np.float32), "c": np.zeros(SHAPES["c"], np.float32),
-            "w": rng.normal(0, 0.3, SHAPES["w"]).astype(np.float32), "b": np.zeros(SHAPES["b"], np.float32)}
+    size = ceil(sqrt(classes))
+    groups = ceil(classes / size)
+    log = np.full(groups * size, ABSENT, np.float32)
+    log[:classes] = 0 if counts is None else np.where(counts > 0, np.log(np.maximum(counts, 1)), ABSENT)
+    log = log.reshape(groups, size)
+    top = log.max(1, keepdims=True)
+    group = (top + np.log(np.exp(log - top).sum(1, keepdims=True)))[:, 0]
+    normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
+    return {"e": normal(0.3, len(CONTEXT), classes, HIDDEN), "c": np.zeros(HIDDEN, np.float32),
+            "u": normal(0.05, HIDDEN, groups), "a": group.astype(np.float32) - group.max(),
+            "w": normal(0.05, groups, HIDDEN, size), "b": log - group[:, None]}
 
 
 def context(cls: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Classes of the neighbours of every word, 0 beyond the ends of its text."""
     n = np.diff(first)
     start, end = np.repeat(first[:-1], n), np.repeat(first[1:], n)
-    out = np.zeros((len(CONTEXT), len(cls)), np.int16)
+    out = np.zeros((len(CONTEXT), len(cls)), np.int32)
     for k, o in enumerate(CONTEXT):
         at = np.arange(len(cls)) + o
         ok = (at >= start) & (at < end)
@@ -83,77 +160,206 @@ def context(cls: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def hidden(p: dict, near: np.ndarray) -> np.ndarray:
+    return np.tanh(sum(p["e"][k][near[k]] for k in range(len(CONTEXT))) + p["c"])
+
+
+def exps(z: np.ndarray) -> np.ndarray:
+    """Exponentials in place, up to a factor for each column.  A column is one word, so numpy works on many at once."""
+    if z.size and z.max() > 60:
+        z -= z.max(0)
+    return np.exp(z, out=z)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    """Probabilities along the first axis, in place."""
+    z = exps(z)
+    z /= z.sum(0) + np.float32(1e-30)
+    return z
+
+
 def forward(p: dict, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and class probabilities."""
-    h = np.tanh(sum(p["e"][k][near[k]] for k in range(len(CONTEXT))) + p["c"])
-    z = h @ p["w"] + p["b"]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return h, z
-
-
-def step(p: dict, near: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One gradient step on the mean cross-entropy of a batch, in place."""
-    h, z = forward(p, near)
+    """Hidden layer and the probabilities of all classes."""
+    h = hidden(p, near)
+    top = softmax(p["u"].T @ h.T + p["a"][:, None])
+    within = [softmax(w.T @ h.T + b[:, None]) * top[g] for g, (w, b) in enumerate(zip(p["w"], p["b"]))]
+    return h, np.concatenate(within).T
+
+
+def by_group(group: np.ndarray):
+    """(group, positions) of each group that occurs."""
+    order = np.argsort(group.astype(np.uint16) if not len(group) or group.max() < 1 << 16 else group, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(group[order[lo]]), order[lo:hi]
+
+
+def target_logs(p: dict, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each target class."""
+    h = np.ascontiguousarray(hidden(p, near).T)
+    group, at = np.divmod(target, p["b"].shape[1])
+    z = exps(p["u"].T @ h + p["a"][:, None])
+    out = z[group, np.arange(len(group))] / (z.sum(0) + np.float32(1e-30))
+    for g, rows in by_group(group):
+        z = exps(p["w"][g].T @ h[:, rows] + p["b"][g][:, None])
+        out[rows] *= z[at[rows], np.arange(len(rows))] / (z.sum(0) + np.float32(1e-30))
+    return np.log(out + np.float32(1e-30))
+
+
+def step(p: dict, seen: dict, near: np.ndarray, target: np.ndarray) -> None:
+    """One gradient step on the cross-entropy of a batch, in place; ``seen`` counts the words that moved each row."""
     n = len(target)
-    z[np.arange(n), target] -= 1
-    z *= rate / n
-    dh = (z @ p["w"].T) * (1 - h * h)
-    p["w"] -= h.T @ z
-    p["b"] -= z.sum(0)
-    p["c"] -= dh.sum(0)
+    h = np.ascontiguousarray(hidden(p, near).T)
+    group, at = np.divmod(target, p["b"].shape[1])
+    z = softmax(p["u"].T @ h + p["a"][:, None])
+    z[group, np.arange(n)] -= 1
+    rate = np.float32(min(RATE, MOST / n))
+    dh = p["u"] @ z
+    p["u"] -= rate * (h @ z.T)
+    p["a"] -= rate * z.sum(1)
+    for g, rows in by_group(group):
+        x = h[:, rows]
+        z = softmax(p["w"][g].T @ x + p["b"][g][:, None])
+        z[at[rows], np.arange(len(rows))] -= 1
+        dh[:, rows] += p["w"][g] @ z
+        rate_g = np.float32(min(RATE, MOST / len(rows)))
+        p["w"][g] -= rate_g * (x @ z.T)
+        p["b"][g] -= rate_g * z.sum(1)
+        seen["w"][g] += len(rows)
+    dh *= 1 - h * h
+    p["c"] -= rate * dh.sum(1)
+    dh = np.ascontiguousarray(dh.T)
     for k in range(len(CONTEXT)):
-        seen = np.zeros((n, CLASSES), np.float32)
-        seen[np.arange(n), near[k]] = 1
-        p["e"][k] -= seen.T @ dh
-
-
-def train(docs: DataFrame, cls: np.ndarray) -> dict:
-    """One pass over all texts; the partitions' parameters are averaged."""
+        order = np.argsort(near[k], kind="stable")
+        row = near[k][order]
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        count = np.diff(np.append(begin, n))
+        some = row[begin]
+        p["e"][k][some] -= np.minimum(RATE, MOST / count).astype(np.float32)[:, None] * np.add.reduceat(dh[order], begin, 0)
+        seen["e"][k][some] += count
+
+
+def encoded(docs: DataFrame, cls: Classes) -> DataFrame:
+    """One row per input row: rid, doc_id, key, ids (its words' classes as int32), tail (hashes of words that share a
+    class)."""
     shared = docs.sparkSession.sparkContext.broadcast(cls)
 
     def run(batches):
-        p, words = initial(), 0
+        cls = shared.value
         for batch in batches:
-            for _, _, raw, offsets in text_slices(batch.column(0)):
-                b, first = buckets(raw, offsets)
-                c = shared.value[b]
-                near = context(c, first)
-                for a in range(0, len(c), BATCH):
-                    rate = RATE / np.sqrt(1 + words / (64 * BATCH))
-                    step(p, near[:, a:a + BATCH], c[a:a + BATCH], rate)
-                    words += len(c[a:a + BATCH])
-        if words:
-            flat = np.concatenate([p[k].ravel() for k in SHAPES])
-            yield pa.record_batch([pa.array([words]), pa.array([flat], pa.list_(pa.float32()))], names=["n", "v"])
-
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "n long, v array<float>")
-    got = parts.select("n", F.posexplode("v")).groupBy("pos").agg(
-        (F.sum(F.col("col").cast("double") * F.col("n")) / F.sum("n")).alias("v")).toArrow()
-    if not got.num_rows:
-        return initial()
-    flat = np.zeros(got.num_rows)
-    flat[got["pos"].to_numpy()] = got["v"].to_numpy()
-    out, at = {}, 0
-    for k, shape in SHAPES.items():
-        size = int(np.prod(shape))
-        out[k] = flat[at:at + size].reshape(shape).astype(np.float32)
-        at += size
-    return out
-
-
-def log_probabilities(p: dict, cls: np.ndarray, share: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
-    """Log-probability of every word of a slice given both sides, and where each text's words begin."""
-    b, first = buckets(raw, offsets)
-    c = cls[b]
-    near = context(c, first)
-    out = share[b].astype(np.float64)
-    for a in range(0, len(c), BATCH):
-        _, z = forward(p, near[:, a:a + BATCH])
-        own = c[a:a + BATCH]
-        out[a:a + BATCH] += np.log(z[np.arange(len(own)), own] + 1e-30)
-    return out, first
+            for a, b, raw, offsets in text_slices(batch.column(2)):
+                words = Words(raw, offsets)
+                h, c = cls.of(words)
+                rare = c > len(cls.own)
+                at = np.append(0, np.cumsum(rare))[words.first]
+                data = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), b - a, [None, pa.py_buffer((words.first * 4).astype(np.int64)), pa.py_buffer(c)])
+                tail = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h[rare].view(np.int64)))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
+                                       data.cast(pa.binary()), tail], names=["doc_id", "key", "ids", "tail"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), text).alias("key"), text.alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return written(rows.mapInArrow(run, f"doc_id {kind}, key long, ids binary, tail array<long>")
+                   .withColumn("rid", F.monotonically_increasing_id()), "lm-words")
+
+
+def _sequences(column: pa.Array):
+    """Classes and first words of binary rows."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    c = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].copy().view(np.int32) if data is not None else \
+        np.zeros(0, np.int32)
+    return c, (offsets - offsets[0]) // 4
+
+
+def _weighted(p: dict, seen: dict, words: int):
+    """(name, piece, weights, values) of a lane's parameters; rows that no word moved weigh next to nothing."""
+    rows = {"e": (p["e"].reshape(-1, HIDDEN), seen["e"].ravel()), "w": (p["w"].reshape(len(p["w"]), -1), seen["w"]),
+            "b": (p["b"], seen["w"])}
+    rows |= {k: (p[k].reshape(1, -1), np.array([words])) for k in "uac"}
+    for k, (values, weight) in rows.items():
+        for a in range(0, len(values), PIECE):
+            yield k, a // PIECE, (weight[a:a + PIECE] + 1e-6).astype(np.float64), values[a:a + PIECE]
+
+
+def fit(rows: DataFrame, cls: Classes) -> dict:
+    """One pass over the encoded texts, in rounds that start from the last average."""
+    p = initial(len(cls), cls.counts)
+    words = int(cls.counts.sum())
+    lanes = max(1, round(sqrt(words / BATCH / LANE_BATCHES)))
+    spark = rows.sparkSession
+    dealt = F.pmod(F.xxhash64("key"), F.lit(ROUNDS * lanes))
+    lane_size = words / lanes / ROUNDS
+    rows = rows.filter(F.length("ids") > 0).select((dealt % lanes).cast("int").alias("lane"),
+                                                   F.floor(dealt / lanes).alias("round"), "key", "ids")
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(p)
+
+        def run(batches):
+            lane, p, seen, n = None, None, None, 0
+
+            def done():
+                for name, piece, weight, values in _weighted(p, seen, n):
+                    yield pa.record_batch([pa.array([name]), pa.array([piece], pa.int32()), pa.array([weight.tobytes()]),
+                                           pa.array([values.tobytes()])], names=["name", "piece", "weight", "value"])
+
+            for batch in batches:
+                of = batch.column(0).to_numpy()
+                edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
+                for lo, hi in zip(edges[:-1], edges[1:]):
+                    if of[lo] != lane:
+                        if lane is not None:
+                            yield from done()
+                        lane, n = of[lo], 0
+                        p = {k: v.copy() for k, v in shared.value.items()}
+                        seen = {"e": np.zeros(p["e"].shape[:2], np.int64), "w": np.zeros(len(p["w"]), np.int64)}
+                    c, first = _sequences(batch.column(1).slice(lo, hi - lo))
+                    near = context(c, first)
+                    for a in range(0, len(c), BATCH):
+                        step(p, seen, near[:, a:a + BATCH], c[a:a + BATCH])
+                    n += len(c)
+            if lane is not None:
+                yield from done()
+
+        def mean(pieces: pa.Table) -> pa.Table:
+            # in a fixed order, so that the sum is the same in every run
+            total, weight = 0, 0
+            for w, v in sorted(zip(pieces["weight"].to_pylist(), pieces["value"].to_pylist())):
+                w = np.frombuffer(w)
+                total = total + np.frombuffer(v, np.float32).reshape(len(w), -1).astype(np.float64) * w[:, None]
+                weight = weight + w
+            return pa.table({"name": pieces["name"][:1], "piece": pieces["piece"][:1],
+                             "value": pa.array([(total / weight[:, None]).astype(np.float32).tobytes()])})
+
+        trained = rows.filter(F.col("round") == k).select("lane", "key", "ids").repartition(lanes, "lane") \
+            .sortWithinPartitions("lane", "key", "ids").select("lane", "ids") \
+            .mapInArrow(run, "name string, piece int, weight binary, value binary")
+        got = written(written(trained, "lm-lanes").groupBy("name", "piece").applyInArrow(
+            mean, "name string, piece int, value binary"), "lm-average").orderBy("name", "piece").toArrow()
+        for name in set(got["name"].to_pylist()):
+            parts = [v for x, v in zip(got["name"].to_pylist(), got["value"].to_pylist()) if x == name]
+            p[name] = np.frombuffer(b"".join(parts), np.float32).reshape(p[name].shape)
+        shared.unpersist()
+    return p
+
+
+def train(docs: DataFrame, cls: Classes) -> dict:
+    return fit(encoded(docs, cls), cls)
+
+
+def log_probabilities(p: dict, cls: Classes, share: DataFrame, raw: np.ndarray, offsets: np.ndarray):
+    """Log-probability of every word of a slice given both sides, and where each text's words begin; reads the shares
+    of the slice's words from the table.  Parameters of another number of classes count as untrained."""
+    p = p if p["e"].shape[1] == len(cls) else initial(len(cls))
+    words = Words(raw, offsets)
+    h, c = cls.of(words)
+    out = target_logs(p, context(c, words.first), c).astype(np.float64)
+    known = share.sparkSession.createDataFrame(pa.table({"h": pa.array(np.unique(h).view(np.int64))}))
+    log = {r["h"]: r["share"] for r in share.join(known, "h").collect()}
+    return out + np.array([log.get(x, 0.0) for x in h.view(np.int64).tolist()]), words.first
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
@@ -163,20 +369,28 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     empty table gives no rows.  Other columns are ignored.
     """
     cls, share = vocabulary(count_words(docs))
-    shared = docs.sparkSession.sparkContext.broadcast((train(docs, cls), cls, share))
+    rows = encoded(docs, cls)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, cls))
 
     def run(batches):
+        p = shared.value
         for batch in batches:
-            for a, b, raw, offsets in text_slices(batch.column(1)):
-                lp, first = log_probabilities(*shared.value, raw, offsets)
-                n = np.diff(first)
-                total = np.bincount(np.repeat(np.arange(b - a), n), lp, minlength=b - a).astype(float)
-                mean = total / np.maximum(n, 1)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(total),
-                                       pa.array(mean), pa.array(np.exp(-mean))],
-                                      names=["doc_id", "n_words", "log_likelihood", "mean_log_prob", "perplexity"])
-
-    rows = docs.select("doc_id", F.col("text").cast("string"))
+            c, first = _sequences(batch.column(2))
+            near = context(c, first)
+            lp = np.zeros(len(c))
+            for a in range(0, len(c), BATCH):
+                lp[a:a + BATCH] = target_logs(p, near[:, a:a + BATCH], c[a:a + BATCH])
+            n = np.diff(first)
+            total = np.bincount(np.repeat(np.arange(len(n)), n), lp, minlength=len(n)).astype(float)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(total)],
+                                  names=["rid", "doc_id", "n_words", "sum"])
+
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_prob double, perplexity double")
+    scored = rows.select("rid", "doc_id", "ids").mapInArrow(run, f"rid long, doc_id {kind}, n_words long, sum double")
+    tail = rows.select("rid", F.explode("tail").alias("h")).join(share, "h").groupBy("rid") \
+        .agg(F.sum("share").alias("share"))
+    total = F.col("sum") + F.coalesce("share", F.lit(0.0))
+    mean = F.col("log_likelihood") / F.greatest("n_words", F.lit(1))
+    return written(scored.join(written(tail, "lm-shares"), "rid", "left").select(
+        "doc_id", "n_words", total.alias("log_likelihood")), "lm-scores") \
+        .withColumn("mean_log_prob", mean).withColumn("perplexity", F.exp(-F.col("mean_log_prob")))
