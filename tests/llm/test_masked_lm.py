@@ -22,3 +22,10 @@ def test_every_word_has_its_own_count_and_classes_follow_the_vocabulary(spark):
     assert share.count() == len(want) - len(cls.own)
     total = sum(np.exp(r["share"]) for r in share.collect())
     assert abs(total - (cls.counts[1 + len(cls.own):] > 0).sum()) < 1e-6
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = table(spark, SF, "documents")
+    score = lambda d: {r["doc_id"]: r["mean_log_prob"] for r in masked_lm.pseudo_likelihood(d).collect()}
+    one, many = score(docs.coalesce(1)), score(docs.repartition(13))
+    assert one.keys() == many.keys() and max(abs(one[k] - many[k]) for k in one) < 1e-6
