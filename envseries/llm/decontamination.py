@@ -3,7 +3,8 @@
 Texts are canonicalised: numbers, units after numbers and names (capitalised words inside a sentence) become typed
 placeholders, other words are lower-cased without punctuation.  Five-word windows of these templates are joined by hash
 with those of the benchmark; a second set of windows keeps names as words, so a copy in other letter case is found as
-well.  Where a window with placeholders matched, its slots must be filled consistently: one value of the benchmark item
+well.  Windows of numbers and units alone match by their values, so a copied number series or table counts in full.
+Where a window with placeholders matched, its slots must be filled consistently: one value of the benchmark item
 may stand for one value of the document only.  So a question with new numbers or names is caught, a chance match isn't.
 
 Only documents with a window that passes a bit table of fixed size (built from all benchmark windows) reach the join.
@@ -36,6 +37,8 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s ms min h hr hrs kb m
          "kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce ounces "
          "liter liters litre litres dollar dollars cent cents euro euros percent degree degrees")
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (11, 12, 13))
+#: Forms of a window: names replaced, names kept, and the words as they are for windows that are slots alone.
+FULL, PLAIN, VERBATIM = 1, 2, 3
 
 
 def _hash_words(names: str) -> np.ndarray:
@@ -72,8 +75,8 @@ class Templates:
         self.full = np.where(name, NAME, self.plain)
 
     def windows(self):
-        """(document, word position, hash) of every window of either form; shorter texts are one window."""
-        for form, tag in ((self.full, 1), (self.plain, 2)):
+        """(document, word position, hash, form) of every window; shorter texts are one window."""
+        for form, tag in ((self.full, FULL), (self.plain, PLAIN), (self.value, VERBATIM)):
             grams = ngram_hashes(form, WINDOW)
             n = np.diff(self.first)
             long = np.flatnonzero(n >= WINDOW)
@@ -103,14 +106,21 @@ def _windows(frame: DataFrame, shared=None) -> DataFrame:
             for a, b, raw, offsets in text_slices(batch.column(1)):
                 t = Templates(raw, offsets)
                 count = np.diff(t.first)
+                words = {FULL: np.append(0, np.cumsum(t.kind == 0)),
+                         PLAIN: np.append(0, np.cumsum((t.kind == 0) | (t.kind == 3)))}
                 for doc, pos, h, tag in t.windows():
+                    # Slots alone are evidence by their values, not as a template.  Whether a window's first word is a
+                    # unit depends on the word before, so it is left out of account.
+                    lo, hi = t.first[doc] + pos, np.minimum(t.first[doc] + pos + WINDOW, t.first[doc + 1])
+                    take = words[PLAIN][hi] == words[PLAIN][lo + 1] if tag == VERBATIM else words[tag][hi] > words[tag][lo]
+                    doc, pos, h = doc[take], pos[take], h[take]
                     if shared is not None:
                         spot = _bits(h)
                         hit = (shared.value[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
                         doc, pos, h = doc[hit], pos[hit], h[hit]
                     if not len(h):
                         continue
-                    masked = t.kind > 0 if tag == 1 else (t.kind == 1) | (t.kind == 2)
+                    masked = (t.kind > 0) & (tag == FULL) | ((t.kind == 1) | (t.kind == 2)) & (tag == PLAIN)
                     kinds, slots = [], []
                     for d, p in zip(doc.tolist(), pos.tolist()):
                         lo = t.first[d] + p
@@ -131,8 +141,8 @@ def _windows(frame: DataFrame, shared=None) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, item_id, windows, matched, coverage, conflicts) of texts that hold at least half of an item's windows.
 
-    ``docs`` has key and text.  A window all of whose words are slots is never evidence; windows whose slots contradict
-    the item's most frequent reading in that text are not counted.  Items of fewer than five words are one window and
+    ``docs`` has key and text.  A window all of whose words are numbers and units is evidence where these are the same;
+    windows whose slots contradict the item's most frequent reading in that text are not counted.  Items of fewer than five words are one window and
     match texts of just those words.  Null and empty texts hold and leak nothing.
     """
     bench = written(_windows(benchmark.select(F.col("item_id").alias("key"), F.col("text").cast("string").alias("text"))),
@@ -147,8 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     items = bench.select(F.col("key").alias("item_id"), "h", F.col("pos").alias("item_pos"), "windows",
                          F.col("kinds").alias("k"), F.col("slots").alias("s"))
-    literal = F.size(F.filter("k", lambda x: x == 0))
-    same = written(found.join(items, "h").filter((literal > 0) & (F.col("k") == F.col("kinds")))
+    same = written(found.join(items, "h").filter(F.col("k") == F.col("kinds"))
                    .select("key", "item_id", "windows", "item_pos", "pos", "k", "s", "slots"), "leak-matches")
     # what each slot value of the item stands for: its most frequent partner in the document
     pairs = same.select("key", "item_id", "item_pos", "pos", F.explode(F.arrays_zip("k", "s", "slots")).alias("z")) \
