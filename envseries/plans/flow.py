@@ -45,22 +45,27 @@ def run(spark: SparkSession, air_csv: str, weather_json: str, out_dir: str, *,
         weather_ts_format: str = "yyyy-MM-dd'T'HH:mm") -> dict[str, str]:
     """Run the route on one long measurement CSV and one hourly JSON feed.
 
-    Writes ``raw_long``, ``air_clean``, ``weather_clean``, ``final`` (Parquet,
-    partitioned by year) and ``quality`` (JSON) under ``out_dir``; returns
-    their paths.
+    Writes ``raw_long`` (every CSV column as text), ``raw_feed`` (the JSON as
+    text), ``air_raw`` and ``weather_raw`` (wide, before cleaning),
+    ``air_clean``, ``weather_clean``, ``final`` (Parquet, partitioned by year)
+    and ``quality`` (JSON) under ``out_dir``; returns their paths.
     """
-    paths = {k: os.path.join(out_dir, k) for k in ("raw_long", "air_clean", "weather_clean", "final", "quality")}
+    paths = {k: os.path.join(out_dir, k) for k in ("raw_long", "raw_feed", "air_raw", "weather_raw", "air_clean",
+                                                   "weather_clean", "final", "quality")}
+    sinks.write_raw_copy(readers.read_raw_csv(spark, air_csv), paths["raw_long"])
+    sinks.write_raw_copy(spark.read.text(weather_json, wholetext=True), paths["raw_feed"])
     long = readers.read_long_csv(spark, air_csv)
-    sinks.write_raw_copy(long, paths["raw_long"])
 
     names = [reshape.safe_name(p) for p in pollutants]
     air = reshape.pivot_wide(long, params=pollutants, names=names)
+    sinks.write_table(sinks.with_year(air, "ts"), paths["air_raw"], partition_by=["year"])
     bounds = {reshape.safe_name(k): v for k, v in (pollutant_bounds or {}).items()}
     air_clean = clean(air, names, bounds=bounds)
     sinks.write_table(sinks.with_year(air_clean, "ts"), paths["air_clean"], partition_by=["year"])
 
     weather = readers.read_hourly_feed(spark, weather_json, weather_vars, ts_name="ts",
                                        ts_format=weather_ts_format)
+    sinks.write_table(sinks.with_year(weather, "ts"), paths["weather_raw"], partition_by=["year"])
     weather = weather.withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     weather_clean = clean(weather, list(weather_vars), bounds=weather_bounds)
     sinks.write_table(sinks.with_year(weather_clean, "ts"), paths["weather_clean"], partition_by=["year"])

@@ -31,6 +31,11 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df
 
 
+def read_raw_csv(spark: SparkSession, path: str, *, sep: str = ",") -> DataFrame:
+    """Every column of a CSV as text, as it stands (blanks around values included)."""
+    return spark.read.option("header", True).option("sep", sep).csv(path)
+
+
 def read_long_csv(spark: SparkSession, path: str, *, ts: str = "Datum",
                   parameter: str = "Parameter", value: str = "Wert",
                   ts_format: str = "yyyy-MM-dd'T'HH:mmZ",
