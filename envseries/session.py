@@ -2,8 +2,8 @@
 
 The library never builds its own cluster session inside operators; callers
 pass a ``SparkSession``.  ``configure`` only pins settings the operators rely
-on (UTC session zone) and fills in a checkpoint folder when the cluster has
-not named one (tests, local runs).
+on (UTC session zone).  The checkpoint folder is the cluster's to name, in
+``spark.checkpoint.dir``; only ``local_session`` picks one where it is unset.
 """
 
 from __future__ import annotations
@@ -20,16 +20,13 @@ def configure(spark: SparkSession) -> SparkSession:
     * session time zone UTC: timestamps are true instants, local wall-clock
       features are derived explicitly (``functions.timecols.local_time``);
     * AQE on (coalescing, skew-join splitting);
-    * a checkpoint folder only when ``spark.checkpoint.dir`` is unset.
+    * ``spark.checkpoint.dir``, where set, as the folder of reliable checkpoints.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     configured = checkpoint_dir(spark)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="envseries-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if configured and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(configured)
     return spark
 
@@ -41,7 +38,7 @@ def materialize(df):
     (never a local checkpoint): lost executors re-read it instead of
     recomputing the whole upstream plan.
     """
-    configure(df.sparkSession)
+    required_checkpoint_dir(configure(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -53,6 +50,15 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return value or None
 
 
+def required_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder, or an error that says how to name one."""
+    value = checkpoint_dir(spark)
+    if not value:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share; "
+                         "set it when the session is built")
+    return value
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "envseries") -> SparkSession:
     """A local session for tests and the benchmark (not for clusters)."""
@@ -68,5 +74,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
+    if not checkpoint_dir(spark):  # a static setting: it can only be given when the session is built
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="envseries-ckpt-")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from tables import SF001
 
 FAST = ["hourly_wide", "missing_hours", "dedupe_first", "interpolate_limit", "missingness_class",
         "pearson_matrix", "spearman_matrix", "lag_correlation", "sector_mean", "hypothesis_verdicts",

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from tables import SF001
 
 PYTHON_NODES = ["BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas",
                 "MapInArrow", "PythonMapInArrow"]

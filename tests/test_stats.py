@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from tables import SF01
 from reference_t import t_two_sided_p
 from envseries.functions.tdist import t_pvalue
 from envseries.operators import correlation, hypothesis, models

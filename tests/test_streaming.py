@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from tables import SF001
 from envseries.operators import reshape
 from envseries.streaming.hourly import hourly_wide_stream, long_schema, start_hourly_sink
 
