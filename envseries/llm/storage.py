@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir
+from ..session import required_checkpoint_dir
 
 #: Whether Spark removes the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only a local session without that setting gets its own folder."""
-    base = checkpoint_dir(spark)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="envseries-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new path below ``spark.checkpoint.dir``; an error if the session names no such folder."""
+    base = required_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/envseries/{name}-{uuid.uuid4().hex}"
 
 
