@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, exact_dedup, language_id, masked_lm, mixing, near_dedup, quality_gam, token_shards,
-               toxicity_fm, url_rules, warc)
+from . import (collocations, decontamination, exact_dedup, language_id, masked_lm, mixing, near_dedup, quality_gam,
+               spelling, token_shards, toxicity_fm, url_rules, warc)
 from .storage import table
 
 
@@ -57,9 +57,19 @@ def op11_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_collocation_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_feistel_token_shards, op3_template_decontamination, op4_masked_pseudo_likelihood,
     op5_script_viterbi_language, op6_quality_gam, op7_block_naming, op8_toxicity_fm,
-    op9_efraimidis_mix, op10_warc_salvage, op11_url_association_rules)}
+    op9_efraimidis_mix, op10_warc_salvage, op11_url_association_rules,
+    op12_spelling_trie, op13_collocation_streams)}
 ORACLE_SQL = {"op7_block_naming": exact_dedup.ORACLE_SQL, "op9_efraimidis_mix": mixing.ORACLE_SQL,
-              "op10_warc_salvage": warc.ORACLE_SQL}
+              "op10_warc_salvage": warc.ORACLE_SQL, "op12_spelling_trie": spelling.ORACLE_SQL,
+              "op13_collocation_streams": collocations.ORACLE_SQL}
