@@ -45,14 +45,6 @@ def right_closed_bins_sql(c: str, edges: Sequence[float], labels: Sequence[str],
     return f"CASE {' '.join(parts)} END"
 
 
-def bin_ordinal(c: str | Column, labels: Sequence[str]) -> Column:
-    x = _c(c)
-    expr = None
-    for i, label in enumerate(labels):
-        expr = F.when(x == label, i) if expr is None else expr.when(x == label, i)
-    return expr
-
-
 def sector(direction: str | Column, width: float = 22.5, n: int = 16) -> Column:
     """Sector index of a direction in degrees: ``[0, w]`` -> 0, ``(w, 2w]`` -> 1, ...
 
@@ -65,33 +57,3 @@ def sector(direction: str | Column, width: float = 22.5, n: int = 16) -> Column:
 def flag(cond: Column) -> Column:
     """Boolean condition as 0/1 int; null counts as false (pandas semantics)."""
     return F.coalesce(cond, F.lit(False)).cast("int")
-
-
-def equal_width_bucket(x: str | Column, lo: Column, hi: Column, bins: int) -> Column:
-    """0-based bucket over [lo, hi] in ``bins`` equal bins; the last bin is closed."""
-    v = _c(x)
-    width = (hi - lo) / bins
-    b = F.when(hi == lo, 0).otherwise(F.floor((v - lo) / width))
-    return F.least(b, F.lit(bins - 1)).cast("int")
-
-
-def value_bucket(v: Column) -> Column:
-    """Order-preserving bucket of a double: sign, binary exponent and 16
-    mantissa slices, so ``a <= b`` implies ``bucket(a) <= bucket(b)``.
-
-    Used to cut a sort over distinct values into independent segments.
-    """
-    av = F.abs(v)
-    e = F.floor(F.log2(av))
-    m = F.floor((av / F.pow(F.lit(2.0), e) - 1.0) * 16)
-    mag = (e + 1100) * 16 + m
-    return F.when(v > 0, mag + 100000).when(v < 0, -mag - 100000).otherwise(F.lit(0)).cast("bigint")
-
-
-def value_bucket_sql(v: str) -> str:
-    """SQL text of ``value_bucket``."""
-    e = f"floor(log2(abs({v})))"
-    m = f"floor((abs({v}) / pow(2.0D, {e}) - 1.0D) * 16)"
-    mag = f"(({e} + 1100) * 16 + {m})"
-    return (f"CAST(CASE WHEN {v} > 0 THEN {mag} + 100000 WHEN {v} < 0 THEN -{mag} - 100000 ELSE 0 END "
-            f"AS BIGINT)")

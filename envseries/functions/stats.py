@@ -43,3 +43,12 @@ def pair_count(a: str | Column, b: str | Column) -> Column:
 def t_from_r(r: Column, n: Column) -> Column:
     """t statistic of a correlation coefficient with n pairs."""
     return F.try_divide(r * F.sqrt((n - 2).cast("double")), F.sqrt(1 - r * r))
+
+
+def circular_mean(degrees: str) -> Column:
+    """Mean direction in [0, 360) of a column of degrees, as the direction of the mean unit vector.
+
+    Null without values, and where the vectors cancel out (below 1e-9).
+    """
+    y, x = f"avg(sin(radians(`{degrees}`)))", f"avg(cos(radians(`{degrees}`)))"
+    return F.expr(f"CASE WHEN {x} * {x} + {y} * {y} > 1e-18D THEN pmod(degrees(atan2({y}, {x})), 360.0D) END")

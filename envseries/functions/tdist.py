@@ -1,13 +1,16 @@
 """Student-t two-sided p-value as a JVM-side column expression.
 
-The regularised incomplete beta I_x(a, b) is evaluated with Lentz's
-continued fraction written as a fold (``aggregate`` over a sequence), so the
-p-value is an ordinary Spark SQL expression: no Python worker, no driver
-round trip.  The expression is generated as SQL text and parsed once
-(building it from Python ``Column`` objects costs thousands of gateway
-calls).  Applied to aggregate rows (one per test).
-
-p = I_{df/(df+t^2)}(df/2, 1/2)
+The expression is SQL text, parsed once, and applied to aggregate rows (one
+per test).  Both branches have a fixed number of terms: how many are needed
+depends on t, and by the choice of the branch not even on t, and never on
+the degrees of freedom, so on the size of the table.
+
+With a = dof / 2 and y = t^2 / (dof + t^2) the p-value is I_{1-y}(a, 1/2):
+
+* |t| < 1.25: 1 - I_y(1/2, a) by its power series, all terms positive;
+* else the even part of the continued fraction of I_{1-y}(a, 1/2), written
+  in a * y rather than 1 - (1 - y) so that nothing cancels for large a; it
+  keeps its relative accuracy for the smallest p-values.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TINY = "1e-300D"
+SWITCH = 1.25
+SERIES_TERMS, FRACTION_TERMS = 64, 96
 
 # Lanczos approximation coefficients (g = 7, n = 9).
 _LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028,
@@ -36,8 +40,18 @@ def lgamma_sql(x: str) -> str:
     return f"(0.9189385332046727D + ({z} + 0.5D) * ln({t}) - {t} + ln({terms}))"
 
 
-def _guard(v: str) -> str:
-    return f"(CASE WHEN abs({v}) < {_TINY} THEN {_TINY} ELSE {v} END)"
+def lgamma_step_sql(a: str) -> str:
+    """log Gamma(a + 1/2) - log Gamma(a) for a > 0 as SQL text.
+
+    From 20 on by the difference of the two Stirling series: the logarithms
+    themselves grow with a and would cancel.
+    """
+    i = f"(1.0D / ({a}))"
+    j = f"({i} * {i})"
+    stirling = (f"0.5D * ln({a}) + {i} * (-1.0D / 8 + {j} * (1.0D / 192 + {j} * (-1.0D / 640 "
+                f"+ {j} * (17.0D / 14336 - {j} * 31.0D / 18432))))")
+    small = f"{lgamma_sql(f'{a} + 1.5D')} - ln({a} + 0.5D) - {lgamma_sql(f'{a} + 1.0D')} + ln({a})"
+    return f"(CASE WHEN {a} >= 20.0D THEN {stirling} ELSE {small} END)"
 
 
 def _let(value: str, var: str, body: str) -> str:
@@ -47,52 +61,41 @@ def _let(value: str, var: str, body: str) -> str:
     return f"transform(array({value}), {var} -> {body})[0]"
 
 
-def betainc_sql(a: str, b: str, x: str, iters: int = 2000) -> str:
-    """Regularised incomplete beta I_x(a, b), 0 < x < 1, as SQL text.
+def _series() -> str:
+    """The power series over the bound struct ``v`` (a, x, y, front)."""
+    term = "z.term * (v.a + 0.5D + n) / (1.5D + n) * v.y"
+    step = _let(term, "k", "named_struct('term', k, 'total', z.total + k)")
+    return (f"aggregate(sequence(0, {SERIES_TERMS - 1}), named_struct('term', 1.0D, 'total', 1.0D), "
+            f"(z, n) -> {step}, z -> 1.0D - 2.0D * v.front * z.total)")
 
-    The symmetry switch is taken before the loop (one continued fraction);
-    the loop runs O(sqrt(max(a, b))) iterations -- the convergence rate of
-    the fraction -- capped at ``iters``; each iteration is two half-steps
-    reading only accumulator fields, with every repeated term bound once.
-    """
-    inner = _betainc_bound(iters)
-    return _let(f"named_struct('a', CAST({a} AS DOUBLE), 'b', CAST({b} AS DOUBLE), 'x', CAST({x} AS DOUBLE))",
-                "q", inner)
-
-
-def _betainc_bound(iters: int) -> str:
-    """Body of ``betainc_sql`` over the bound struct ``q`` (fields a, b, x)."""
-    direct = "(q.x < (q.a + 1.0D) / (q.a + q.b + 2.0D))"
-    sw = (f"named_struct('aa', CASE WHEN {direct} THEN q.a ELSE q.b END, "
-          f"'bb', CASE WHEN {direct} THEN q.b ELSE q.a END, "
-          f"'xx', CASE WHEN {direct} THEN q.x ELSE 1.0D - q.x END, 'direct', {direct})")
-    d0 = f"(1.0D / {_guard('1.0D - (w.aa + w.bb) * w.xx / (w.aa + 1.0D)')})"
-    init = (f"named_struct('aa', w.aa, 'bb', w.bb, 'xx', w.xx, 'direct', w.direct, "
-            f"'c', 1.0D, 'd', {d0}, 'h', {d0})")
-    m = "CAST(ceil(k / 2.0D) AS DOUBLE)"
-    odd = f"({m} * (acc.bb - {m}) * acc.xx / ((acc.aa - 1.0D + 2.0D * {m}) * (acc.aa + 2.0D * {m})))"
-    even = f"(-(acc.aa + {m}) * (acc.aa + acc.bb + {m}) * acc.xx / ((acc.aa + 2.0D * {m}) * (acc.aa + 1.0D + 2.0D * {m})))"
-    coef = f"CASE WHEN pmod(k, 2) = 1 THEN {odd} ELSE {even} END"
-    upd = f"named_struct('dn', 1.0D / {_guard('1.0D + cf * acc.d')}, 'cn', {_guard('1.0D + cf / acc.c')})"
-    new_acc = ("named_struct('aa', acc.aa, 'bb', acc.bb, 'xx', acc.xx, 'direct', acc.direct, "
-               "'c', z.cn, 'd', z.dn, 'h', acc.h * z.dn * z.cn)")
-    step = f"(acc, k) -> {_let(coef, 'cf', _let(upd, 'z', new_acc))}"
-    front = (f"exp({lgamma_sql('acc.aa + acc.bb')} - {lgamma_sql('acc.aa')} - {lgamma_sql('acc.bb')} "
-             f"+ acc.aa * ln(acc.xx) + acc.bb * ln(1.0D - acc.xx))")
-    finish = f"acc -> {_let(front, 'fr', 'CASE WHEN acc.direct THEN fr * acc.h / acc.aa ELSE 1.0D - fr * acc.h / acc.aa END')}"
-    n = f"least({iters}, CAST(20.0D + 3.0D * sqrt(greatest(q.a, q.b)) AS INT))"
-    loop = f"aggregate(sequence(1, 2 * {n}), {init}, {step}, {finish})"
-    return _let(sw, "w", loop)
-
-
-def t_pvalue_sql(t: str, dof: str, iters: int = 2000) -> str:
+
+def _fraction() -> str:
+    """The continued fraction over the bound struct ``v``; convergents are scaled to a denominator of one."""
+    first = "((1.0D / v.a + 1.0D) / (v.a * v.y - 0.5D * v.x + 1.0D))"
+    num = ("(1.0D + (n - 1) / v.a) * (1.0D + (n - 0.5D) / v.a) * pow(v.a / (v.a - 1.0D + 2 * n), 2) "
+           "* pow(n * v.x, 2) * (0.5D - n) / n")
+    den = ("n + n * (0.5D - n) * v.x / (v.a - 1.0D + 2 * n) + (n / v.a + 1.0D) / (1.0D + (1.0D + 2 * n) / v.a) "
+           "* (v.a * v.y - 0.5D * v.x + 1.0D + n * (v.y + 1.0D))")
+    nxt = _let("named_struct('a', w.num * z.a + w.den * z.r, 'b', w.num * z.b + w.den)", "k",
+               "named_struct('a', z.r / k.b, 'b', 1.0D / k.b, 'r', k.a / k.b)")
+    step = _let(f"named_struct('num', {num}, 'den', {den})", "w", nxt)
+    return (f"aggregate(sequence(1, {FRACTION_TERMS}), named_struct('a', 0.0D, 'b', {first}, 'r', {first}), "
+            f"(z, n) -> {step}, z -> v.front * z.r)")
+
+
+def t_pvalue_sql(t: str, dof: str) -> str:
     """Two-sided Student-t p-value of columns/expressions ``t`` and ``dof`` (SQL text)."""
+    front = (f"exp({lgamma_step_sql('u.a')} - 0.5723649429247001D - u.a * log1p(u.q / u.d) "
+             "+ 0.5D * ln(u.q / (u.d + u.q)))")
+    value = _let(f"named_struct('a', u.a, 'x', u.d / (u.d + u.q), 'y', u.q / (u.d + u.q), 'front', {front})", "v",
+                 f"CASE WHEN u.q < {_d(SWITCH * SWITCH)} THEN {_series()} ELSE {_fraction()} END")
     body = ("CASE WHEN s.t IS NULL OR s.d IS NULL OR s.d <= 0 OR isnan(s.t) OR isnan(s.d) THEN NULL "
-            "WHEN s.d / (s.d + s.t * s.t) >= 1.0D THEN 1.0D WHEN s.d / (s.d + s.t * s.t) <= 0.0D THEN 0.0D "
-            f"ELSE least(greatest({betainc_sql('s.d / 2.0D', '0.5D', 's.d / (s.d + s.t * s.t)', iters)}, 0.0D), 1.0D) END")
+            "WHEN s.t = 0 THEN 1.0D WHEN s.d / (s.d + s.t * s.t) <= 0.0D THEN 0.0D ELSE "
+            + _let("named_struct('a', s.d / 2.0D, 'd', s.d, 'q', s.t * s.t)", "u", f"least(greatest({value}, 0.0D), 1.0D)")
+            + " END")
     return _let(f"named_struct('t', CAST({t} AS DOUBLE), 'd', CAST({dof} AS DOUBLE))", "s", body)
 
 
-def t_pvalue(t: str, dof: str, iters: int = 2000) -> Column:
+def t_pvalue(t: str, dof: str) -> Column:
     """Two-sided p-value of Student's t for two named columns."""
-    return F.expr(t_pvalue_sql(f"`{t}`", f"`{dof}`", iters))
+    return F.expr(t_pvalue_sql(f"`{t}`", f"`{dof}`"))

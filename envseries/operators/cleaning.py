@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import scan
+from .keyed import attach
 
 # Plausible ranges (min, max) the reference applies.
 POLLUTANT_BOUNDS = {
@@ -85,20 +87,25 @@ def bounds_violations(df: DataFrame, rules: Mapping[str, tuple[float, float]],
     return row.select(F.inline(F.array(*parts)))
 
 
-def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Columns that contain at least one null.
-
-    The one documented driver action of the cleaning flow: the flag schema
-    depends on data.  It is a single aggregate row (one value per column).
-    """
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] > 0]
+def observed_nulls(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The frame, written once to the checkpoint folder, and those of ``cols`` in which that run met a null."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[F.expr(f"count_if(`{c}` IS NULL) AS `n{i}`") for i, c in enumerate(cols)]))
+    counts = seen.get
+    return out, [c for i, c in enumerate(cols) if counts[f"n{i}"] > 0]
 
 
 def missing_flags(df: DataFrame, cols: Sequence[str], only_with_nulls: bool = True,
                   suffix: str = "_missing") -> DataFrame:
-    """``{c}_missing`` int 0/1 for columns with any null (or all given columns)."""
-    targets = columns_with_nulls(df, cols) if only_with_nulls else list(cols)
+    """``{c}_missing`` int 0/1 for columns with any null (or all given columns).
+
+    The schema of the flags depends on the data.  They are counted while the
+    frame is written to the checkpoint folder, and the result reads it from
+    there: what leads to the frame runs once.
+    """
+    targets = list(cols)
+    if only_with_nulls:
+        df, targets = observed_nulls(df, cols)
     return df.withColumns({f"{c}{suffix}": F.col(c).isNull().cast("int") for c in targets})
 
 
@@ -141,76 +148,78 @@ def missingness_class(df: DataFrame, cols: Sequence[str], series: Sequence[str]
 
 def missingness_class_matrix(df: DataFrame, cols: Sequence[str], series: Sequence[str] = (),
                              ts: str = "ts") -> DataFrame:
-    """Matrix classifier (K5): rate per calendar month 1..12 (absent months 0),
-    population std; cv >= 0.5 and active months (rate > 5 %) <= 6 -> MAR;
-    cv < 0.35 -> MCAR; else mixed.  Lists the active months.
+    """Matrix classifier (K5): null rate per month of the years spanned (absent
+    months 0), population std; cv >= 0.5 and at most half of the months
+    active (rate > 5 %) -> MAR; cv < 0.35 -> MCAR; else mixed.  Lists the
+    active months, by number within one year, else as year-month.
     """
     series = list(series)
-    per_m = df.groupBy(*series, F.month(ts).alias("month")).agg(
+    per_m = df.groupBy(*series, F.year(ts).alias("year"), F.month(ts).alias("month")).agg(
         *[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in cols])
-    long = per_m.unpivot([*series, "month"], list(cols), "column", "rate")
+    long = per_m.unpivot([*series, "year", "month"], list(cols), "column", "rate")
     agg = long.groupBy(*series, "column").agg(
-        F.sum("rate").alias("_sum"), F.sum(F.col("rate") * F.col("rate")).alias("_sq"),
-        F.max("rate").alias("_max"),
-        F.array_sort(F.collect_list(F.when(F.col("rate") > 0.05, F.col("month")))).alias("active_months"))
-    # 12 slots, the missing ones are 0: mean and population std over 12 values
-    mean = F.col("_sum") / 12.0
-    var = F.greatest(F.col("_sq") / 12.0 - mean * mean, F.lit(0.0))
+        F.sum("rate").alias("_sum"), F.sum(F.col("rate") * F.col("rate")).alias("_sq"), F.max("rate").alias("_max"),
+        ((F.max("year") - F.min("year") + 1) * 12).alias("_slots"),
+        F.expr("array_sort(collect_list(CASE WHEN rate > 0.05 THEN struct(year, month) END))").alias("active_months"))
+    one_year = F.col("_slots") == 12
+    # the slots without rows are 0: mean and population std over all of them
+    mean = F.col("_sum") / F.col("_slots")
+    var = F.greatest(F.col("_sq") / F.col("_slots") - mean * mean, F.lit(0.0))
     agg = agg.filter(F.col("_max") > 0).withColumn(
         "cv", F.when(mean > 0, F.sqrt(var) / mean).otherwise(F.lit(0.0)))
     n_active = F.size("active_months")
-    cls = (F.when((F.col("cv") >= 0.5) & (n_active <= 6), "MAR")
+    cls = (F.when((F.col("cv") >= 0.5) & (n_active * 2 <= F.col("_slots")), "MAR")
            .when(F.col("cv") < 0.35, "MCAR")
            .otherwise("MCAR/MAR"))
     return agg.select(*series, "column", "cv", n_active.alias("n_active"),
-                      F.array_join(F.transform("active_months", lambda m: m.cast("string")), ",")
-                      .alias("active_months"), cls.alias("missing_class"))
+                      F.array_join(F.transform("active_months", lambda m: F.when(one_year, m["month"].cast("string")).otherwise(
+                          F.format_string("%04d-%02d", m["year"], m["month"]))), ",").alias("active_months"),
+                      cls.alias("missing_class"))
+
+
+def _outside(df: DataFrame, cols: Sequence[str], q_low: float, q_high: float, method: str, accuracy: int,
+             series: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with their series' quantile bounds ``_lo_c`` / ``_hi_c``; per series bounds, values outside and all values."""
+    from .quantile import quantile_row
+    specs = [(c, p, f"_{tag}_{c}") for c in cols for tag, p in (("lo", q_low), ("hi", q_high))]
+    th = quantile_row(df, specs, method, accuracy, series)
+    if method == "rank":
+        th = materialize(th)  # passes over the table lie behind it; both uses below read their result
+    d = attach(df, th, series)
+    aggs = []
+    for c in cols:
+        aggs += [F.expr(f"first(`_lo_{c}`) AS `_lo_{c}`"), F.expr(f"first(`_hi_{c}`) AS `_hi_{c}`"),
+                 F.expr(f"count_if(`{c}` < `_lo_{c}` OR `{c}` > `_hi_{c}`) AS `_out_{c}`"), F.expr(f"count(`{c}`) AS `_all_{c}`")]
+    return d, d.groupBy(*series).agg(*aggs)
 
 
 def winsorize(df: DataFrame, cols: Sequence[str], q_low: float = 0.01, q_high: float = 0.99,
               threshold_pct: float = 3.0, approx: bool = False, accuracy: int = 10000,
-              method: str | None = None) -> DataFrame:
+              method: str | None = None, series: Sequence[str] = ()) -> DataFrame:
     """Clip to [q_low, q_high] quantiles a column whose share of values outside
     exceeds ``threshold_pct`` percent of its non-null values.
 
-    Quantiles come from one aggregate row that is cross-joined as a broadcast
-    (one row: proven size); the whole decision stays inside the plan.
-    ``method`` as in ``quantile.quantile_row`` (``approx=True`` = "approx").
+    Bounds and decision are one row, cross-joined as a broadcast, or one row
+    per series; the whole decision stays inside the plan.  ``method`` as in
+    ``quantile.quantile_row`` (``approx=True`` = "approx").
     """
-    from .quantile import quantile_row
     method = method or ("approx" if approx else "percentile")
-    th = quantile_row(df, [(c, p, f"_{tag}_{c}") for c in cols for tag, p in (("lo", q_low), ("hi", q_high))],
-                      method, accuracy)
-    d = df.crossJoin(F.broadcast(th))
-    share = {}
-    for c in cols:
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        share[c] = F.count_if((F.col(c) < lo) | (F.col(c) > hi)) * 100.0 / F.count(c)
-    decide = d.agg(*[(share[c] > threshold_pct).alias(f"_do_{c}") for c in cols])
-    d = d.crossJoin(F.broadcast(decide))
-    outs = {}
-    for c in cols:
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        clipped = F.when(F.col(c) < lo, lo).when(F.col(c) > hi, hi).otherwise(F.col(c))
-        outs[c] = F.when(F.coalesce(F.col(f"_do_{c}"), F.lit(False)), clipped).otherwise(F.col(c))
-    return d.withColumns(outs).select(*df.columns)
+    _, counts = _outside(df, cols, q_low, q_high, method, accuracy, series)
+    decided = counts.selectExpr(*[f"`{s}`" for s in series], *[x for c in cols for x in (
+        f"`_lo_{c}`", f"`_hi_{c}`", f"coalesce(try_divide(`_out_{c}` * 100.0D, `_all_{c}`) > {float(threshold_pct)!r}D, false) AS `_do_{c}`")])
+    d = attach(df, decided, series)
+    clipped = {c: f"CASE WHEN `_do_{c}` AND `{c}` < `_lo_{c}` THEN `_lo_{c}` WHEN `_do_{c}` AND `{c}` > `_hi_{c}` "
+                  f"THEN `_hi_{c}` ELSE `{c}` END AS `{c}`" for c in cols}
+    return d.selectExpr(*[clipped.get(c, f"`{c}`") for c in df.columns])
 
 
 def winsorize_report(df: DataFrame, cols: Sequence[str], q_low: float = 0.01, q_high: float = 0.99,
-                     threshold_pct: float = 3.0, method: str = "percentile") -> DataFrame:
-    """Per column: quantile bounds, share outside, whether clipping applies."""
-    from .quantile import quantile_row
-    th = quantile_row(df, [(c, p, f"_{tag}_{c}") for c in cols for tag, p in (("lo", q_low), ("hi", q_high))],
-                      method)
-    d = df.crossJoin(F.broadcast(th))
-    aggs = []
-    for c in cols:
-        lo, hi = F.first(f"_lo_{c}"), F.first(f"_hi_{c}")
-        outside = F.count_if((F.col(c) < F.col(f"_lo_{c}")) | (F.col(c) > F.col(f"_hi_{c}")))
-        aggs.append(F.struct(F.lit(c).alias("column"), lo.alias("q_low"), hi.alias("q_high"),
-                             outside.alias("n_outside"),
-                             (outside * 100.0 / F.count(c)).alias("outside_pct")).alias(c))
-    rows = d.agg(*aggs).select(F.inline(F.array(*cols)))
+                     threshold_pct: float = 3.0, method: str = "percentile", series: Sequence[str] = ()) -> DataFrame:
+    """Per (series and) column: quantile bounds, share outside, whether clipping applies."""
+    _, counts = _outside(df, cols, q_low, q_high, method, 10000, series)
+    structs = ", ".join(f"named_struct('column', '{c}', 'q_low', `_lo_{c}`, 'q_high', `_hi_{c}`, 'n_outside', `_out_{c}`, "
+                        f"'outside_pct', try_divide(`_out_{c}` * 100.0D, `_all_{c}`))" for c in cols)
+    rows = counts.selectExpr(*[f"`{s}`" for s in series], f"inline(array({structs}))")
     return rows.withColumn("winsorized", F.coalesce(F.col("outside_pct") > threshold_pct, F.lit(False)))
 
 

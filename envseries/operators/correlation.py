@@ -10,12 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bins import value_bucket_sql
 from ..functions.stats import pearson
 from . import scan
-
-UNB_P = Window.unboundedPreceding
-UNB_F = Window.unboundedFollowing
+from .ranks import average_rank
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -34,33 +31,6 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str
     return row.selectExpr(f"inline(array({', '.join(parts)}))")
 
 
-def average_rank(df: DataFrame, value: str, groups: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Average rank (ties share the mean rank) of ``value`` within ``groups``.
-
-    Ranks are computed on distinct values with counts (partial aggregation
-    removes duplicates map-side); the running count is a segmented scan over
-    order-preserving value buckets, so no group is sorted in one task; the
-    rank table is joined back on (groups, value).  Null values get null.
-    """
-    groups = list(groups)
-    keys = groups + ["_vb"]
-    v = f"`{value}`"
-    cnt = (df.filter(f"{v} IS NOT NULL")
-           .groupBy(*groups, value).agg(F.expr("count(1) AS _c"))
-           .selectExpr("*", f"{value_bucket_sql(v)} AS _vb"))
-    part = ", ".join(f"`{k}`" for k in keys)
-    cnt = cnt.selectExpr("*", f"sum(_c) OVER (PARTITION BY {part} ORDER BY {v} "
-                              "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum")
-    bt = cnt.groupBy(*keys).agg(F.expr("sum(_c) AS _bc"))
-    gpart = f"PARTITION BY {', '.join(f'`{g}`' for g in groups)} " if groups else ""
-    bt = bt.selectExpr(*[f"`{k}`" for k in keys],
-                       f"coalesce(sum(_bc) OVER ({gpart}ORDER BY _vb ROWS BETWEEN UNBOUNDED PRECEDING "
-                       "AND 1 PRECEDING), 0) AS _off")
-    ranks = cnt.join(bt, keys).selectExpr(*[f"`{g}`" for g in groups], v,
-                                          f"_off + _cum - (_c - 1) / 2.0D AS `{out}`")
-    return df.join(ranks, [*groups, value], "left")
-
-
 def _pair_long(df: DataFrame, pairs: Sequence[tuple[str, str]], decimals: int | None) -> DataFrame:
     """(var_a, var_b, x, y) rows of every pair, pairwise complete."""
     def rnd(c):
@@ -146,35 +116,59 @@ def conditional_correlation(df: DataFrame, a: str, b: str, condition: Column) ->
 
 def lag_correlation(df: DataFrame, x: str, y: str, max_lag: int = 6, series: Sequence[str] = (),
                     ts: str = "ts", decimals: int | None = 6, bucket: str = "month",
-                    materialize: bool = False) -> DataFrame:
+                    spearman: bool = True) -> DataFrame:
     """Correlation of ``x`` shifted by k rows with ``y``, k = 0..max_lag.
 
     Rows with null x or y are dropped first, then shifted by position (row,
-    not time).  All lags are one equi-join: each row is replicated to
-    positions pos+k and joined on (series, position).  Pearson and Spearman
-    per lag; ranks are computed per lag on that lag's valid pairs.
+    not time): all lags are columns of one window per bucket (``scan.lags``),
+    and Pearson of all lags is one aggregate.  Spearman ranks each lag's valid
+    pairs.  A lag without pairs has no row.
+
+    Without ``series`` the pairs of lag k are all rows but the last k of x and
+    the first k of y, so both columns are ranked once and a rank is lowered
+    by the few left-out values below it.  With ``series`` these are k values
+    of every series; then each lag is ranked on its own.
     """
     series = list(series)
-    clean = df.select(*series, ts, x, y).na.drop(subset=[x, y])
-    d = scan.with_positions(clean, series, ts, bucket)
-    src = (d.select(*[F.col(s).alias(f"__s_{s}") for s in series], F.col("_pos").alias("_src"),
-                    F.col(x).cast("double").alias("_x"))
-           .withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
-           .withColumn("_tp", F.col("_src") + F.col("lag")))
-    cond = [d[s].eqNullSafe(src[f"__s_{s}"]) for s in series] + [d["_pos"] == src["_tp"]]
-    pairs = d.join(src, cond).select(*[F.col(f"__s_{s}") for s in series], "lag", "_tp", "_x",
-                                     F.col(y).cast("double").alias("_y"))
-    if materialize:
-        # the pair table feeds the rank pass and the final aggregate; shuffles
-        # inside it are reused anyway, so checkpointing pays off only when the
-        # upstream plan is expensive
-        from ..session import materialize as _mat
-        pairs = _mat(pairs)
-    # rank x and y in ONE pass, keyed by (series, position) -- unique, deterministic
-    ids = [f"__s_{s}" for s in series] + ["_tp"]
-    wide = ranked_pairs(pairs, ["lag"], ids, "_x", "_y", decimals)
-    return wide.groupBy("lag").agg(pearson("_x", "_y").alias("pearson"), F.expr("count(1) AS n"),
-                                   pearson("_rx", "_ry").alias("spearman"))
+    span = range(max_lag + 1)
+    clean = df.select(*series, ts, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
+              .na.drop(subset=["_x", "_y"])
+    if not spearman or series:
+        wide = scan.lags(clean, series, ts, {f"_x{k}": ("_x", k) for k in span}, bucket)
+    if spearman and series:
+        arr = ", ".join(f"named_struct('lag', {k}, '_xl', _x{k})" for k in span)
+        pairs = wide.selectExpr(*[f"`{c}`" for c in [*series, ts]], "_y", f"inline(array({arr}))").filter("_xl IS NOT NULL")
+        ranked = ranked_pairs(pairs, ["lag"], [*series, ts], "_xl", "_y", decimals)
+        return ranked.groupBy("lag").agg(pearson("_x", "_y").alias("pearson"), F.expr("count(1) AS n"),
+                                         pearson("_rx", "_ry").alias("spearman"))
+    aggs = [a for k in span for a in (pearson(f"_x{k}", "_y").alias(f"_p{k}"), F.expr(f"count(_x{k}) AS _n{k}"))]
+    fields = ["'lag', {k}", "'pearson', _p{k}", "'n', _n{k}"]
+    if spearman:
+        rnd = f"round({{0}}, {decimals})" if decimals is not None else "{0}"
+        ranked = ranked_pairs(clean, [], [ts], "_x", "_y", decimals)
+        edges = _first_values(clean, F.col(ts).desc(), rnd.format("_x"), "_xs", max_lag).crossJoin(
+            F.broadcast(_first_values(clean, F.col(ts).asc(), rnd.format("_y"), "_ys", max_lag)))
+        cols = {f"{c}{k}": (c, k) for c in ("_x", "_rx") for k in span}
+        wide = scan.lags(ranked, [], ts, cols, bucket).crossJoin(F.broadcast(edges))
+
+        def lowered(rank: str, value: str, left_out: str) -> str:
+            v = rnd.format(value)
+            return (f"aggregate({left_out}, {rank}, (s, o) -> s - CASE WHEN o < {v} THEN 1.0D WHEN o = {v} THEN 0.5D ELSE 0.0D END)")
+
+        wide = wide.selectExpr(
+            "_y", *[f"_x{k}" for k in span],
+            *[f"{lowered(f'_rx{k}', f'_x{k}', f'slice(_xs, 1, {k})')} AS _a{k}" for k in span],
+            *[f"{lowered('_ry', '_y', f'slice(_ys, 1, {k})')} AS _b{k}" for k in span])
+        aggs += [pearson(f"_a{k}", f"_b{k}").alias(f"_s{k}") for k in span]
+        fields.append("'spearman', _s{k}")
+    structs = ", ".join(f"named_struct({', '.join(fields).format(k=k)})" for k in span)
+    return wide.agg(*aggs).selectExpr(f"inline(array({structs}))").filter("n > 0")
+
+
+def _first_values(df: DataFrame, order: Column, value: str, out: str, k: int) -> DataFrame:
+    """One row with the array of the first ``k`` values by ``order`` (a top-k, not a sort)."""
+    top = df.orderBy(order).limit(max(k, 1)).withColumn("_i", F.monotonically_increasing_id())
+    return top.agg(F.expr(f"transform(array_sort(collect_list(named_struct('i', _i, 'v', {value}))), t -> t.v) AS {out}"))
 
 
 def strongest_lag(lags: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import sector
+from ..session import materialize
+from .ranks import cumulative_counts
 
 
 def box_stats(df: DataFrame, value: str, group: Sequence[str], k: float = 1.5,
@@ -15,36 +17,54 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str], k: float = 1.5,
     """Box-plot numbers per group (G16 / G17): quartiles, whiskers (the most
     extreme values inside the 1.5 IQR fences), outlier count, mean, n.
 
-    Pass 1: quartiles per group; pass 2: fence-conditional min / max / count
-    after joining the per-group quartile row back (one row per group).
-    ``method="rank"`` finds the exact quartiles by rank (``quantile.py``)
-    instead of buffering every value of a group: use it when a group is a
-    large share of a raw table.
+    ``method="rank"`` reads the input once: everything comes from its
+    distinct values with counts and positions (``ranks.cumulative_counts``),
+    no group is buffered or sorted in one task.  Use it when a group is a
+    large share of a raw table; otherwise the quartiles are one aggregate
+    and the fences a second pass.
     """
     group = list(group)
     d = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if method == "rank":
-        from .quantile import rank_quantiles_wide
-        q = rank_quantiles_wide(d, "_v", [0.25, 0.5, 0.75], ["q1", "median", "q3"], group)
-        m = d.groupBy(*group).agg(F.avg("_v").alias("mean"))
-        q = (q.join(m, group) if group else q.crossJoin(m)).select(*group, "q1", "median", "q3", "mean", "n")
-    elif approx:
-        qs = F.percentile_approx("_v", [0.25, 0.5, 0.75], 10000)
-    else:
-        qs = F.percentile("_v", [0.25, 0.5, 0.75])
-    if method != "rank":
-        q = d.groupBy(*group).agg(qs.alias("_q"), F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
-        q = q.select(*group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                     F.col("_q")[2].alias("q3"), "mean", "n")
-    q = q.withColumn("_lo", F.col("q1") - k * (F.col("q3") - F.col("q1"))) \
-         .withColumn("_hi", F.col("q3") + k * (F.col("q3") - F.col("q1")))
-    j = d.join(q, group) if group else d.crossJoin(F.broadcast(q))
+        return _box_from_counts(d, group, k)
+    qs = F.percentile_approx("_v", [0.25, 0.5, 0.75], 10000) if approx else F.percentile("_v", [0.25, 0.5, 0.75])
+    q = d.groupBy(*group).agg(qs.alias("_q"), F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
+    q = q.select(*group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                 F.col("_q")[2].alias("q3"), "mean", "n")
+    return _with_whiskers(d.withColumn("_c", F.lit(1)), q, group, k)
+
+
+def _box_from_counts(d: DataFrame, group: list[str], k: float) -> DataFrame:
+    c = materialize(cumulative_counts(d, "_v", group))
+    size = c.groupBy(*group).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
+    at = c.join(size, group) if group else c.crossJoin(F.broadcast(size))
+    aggs = []
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        for end in ("floor", "ceil"):
+            here = f"{end}({p}D * (n - 1))"
+            aggs.append(F.expr(f"max(CASE WHEN {here} >= _before AND {here} < _before + _c THEN _v END)").alias(f"_{end}_{name}"))
+    q = at.groupBy(*group, "n", "mean").agg(*aggs)
+
+    def between(name: str, p: float) -> str:
+        h = f"({p}D * (n - 1))"
+        lo, hi = f"_floor_{name}", f"_ceil_{name}"
+        return f"CASE WHEN {lo} = {hi} THEN {lo} ELSE (ceil({h}) - {h}) * {lo} + ({h} - floor({h})) * {hi} END AS {name}"
+
+    q = q.selectExpr(*[f"`{g}`" for g in group], between("q1", 0.25), between("median", 0.5), between("q3", 0.75), "mean", "n")
+    return _with_whiskers(c.select(*group, "_v", "_c"), q, group, k)
+
+
+def _with_whiskers(d: DataFrame, q: DataFrame, group: list[str], k: float) -> DataFrame:
+    """``q`` with whiskers and outlier count from the values ``_v`` of ``d``, ``_c`` rows each."""
+    fences = q.withColumn("_lo", F.col("q1") - k * (F.col("q3") - F.col("q1"))) \
+              .withColumn("_hi", F.col("q3") + k * (F.col("q3") - F.col("q1")))
+    j = d.join(fences, group) if group else d.crossJoin(F.broadcast(fences))
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    w = j.groupBy(*group).agg(
+    own = ["q1", "median", "q3", "mean", "n"]
+    return j.groupBy(*group, *own).agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"))
-    return q.drop("_lo", "_hi").join(w, group) if group else q.drop("_lo", "_hi").crossJoin(w)
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_c"))).cast("bigint").alias("n_outliers"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 60, group: Sequence[str] = (),

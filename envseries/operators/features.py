@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins
 from ..functions.timecols import RUSH_HOURS, season_sql
+from .keyed import attach
 
 
 def calendar_features(df: DataFrame, ts: str = "ts", zone: str | None = None) -> DataFrame:
@@ -52,14 +53,13 @@ def rain_flag(df: DataFrame, precipitation: str, threshold: float = 0.1, out: st
 
 def joint_extreme_flag(df: DataFrame, high_col: str, low_col: str, q_high: float = 0.75,
                        q_low: float = 0.25, out: str = "inversion", approx: bool = False,
-                       method: str | None = None) -> DataFrame:
+                       method: str | None = None, series: Sequence[str] = ()) -> DataFrame:
     """1 when ``high_col`` > its q_high quantile and ``low_col`` < its q_low
-    quantile (inversion indicator, F8); nulls give 0.  ``method`` as in
-    ``quantile.quantile_row``."""
+    quantile (inversion indicator, F8), of the whole column or of the row's
+    series; nulls give 0.  ``method`` as in ``quantile.quantile_row``."""
     from .quantile import quantile_row
     method = method or ("approx" if approx else "percentile")
-    th = quantile_row(df, [(high_col, q_high, "_qh"), (low_col, q_low, "_ql")], method)
-    d = df.crossJoin(F.broadcast(th))
+    d = attach(df, quantile_row(df, [(high_col, q_high, "_qh"), (low_col, q_low, "_ql")], method, series=series), series)
     flag = f"CAST(coalesce(`{high_col}` > _qh AND `{low_col}` < _ql, false) AS INT) AS `{out}`"
     return d.selectExpr(*[f"`{c}`" for c in df.columns], flag)
 
@@ -73,24 +73,24 @@ def _x(c: str, impute_zero: bool) -> str:
     return f"coalesce(CAST(`{c}` AS DOUBLE), 0.0D)" if impute_zero else f"CAST(`{c}` AS DOUBLE)"
 
 
-def _fit(df: DataFrame, cols: Sequence[str], impute_zero: bool) -> DataFrame:
+def _fit(df: DataFrame, cols: Sequence[str], impute_zero: bool, series: Sequence[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = _x(c, impute_zero)
         aggs += [F.expr(f"avg({x}) AS _mu{i}"), F.expr(f"stddev_pop({x}) AS _sd{i}"),
                  F.expr(f"min({x}) AS _mn{i}"), F.expr(f"max({x}) AS _mx{i}")]
-    return df.agg(*aggs)
+    return df.groupBy(*series).agg(*aggs)
 
 
 def scale(df: DataFrame, cols: Sequence[str], kinds: Sequence[str] = ("std", "norm"),
-          impute_zero: bool = True, fit_on: DataFrame | None = None) -> DataFrame:
+          impute_zero: bool = True, fit_on: DataFrame | None = None, series: Sequence[str] = ()) -> DataFrame:
     """z-score (population std, ``{c}_std``) and min-max (``{c}_norm``) scaling
     (F10, F11).  Null is 0 before fitting and transforming (``impute_zero``);
     a zero spread divides by 1.  ``fit_on`` fits on another frame (train split).
-    The fitted statistics are one row, cross-joined as a broadcast.
+    The fitted statistics are one row, cross-joined as a broadcast, or one
+    row per series.
     """
-    stats = _fit(fit_on if fit_on is not None else df, cols, impute_zero)
-    d = df.crossJoin(F.broadcast(stats))
+    d = attach(df, _fit(fit_on if fit_on is not None else df, cols, impute_zero, series), series)
     outs = []
     for i, c in enumerate(cols):
         x = _x(c, impute_zero)

@@ -7,11 +7,13 @@ into tidy rows with ``inline`` (no per-column re-scans).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keyed import attach
 from .quantile import quantile_row
 
 
@@ -66,17 +68,44 @@ def table_null_share(df: DataFrame, cols: Sequence[str] | None = None, warn_pct:
 
 def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False
                    ) -> DataFrame:
-    """dtype, min, max (as strings), distinct count per column, nulls excluded."""
+    """dtype, min, max (as strings), distinct count per column, nulls excluded.
+
+    Distinct values are counted column by column, each in two levels of
+    aggregation over a scan of that column alone: several distinct counts in
+    one aggregate would multiply every row by their number.  ``approx``
+    counts all columns in one pass.
+    """
     cols = list(cols) if cols is not None else df.columns
     types = dict(df.dtypes)
-    aggs = []
-    for i, c in enumerate(cols):
-        dexpr = f"approx_count_distinct({_q(c)})" if approx else f"count(DISTINCT {_q(c)})"
-        aggs += [F.expr(f"CAST(min({_q(c)}) AS STRING) AS _mn{i}"), F.expr(f"CAST(max({_q(c)}) AS STRING) AS _mx{i}"),
-                 F.expr(f"{dexpr} AS _d{i}"), F.expr(f"count({_q(c)}) AS _c{i}")]
-    row = df.agg(*aggs)
-    return _tidy(row, [f"named_struct('column', {_lit(c)}, 'dtype', {_lit(types[c])}, 'min_value', _mn{i}, "
-                       f"'max_value', _mx{i}, 'n_distinct', _d{i}, 'n_non_null', _c{i})" for i, c in enumerate(cols)])
+    if approx:
+        aggs = []
+        for i, c in enumerate(cols):
+            x = _q(c)
+            aggs += [F.expr(f"CAST(min({x}) AS STRING) AS _mn{i}"), F.expr(f"CAST(max({x}) AS STRING) AS _mx{i}"),
+                     F.expr(f"approx_count_distinct({x}) AS _d{i}"), F.expr(f"count({x}) AS _c{i}")]
+        return _tidy(df.agg(*aggs), [
+            f"named_struct('column', {_lit(c)}, 'dtype', {_lit(types[c])}, 'min_value', _mn{i}, "
+            f"'max_value', _mx{i}, 'n_distinct', _d{i}, 'n_non_null', _c{i})" for i, c in enumerate(cols)])
+    parts = []
+    for c in cols:
+        values = df.selectExpr(f"{_q(c)} AS _v").groupBy("_v").agg(F.expr("count(1) AS _c"))
+        parts.append(values.agg(
+            F.expr(f"{_lit(c)} AS column"), F.expr(f"{_lit(types[c])} AS dtype"), F.expr("CAST(min(_v) AS STRING) AS min_value"),
+            F.expr("CAST(max(_v) AS STRING) AS max_value"), F.expr("count(_v) AS n_distinct"),
+            F.expr("coalesce(sum(CASE WHEN _v IS NOT NULL THEN _c END), 0) AS n_non_null")))
+    return reduce(DataFrame.union, parts)
+
+
+def distinct_sketches(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by..., column, sketch): a mergeable distinct-count sketch per part of the table, to be stored with it."""
+    aggs = [F.expr(f"hll_sketch_agg(CAST({_q(c)} AS STRING)) AS _s{i}") for i, c in enumerate(cols)]
+    structs = ", ".join(f"named_struct('column', {_lit(c)}, 'sketch', _s{i})" for i, c in enumerate(cols))
+    return df.groupBy(*by).agg(*aggs).selectExpr(*[_q(b) for b in by], f"inline(array({structs}))")
+
+
+def distinct_estimates(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, n_distinct) estimated from stored sketches; no row of the tables is read again."""
+    return sketches.groupBy(*by, "column").agg(F.expr("hll_sketch_estimate(hll_union_agg(sketch)) AS n_distinct"))
 
 
 def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, method: str | None = None) -> DataFrame:
@@ -131,28 +160,29 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.01
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5, flag_pct: float = 5.0,
-                 approx: bool = False, method: str | None = None) -> DataFrame:
-    """Q1, Q3, IQR, fences and outlier count / percent per column.
+                 approx: bool = False, method: str | None = None, series: Sequence[str] = ()) -> DataFrame:
+    """Q1, Q3, IQR, fences and outlier count / percent per (series and) column.
 
-    Pass 1: quartiles (one row, broadcast; ``method`` as in
-    ``quantile.quantile_row``). Pass 2: conditional counts.
+    Pass 1: quartiles (one row, broadcast, or one per series; ``method`` as
+    in ``quantile.quantile_row``). Pass 2: conditional counts.
     """
     method = method or ("approx" if approx else "percentile")
     th = quantile_row(df, [(c, p, f"_{t}{i}") for i, c in enumerate(cols) for t, p in (("a", 0.25), ("b", 0.75))],
-                      method)
-    th = th.selectExpr(*[x for i in range(len(cols)) for x in (
+                      method, series=series)
+    th = th.selectExpr(*[_q(s) for s in series], *[x for i in range(len(cols)) for x in (
         f"_a{i} AS q1_{i}", f"_b{i} AS q3_{i}", f"_a{i} - {k!r} * (_b{i} - _a{i}) AS lo_{i}",
         f"_b{i} + {k!r} * (_b{i} - _a{i}) AS hi_{i}")])
-    d = df.select(*cols).crossJoin(F.broadcast(th))
+    d = attach(df.select(*series, *cols), th, series)
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.expr(f"first(q1_{i}) AS q1_{i}"), F.expr(f"first(q3_{i}) AS q3_{i}"),
                  F.expr(f"first(lo_{i}) AS lo_{i}"), F.expr(f"first(hi_{i}) AS hi_{i}"),
                  F.expr(f"count_if({_q(c)} < lo_{i} OR {_q(c)} > hi_{i}) AS o_{i}"), F.expr(f"count({_q(c)}) AS n_{i}")]
-    out = _tidy(d.agg(*aggs), [
+    structs = [
         f"named_struct('column', {_lit(c)}, 'q1', q1_{i}, 'q3', q3_{i}, 'iqr', q3_{i} - q1_{i}, "
         f"'lower_fence', lo_{i}, 'upper_fence', hi_{i}, 'n_outliers', o_{i}, "
-        f"'outlier_pct', try_divide(o_{i} * 100.0D, n_{i}))" for i, c in enumerate(cols)])
+        f"'outlier_pct', try_divide(o_{i} * 100.0D, n_{i}))" for i, c in enumerate(cols)]
+    out = d.groupBy(*series).agg(*aggs).selectExpr(*[_q(s) for s in series], f"inline(array({', '.join(structs)}))")
     return out.selectExpr("*", f"coalesce(outlier_pct > {flag_pct!r}, false) AS flag")
 
 

@@ -11,6 +11,11 @@ Every positional operator here is therefore a *segmented scan*:
    carries offsets and the nearest non-null neighbours across bucket edges;
 4. the carried values are joined back on ``(series, bucket)``.
 
+Series and bucket are one struct column: a struct is never null itself, so the
+join back is a plain equality that takes the rows as they lie after the
+windows (a null-safe comparison of each key would exchange them once more),
+and null keys are equal to each other.
+
 The result is the exact positional semantics of a sequential scan (row
 numbers, previous / next non-null value) at any series size.
 """
@@ -19,35 +24,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNB_P = Window.unboundedPreceding
-UNB_F = Window.unboundedFollowing
+def _q(name: str) -> str:
+    return f"`{name}`"
 
 
-def _join_back(rows: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe equi-join of the bucket table back onto the rows."""
-    ren = buckets
-    for k in keys:
-        ren = ren.withColumnRenamed(k, f"__j_{k}")
-    cond = [rows[k].eqNullSafe(ren[f"__j_{k}"]) for k in keys]
-    out = rows.join(ren, cond, "inner")
-    return out.drop(*[f"__j_{k}" for k in keys])
+def _nn(v: str, p: str) -> str:
+    """SQL: struct(p, v) when v is not null (a non-null marker with its position)."""
+    return f"CASE WHEN {v} IS NOT NULL THEN named_struct('p', {p}, 'v', {v}) END"
 
 
-def _nn_struct(value: str | Column, pos: Column) -> Column:
-    v = F.col(value) if isinstance(value, str) else value
-    return F.when(v.isNotNull(), F.struct(pos.alias("p"), v.alias("v")))
+KEY = "_key"
 
 
-def _q(name: str) -> str:
-    return f"`{name}`"
+def _keyed(df: DataFrame, series: Sequence[str], ts: str, bucket: str) -> DataFrame:
+    """Add ``_key`` = struct(series..., bucket), the unit of all windows below."""
+    parts = [_q(s) for s in series] + [f"date_trunc('{bucket}', {_q(ts)}) AS _bk"]
+    return df.selectExpr("*", f"struct({', '.join(parts)}) AS {KEY}")
 
 
-def _nn(v: str, p: str) -> str:
-    """SQL: struct(p, v) when v is not null (a non-null marker with its position)."""
-    return f"CASE WHEN {v} IS NOT NULL THEN named_struct('p', {p}, 'v', {v}) END"
+def _bucket_window(series: Sequence[str]) -> str:
+    by = f"PARTITION BY {', '.join(f'{KEY}.{_q(s)}' for s in series)} " if series else ""
+    return f"{by}ORDER BY {KEY}._bk"
 
 
 def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str],
@@ -71,10 +71,8 @@ def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str
     in a single Window operator per frame.
     """
     series = list(series)
-    keys = series + ["_bk"]
-    row_w = f"PARTITION BY {', '.join(_q(k) for k in keys)} ORDER BY {_q(ts)}"
-    d = df.withColumn("_bk", F.date_trunc(bucket, F.col(ts)))
-    d = d.selectExpr("*", f"row_number() OVER ({row_w}) AS _rn")
+    row_w = f"PARTITION BY {KEY} ORDER BY {_q(ts)}"
+    d = _keyed(df, series, ts, bucket).selectExpr("*", f"row_number() OVER ({row_w}) AS _rn")
     prev_w = f"OVER ({row_w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     next_w = f"OVER ({row_w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     d = d.selectExpr("*", *[f"last({_nn(_q(c), '_rn')}, true) {prev_w} AS {_q('_lp_' + c)}" for c in cols],
@@ -84,10 +82,9 @@ def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str
     for c in cols:
         aggs += [F.expr(f"max({_nn(_q(c), '_rn')}) AS {_q('_bl_' + c)}"),
                  F.expr(f"min({_nn(_q(c), '_rn')}) AS {_q('_bf_' + c)}")]
-    b = d.groupBy(*keys).agg(*aggs)
+    b = d.groupBy(KEY).agg(*aggs)
 
-    bucket_w = (f"PARTITION BY {', '.join(_q(k) for k in series)} ORDER BY _bk" if series
-                else "ORDER BY _bk")
+    bucket_w = _bucket_window(series)
     before = f"OVER ({bucket_w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     after = f"OVER ({bucket_w} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
     whole = f"OVER ({bucket_w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
@@ -98,15 +95,15 @@ def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str
         wins += [f"last({_nn(bl + '.v', '_off + ' + bl + '.p')}, true) {before} AS {_q('_cp_' + c)}",
                  f"first({_nn(bf + '.v', '_off + ' + bf + '.p')}, true) {after} AS {_q('_cn_' + c)}"]
         carried += [f"_cp_{c}", f"_cn_{c}"]
-    b = b.selectExpr(*[_q(k) for k in keys], "_off", "_n", *wins)
+    b = b.selectExpr(KEY, "_off", "_n", *wins)
 
-    out = _join_back(d, b, keys)
+    out = d.join(b, KEY)
     news = ["_off + _rn AS _pos"]
     for c in cols:
         lp, ln = _q("_lp_" + c), _q("_ln_" + c)
         news += [f"coalesce({_nn(lp + '.v', '_off + ' + lp + '.p')}, {_q('_cp_' + c)}) AS {_q('_prev_' + c)}",
                  f"coalesce({_nn(ln + '.v', '_off + ' + ln + '.p')}, {_q('_cn_' + c)}) AS {_q('_next_' + c)}"]
-    drop = ["_bk", "_rn", "_off"] + carried
+    drop = [KEY, "_rn", "_off"] + carried
     drop += [f"_lp_{c}" for c in cols] + [f"_ln_{c}" for c in cols]
     keep = [_q(c) for c in out.columns if c not in drop]
     return out.selectExpr(*keep, *news)
@@ -124,9 +121,12 @@ def _replace(df: DataFrame, exprs: dict[str, str], cols: Sequence[str]) -> DataF
 
 
 def interpolate(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str],
-                limit: int = 3, mode: str = "limit", bucket: str = "month") -> DataFrame:
+                limit: int = 3, mode: str = "limit", bucket: str = "month", circular: Sequence[str] = ()) -> DataFrame:
     """Positional linear interpolation of nulls.
 
+    ``circular`` names those of ``cols`` that are directions in degrees: they
+    go along the shorter arc (359 to 1 through 0, not 180) and stay in [0, 360).
+
     ``mode="limit"`` reproduces forward-direction limited interpolation: the
     first ``limit`` nulls after a value are filled (along the slope to the next
     value, or with the last value when none follows); leading nulls stay.
@@ -139,8 +139,12 @@ def interpolate(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[st
     exprs = {}
     for c in cols:
         pr, nx = _q("_prev_" + c), _q("_next_" + c)
-        linear = (f"{pr}.v + ({nx}.v - {pr}.v) * CAST(_pos - {pr}.p AS DOUBLE) "
-                  f"/ CAST({nx}.p - {pr}.p AS DOUBLE)")
+        way = f"({nx}.v - {pr}.v)"
+        if c in circular:
+            way = f"(pmod({way} + 180.0D, 360.0D) - 180.0D)"
+        linear = f"{pr}.v + {way} * CAST(_pos - {pr}.p AS DOUBLE) / CAST({nx}.p - {pr}.p AS DOUBLE)"
+        if c in circular:
+            linear = f"pmod({linear}, 360.0D)"
         if mode == "limit":
             filled = (f"CASE WHEN {pr} IS NULL THEN NULL WHEN _pos - {pr}.p > {int(limit)} THEN NULL "
                       f"WHEN {nx} IS NULL THEN {pr}.v ELSE {linear} END")
@@ -191,18 +195,84 @@ def with_positions(df: DataFrame, series: Sequence[str], ts: str,
     return d.drop("_n")
 
 
+def with_halo(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str], before: int = 0, after: int = 0,
+              bucket: str = "month") -> DataFrame:
+    """Each row with its place in its bucket and the values next to the bucket.
+
+    Adds ``_rn`` and ``_bn`` (1-based row number within the bucket, rows of
+    the bucket) and per column ``c`` the arrays ``_before_c`` / ``_after_c``:
+    the last ``before`` values of the rows before the bucket and the first
+    ``after`` values of those behind it, nulls included, in row order.
+
+    A bucket hands on its outermost values, ``before`` + ``after`` of them;
+    these travel over as many short buckets as it takes and come back with
+    the bucket table.  The rows are exchanged once.
+    """
+    series = list(series)
+    row_w = f"PARTITION BY {KEY} ORDER BY {_q(ts)}"
+    d = _keyed(df, series, ts, bucket).selectExpr(
+        "*", f"row_number() OVER ({row_w}) AS _rn", f"count(1) OVER (PARTITION BY {KEY}) AS _bn")
+    edge = []
+    for c in cols:
+        own = f"named_struct('p', _rn, 'v', {_q(c)})"
+        edge += [f"array_sort(collect_list(CASE WHEN _rn > _bn - {int(before)} THEN {own} END)) AS {_q('_t_' + c)}",
+                 f"array_sort(collect_list(CASE WHEN _rn <= {int(after)} THEN {own} END)) AS {_q('_h_' + c)}"]
+    b = d.groupBy(KEY).agg(*[F.expr(e) for e in edge])
+    w = _bucket_window(series)
+    carried = []
+    for c in cols:
+        # every bucket has a row, so ``before`` buckets hold enough of them
+        last = f"flatten(collect_list({_q('_t_' + c)}) OVER ({w} ROWS BETWEEN {max(before, 1)} PRECEDING AND 1 PRECEDING)).v"
+        first = f"flatten(collect_list({_q('_h_' + c)}) OVER ({w} ROWS BETWEEN 1 FOLLOWING AND {max(after, 1)} FOLLOWING)).v"
+        carried += [f"{last} AS {_q('_t_' + c)}", f"{first} AS {_q('_h_' + c)}"]
+    b = b.selectExpr(KEY, *carried)
+    cut = []
+    for c in cols:
+        t, h = _q("_t_" + c), _q("_h_" + c)
+        cut += [f"slice({t}, greatest(size({t}) - {int(before)}, 0) + 1, {int(before)}) AS {_q('_before_' + c)}",
+                f"slice({h}, 1, {int(after)}) AS {_q('_after_' + c)}"]
+    return d.join(b.selectExpr(KEY, *cut), KEY)
+
+
+def lags(df: DataFrame, series: Sequence[str], ts: str, cols: dict[str, tuple[str, int]], bucket: str = "month") -> DataFrame:
+    """Add ``name`` = value of ``column`` k rows earlier in the series, for every ``{name: (column, k)}``.
+
+    All lags come from one window per bucket; the first rows of a bucket take
+    theirs from what the buckets before it handed on.
+    """
+    most = max((k for _, k in cols.values()), default=0)
+    d = with_halo(df, series, ts, sorted({c for c, _ in cols.values()}), before=most, bucket=bucket)
+    new = []
+    for name, (c, k) in cols.items():
+        halo = f"try_element_at({_q('_before_' + c)}, CAST(_rn AS INT) - {k + 1})"
+        new.append(f"{_q(c)} AS {_q(name)}" if k == 0 else
+                   f"CASE WHEN _rn > {k} THEN lag({_q(c)}, {k}) OVER (PARTITION BY {KEY} ORDER BY {_q(ts)}) "
+                   f"ELSE {halo} END AS {_q(name)}")
+    return d.selectExpr(*[_q(c) for c in df.columns], *new)
+
+
 def lag_rows(df: DataFrame, series: Sequence[str], ts: str, col: str, k: int,
              out: str | None = None, bucket: str = "month") -> DataFrame:
-    """Value of ``col`` k rows earlier in the series (positional ``shift(k)``).
+    """Value of ``col`` k rows earlier in the series (positional ``shift(k)``)."""
+    return lags(df, series, ts, {out or f"{col}_lag{k}": (col, k)}, bucket)
 
-    Implemented as an equi-join on ``(series, position)``: partitioned by
-    key, no whole-series window.
+
+def rolling_rows(df: DataFrame, series: Sequence[str], ts: str, col: str, before: int, after: int,
+                 min_rows: int = 1, out: str = "rolling", bucket: str = "month") -> DataFrame:
+    """Mean of the non-null values from ``before`` rows ahead of a row to ``after`` rows behind it.
+
+    Null where fewer than ``min_rows`` values are there.  One window per
+    bucket; its edges add what the buckets around it handed on.
     """
-    series = list(series)
-    out = out or f"{col}_lag{k}"
-    d = with_positions(df, series, ts, bucket)
-    shifted = d.select(*[F.col(s).alias(f"__s_{s}") for s in series],
-                       (F.col("_pos") + k).alias("__p"), F.col(col).alias(out))
-    cond = [d[s].eqNullSafe(shifted[f"__s_{s}"]) for s in series] + [d["_pos"] == shifted["__p"]]
-    res = d.join(shifted, cond, "left")
-    return res.drop("__p", "_pos", *[f"__s_{s}" for s in series])
+    d = with_halo(df, series, ts, [col], before, after, bucket)
+    w = f"OVER (PARTITION BY {KEY} ORDER BY {_q(ts)} ROWS BETWEEN {int(before)} PRECEDING AND {int(after)} FOLLOWING)"
+    left, right = _q("_before_" + col), _q("_after_" + col)
+    lacking = f"greatest({int(before)} + 1 - CAST(_rn AS INT), 0)"  # rows of the window before the bucket
+    ahead = f"slice({left}, greatest(size({left}) - {lacking}, 0) + 1, {lacking})"
+    behind = f"slice({right}, 1, greatest({int(after)} - CAST(_bn - _rn AS INT), 0))"
+    total = "aggregate({0}, 0.0D, (s, x) -> s + coalesce(x, 0.0D))"
+    d = d.selectExpr(*[_q(c) for c in df.columns], f"sum({_q(col)}) {w} AS _s", f"count({_q(col)}) {w} AS _c",
+                     f"transform(concat({ahead}, {behind}), x -> CAST(x AS DOUBLE)) AS _e")
+    d = d.selectExpr(*[_q(c) for c in df.columns], f"coalesce(_s, 0.0D) + {total.format('_e')} AS _s",
+                     "_c + size(filter(_e, x -> x IS NOT NULL)) AS _c")
+    return d.selectExpr(*[_q(c) for c in df.columns], f"CASE WHEN _c >= {int(min_rows)} THEN try_divide(_s, _c) END AS {_q(out)}")

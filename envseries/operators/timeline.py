@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import floor_to
+from .scan import forward_fill, rolling_rows
+from .zones import localized, localized_filled
 
 _SECONDS = {"hour": 3600, "day": 86400, "minute": 60}
 
@@ -106,19 +108,12 @@ def rolling_centered(df: DataFrame, col: str, series: Sequence[str] = (), ts: st
     """Centred rolling mean over a regular (spine) series.
 
     On a complete spine ``rows between -h and +h`` equals ``periods between
-    -h and +h``, so the window is an equi-join against ``window`` shifted
-    copies: partitioned by (series, ts), no whole-series window.
+    -h and +h``; ``scan.rolling_rows`` windows (series, bucket) and carries
+    the rows around a bucket's edges, so no series is one window.
     """
     h = window // 2
-    sec = _SECONDS[unit]
-    shifted = (df.select(*series, F.col(ts).alias("_src"), F.col(col).alias("_v"))
-               .withColumn("_k", F.explode(F.sequence(F.lit(-h), F.lit(window - 1 - h))))
-               .withColumn(ts, (F.col("_src").cast("timestamp")
-                                + F.make_dt_interval(secs=F.col("_k") * sec)).cast("timestamp_ntz"))
-               .groupBy(*series, ts)
-               .agg(F.avg("_v").alias("_m"), F.count("_v").alias("_n")))
-    res = df.join(shifted, [*series, ts], "left")
-    return res.withColumn(out, F.when(F.col("_n") >= min_periods, F.col("_m"))).drop("_m", "_n")
+    bucket = {"day": "year", "hour": "month", "minute": "day"}[unit]
+    return rolling_rows(df, series, ts, col, h, window - 1 - h, max(min_periods, 1), out, bucket)
 
 
 def localize_filled(df: DataFrame, ts: str, zone: str, series: Sequence[str] = (),
@@ -126,10 +121,10 @@ def localize_filled(df: DataFrame, ts: str, zone: str, series: Sequence[str] = (
     """Localise wall clocks (T5), then fill the instants that came out null
     (ambiguous fall-back hours) with the previous row's instant (T6).
 
-    Rows are ordered by ``order`` (default: the wall clock itself); the fill
-    is the segmented forward fill, so no whole-series window is used.
+    By wall clock the previous row is the same for a whole fold, so nothing
+    is sorted (``zones.localized_filled``).  With another ``order`` the fill
+    is the segmented forward fill.
     """
-    from ..functions.timecols import localize
-    from .scan import forward_fill
-    d = df.withColumn(out, localize(ts, zone))
-    return forward_fill(d, series, order or ts, [out], bucket=bucket)
+    if order is None or order == ts:
+        return localized_filled(df, ts, zone, series, out)
+    return forward_fill(localized(df, ts, zone, out), series, order, [out], bucket=bucket)

@@ -97,7 +97,7 @@ def lag_correlation(spark, d):
 SELECT arg_min(lag, pearson) AS lag, {R('min(pearson)')} AS pearson FROM pe""")
 def strongest_lag(spark, d):
     return correlation.strongest_lag(
-        correlation.lag_correlation(D.hourly_wide(spark, d), "purchase", "click", 6, bucket="day"))
+        correlation.lag_correlation(D.hourly_wide(spark, d), "purchase", "click", 6, bucket="day", spearman=False))
 
 
 def _quad_sql(src: str, x: str, y: str) -> str:
@@ -447,13 +447,59 @@ def quality_score(spark, d):
     return quality.quality_score(_checks(spark, d))
 
 
+def _null_sql(table: str, src: str, cols) -> str:
+    total = " + ".join(f"count(*) - count({c})" for c in cols)
+    parts = [f"SELECT '{table}' AS subject, ({total}) * 100.0 / (count(*) * {len(cols)}) AS null_pct FROM ({src})"]
+    parts += [f"SELECT '{table}.{c}', (count(*) - count({c})) * 100.0 / count(*) FROM ({src})" for c in cols]
+    return " UNION ALL ".join(parts)
+
+
 @query("quality_warnings", "Q10", f"""
 SELECT dimension, "check", {R('value')} AS value, threshold, ok,
-       CASE WHEN dimension = 'system' THEN 'warn' ELSE 'error' END AS severity FROM ({_checks_sql()}) WHERE NOT ok""")
+       CASE WHEN dimension = 'system' THEN 'warn' ELSE 'error' END AS severity FROM ({_checks_sql()}) WHERE NOT ok
+UNION ALL SELECT 'content', 'null_share:' || subject, {R('null_pct')}, 20.0, false, 'warn'
+FROM ({_null_sql('user_hourly', S.USER_HOURLY, TYPES)} UNION ALL {_null_sql('orders_daily', S.ORDERS_DAILY, D.PRIORITY_COLS)})
+WHERE null_pct > 20""")
 def quality_warnings(spark, d):
-    return quality.quality_warnings(_checks(spark, d))
+    return quality.quality_warnings(_checks(spark, d), quality.null_shares(D.user_hourly(spark, d), TYPES, "user_hourly"),
+                                    quality.null_shares(D.orders_daily(spark, d), D.PRIORITY_COLS, "orders_daily"))
+
+
+def _row_text_sql(times, doubles, others) -> str:
+    parts = [f"CAST(epoch_us({c}) AS VARCHAR)" for c in times]
+    parts += [f"CAST(CAST(round({c} + 5e-10, 6) AS DECIMAL(28,6)) AS VARCHAR)" for c in doubles]
+    parts += [f"CAST({c} AS VARCHAR)" for c in others]
+    return "concat_ws('|', " + ", ".join(f"coalesce({p}, '-')" for p in parts) + ")"
+
+
+def _digest_sql(text: str) -> str:
+    return f"count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)) AS VARCHAR) AS digest"
+
 
+_DIGEST_OTHERS = ["hour", "weekday", "month", "season", "is_weekend", "is_rush_hour", "temp_category", "wind_category", "rain", "inversion"]
+_DIGEST_DOUBLES = [*D.AIR, *D.WEATHER, "sunshine_h"]
 
-@query("content_digest", "Q8")
+
+@query("content_digest", "Q8", f"SELECT {_digest_sql(_row_text_sql(['ts'], _DIGEST_DOUBLES, _DIGEST_OTHERS))} FROM ({S.FINAL})")
 def content_digest(spark, d):
-    return quality.content_digest(D.final_table(spark, d))
+    return quality.content_digest(D.final_table(spark, d).select("ts", *_DIGEST_DOUBLES, *_DIGEST_OTHERS))
+
+
+# Two versions of the daily table: as it is, and with prices beyond the bounds nulled.
+_CAPPED = ", ".join(f"CASE WHEN {c} > 250000 THEN NULL ELSE {c} END AS {c}" for c in D.PRIORITY_COLS)
+
+
+def _monthly_digest_sql(src: str) -> str:
+    return (f"SELECT year(ts) AS year, month(ts) AS month, {_digest_sql(_row_text_sql(['ts'], D.PRIORITY_COLS, []))} "
+            f"FROM ({src}) GROUP BY 1, 2")
+
+
+@query("changed_months", "Q8", f"""
+WITH a AS ({_monthly_digest_sql(S.ORDERS_DAILY)}), b AS ({_monthly_digest_sql(f'SELECT ts, {_CAPPED} FROM ({S.ORDERS_DAILY})')})
+SELECT CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, 'changed' AS change
+FROM a JOIN b USING (year, month) WHERE a.n_rows <> b.n_rows OR a.digest <> b.digest""")
+def changed_months(spark, d):
+    old = D.orders_daily(spark, d).select("ts", *D.PRIORITY_COLS)
+    new = old.selectExpr("ts", *_CAPPED.split(", "))
+    parts = {"year": F.year("ts"), "month": F.month("ts")}
+    return quality.changed_parts(quality.content_digest(old, parts), quality.content_digest(new, parts), list(parts))

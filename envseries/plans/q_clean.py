@@ -153,16 +153,17 @@ def _matrix_sql() -> str:
     for c in PCOLS:
         parts.append(f"""
 SELECT '{c}' AS "column", {R('cv')} AS cv, n_active, active_months,
-  CASE WHEN cv >= 0.5 AND n_active <= 6 THEN 'MAR' WHEN cv < 0.35 THEN 'MCAR' ELSE 'MCAR/MAR' END AS missing_class
-FROM (SELECT CASE WHEN s / 12.0 > 0 THEN sqrt(greatest(sq / 12.0 - (s / 12.0) * (s / 12.0), 0.0)) / (s / 12.0)
-                  ELSE 0.0 END AS cv,
+  CASE WHEN cv >= 0.5 AND n_active * 2 <= slots THEN 'MAR' WHEN cv < 0.35 THEN 'MCAR' ELSE 'MCAR/MAR' END AS missing_class
+FROM (SELECT CASE WHEN s > 0 THEN sqrt(greatest(sq / slots - (s / slots) * (s / slots), 0.0)) / (s / slots)
+                  ELSE 0.0 END AS cv, slots,
              CAST(count(*) FILTER (WHERE rate > 0.05) AS INTEGER) AS n_active, mx,
-             coalesce(string_agg(CAST(month AS VARCHAR), ',' ORDER BY month) FILTER (WHERE rate > 0.05), '')
+             coalesce(string_agg(printf('%04d-%02d', year, month), ',' ORDER BY year, month) FILTER (WHERE rate > 0.05), '')
                AS active_months
-      FROM (SELECT month, rate, sum(rate) OVER () AS s, sum(rate * rate) OVER () AS sq, max(rate) OVER () AS mx
-            FROM (SELECT month(ts) AS month, avg(CAST({c} IS NULL AS INTEGER)) AS rate
-                  FROM ({S.ORDERS_DAILY}) GROUP BY 1))
-      GROUP BY s, sq, mx)
+      FROM (SELECT year, month, rate, sum(rate) OVER () AS s, sum(rate * rate) OVER () AS sq, max(rate) OVER () AS mx,
+                   (max(year) OVER () - min(year) OVER () + 1) * 12 AS slots
+            FROM (SELECT year(ts) AS year, month(ts) AS month, avg(CAST({c} IS NULL AS INTEGER)) AS rate
+                  FROM ({S.ORDERS_DAILY}) GROUP BY 1, 2))
+      GROUP BY s, sq, mx, slots)
 WHERE mx > 0""")
     return " UNION ALL ".join(parts)
 
@@ -246,6 +247,43 @@ def winsorize_report(spark, d):
     return cleaning.winsorize_report(D.hourly_wide(spark, d), TYPES)
 
 
+@query("winsorize_by_series", "K6", f"""
+WITH q AS (SELECT user_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY 1),
+dd AS (SELECT user_id, lo, hi, count(*) FILTER (WHERE value < lo OR value > hi) * 100.0 / count(value) > 3.0 AS clip
+       FROM events JOIN q USING (user_id) GROUP BY 1, 2, 3)
+SELECT event_id, user_id, {R('CASE WHEN clip THEN least(greatest(value, lo), hi) ELSE value END')} AS value FROM events JOIN dd USING (user_id)""")
+def winsorize_by_series(spark, d):
+    e = D.events(spark, d).select("event_id", "user_id", "value")
+    return cleaning.winsorize(e, ["value"], method="rank", series=["user_id"])
+
+
+@query("scale_by_series", "F10 F11", f"""
+WITH f AS (SELECT user_id, avg(value) AS mu, stddev_pop(value) AS sd, min(value) AS mn, max(value) AS mx FROM events GROUP BY 1)
+SELECT event_id, user_id, {R('(value - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END')} AS value_std,
+       {R('(value - mn) / CASE WHEN mx = mn THEN 1 ELSE mx - mn END')} AS value_norm FROM events JOIN f USING (user_id)""")
+def scale_by_series(spark, d):
+    e = D.events(spark, d).select("event_id", "user_id", "value")
+    return features.scale(e, ["value"], series=["user_id"]).drop("value")
+
+
+def _arc(limit: int) -> str:
+    way = "((nv - pv + 540.0) % 360.0 - 180.0)"  # both in [0, 360), so the dividend is positive
+    lin = f"(pv + {way} * (pos - pp) / (np - pp) + 360.0) % 360.0"
+    return (f"coalesce(x, CASE WHEN pp IS NULL OR pos - pp > {limit} THEN NULL WHEN np IS NULL THEN pv ELSE {lin} END)")
+
+
+@query("interpolate_circular", "W2 D15", f"""
+WITH h AS (SELECT user_id, ts, (signup * 10) % 360 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM ({S.USER_HOURLY})),
+n AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN pos END IGNORE NULLS) OVER p AS pp, last_value(x IGNORE NULLS) OVER p AS pv,
+             first_value(CASE WHEN x IS NOT NULL THEN pos END IGNORE NULLS) OVER f AS np, first_value(x IGNORE NULLS) OVER f AS nv
+      FROM h WINDOW p AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                    f AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT user_id, ts, {R(_arc(3))} AS direction FROM n""")
+def interpolate_circular(spark, d):
+    h = D.user_hourly(spark, d).select("user_id", "ts", F.pmod(F.col("signup") * 10, F.lit(360.0)).alias("direction"))
+    return scan.interpolate(h, ["user_id"], "ts", ["direction"], limit=3, bucket="day", circular=["direction"])
+
+
 ORDER_BOUNDS = {c: (1000.0, 400000.0) for c in PCOLS}
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timecols import date_label, localize, month_label
-from ..operators import profile, reshape, scan, timeline
+from ..functions.stats import circular_mean
+from ..functions.timecols import date_label, floor_to, localize, month_label
+from ..operators import profile, reshape, scan, timeline, zones
 from . import sqlbase as S
 from . import standins as D
 from .registry import query
@@ -48,7 +49,7 @@ SELECT n_left, n_right, n_joined, {R('n_joined * 100.0 / greatest(n_left, n_righ
        coalesce(n_joined * 100.0 / greatest(n_left, n_right) < 80, false) AS warn FROM c""")
 def join_quality(spark, d):
     from ..operators.quality import join_quality as jq
-    return jq(D.air_hourly(spark, d), D.weather_hourly(spark, d), D.joined(spark, d))
+    return jq(D.air_hourly(spark, d), D.weather_hourly(spark, d), ["ts"])
 
 
 @query("time_overlap", "T7 T11", f"""
@@ -169,6 +170,35 @@ def iqr_outliers(spark, d):
     return profile.iqr_outliers(D.hourly_wide(spark, d), TYPES)
 
 
+@query("iqr_by_series", "G9", f"""
+WITH q AS (SELECT user_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
+o AS (SELECT user_id, q1, q3, count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_out,
+             count(value) AS n FROM events JOIN q USING (user_id) GROUP BY 1, 2, 3)
+SELECT user_id, 'value' AS "column", {R('q1')} AS q1, {R('q3')} AS q3, {R('q3 - q1')} AS iqr,
+       {R('q1 - 1.5 * (q3 - q1)')} AS lower_fence, {R('q3 + 1.5 * (q3 - q1)')} AS upper_fence,
+       n_out AS n_outliers, {R('n_out * 100.0 / n')} AS outlier_pct, coalesce(n_out * 100.0 / n > 5, false) AS flag FROM o""")
+def iqr_by_series(spark, d):
+    return profile.iqr_outliers(D.events(spark, d), ["value"], method="rank", series=["user_id"])
+
+
+@query("raw_quantiles", "G8", f"""
+SELECT event_type, prob, {R('value')} AS value, n FROM (
+  SELECT event_type, quantile_cont(value, [0.01, 0.25, 0.5, 0.75, 0.99]) AS vs, count(value) AS n FROM events GROUP BY 1) g,
+  LATERAL (SELECT unnest(vs) AS value, unnest([0.01, 0.25, 0.5, 0.75, 0.99]::DOUBLE[]) AS prob)""")
+def raw_quantiles(spark, d):
+    from ..operators.quantile import rank_quantiles
+    return rank_quantiles(D.events(spark, d), "value", [0.01, 0.25, 0.5, 0.75, 0.99], ["event_type"])
+
+
+@query("circular_mean_daily", "G25 D15", f"""
+SELECT day, n, {R('CASE WHEN c * c + s * s > 1e-18 THEN degrees(atan2(s, c)) + CASE WHEN atan2(s, c) < 0 THEN 360 ELSE 0 END END')} AS direction
+FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, avg(sin(radians((value * 10) % 360))) AS s,
+             avg(cos(radians((value * 10) % 360))) AS c FROM events GROUP BY 1)""")
+def circular_mean_daily(spark, d):
+    e = D.events(spark, d).select(floor_to("ts", "day").alias("day"), F.pmod(F.col("value") * 10, F.lit(360.0)).alias("_deg"))
+    return e.groupBy("day").agg(F.count(F.lit(1)).alias("n"), circular_mean("_deg").alias("direction"))
+
+
 # Unit lookup rules, first substring match wins (P10).
 UNIT_RULES = [("click", "clicks/h"), ("view", "views/h"), ("error", "errors/h"), ("purchase", "EUR"),
               ("signup", "users/h")]
@@ -317,8 +347,7 @@ SELECT ts, {R('click')} AS click, {R('lag(click, 1) OVER w')} AS click_lag1, {R(
 FROM ({S.HOURLY}) WINDOW w AS (ORDER BY ts)""")
 def lag_values(spark, d):
     h = D.hourly_wide(spark, d).select("ts", "click")
-    h = scan.lag_rows(h, [], "ts", "click", 1)
-    return scan.lag_rows(h, [], "ts", "click", 3)
+    return scan.lags(h, [], "ts", {"click_lag1": ("click", 1), "click_lag3": ("click", 3)})
 
 
 @query("localize_filled", "T5 T6 W6", """
@@ -329,6 +358,42 @@ def localize_filled(spark, d):
     return timeline.localize_filled(e, "ts", D.ZONE, bucket="day")
 
 
+# Wall clocks of seven years, six hours around every night: both transitions of every year are crossed.
+_DST_STAMPS = ("SELECT l_orderkey, l_linenumber, l_shipdate + to_hours(CAST(l_orderkey % 6 AS INTEGER)) "
+               "+ to_minutes(CAST((l_partkey * 7) % 60 AS INTEGER)) AS ts FROM lineitem")
+_BACK = "timezone('Europe/Zurich', timezone('UTC', {0}))"
+
+
+@query("localize_dst", "T5 D6", f"""
+WITH s AS ({_DST_STAMPS}),
+u AS (SELECT *, CAST(timezone('UTC', timezone('Europe/Zurich', ts)) AS TIMESTAMP) AS guess FROM s),
+k AS (SELECT *, CASE WHEN CAST({_BACK.format('guess')} AS TIMESTAMP) <> ts THEN 'gap'
+                     WHEN CAST({_BACK.format('guess + INTERVAL 1 HOUR')} AS TIMESTAMP) = ts
+                       OR CAST({_BACK.format('guess - INTERVAL 1 HOUR')} AS TIMESTAMP) = ts THEN 'fold' ELSE 'plain' END AS kind FROM u)
+SELECT l_orderkey, l_linenumber, ts, kind,
+       CASE kind WHEN 'fold' THEN NULL WHEN 'gap' THEN date_trunc('hour', guess) ELSE guess END AS ts_utc FROM k""")
+def localize_dst(spark, d):
+    return zones.localized(_dst_stamps(spark, d), "ts", D.ZONE, kind="kind")
+
+
+@query("localize_dst_filled", "T6 D6", f"""
+WITH s AS ({_DST_STAMPS}),
+u AS (SELECT *, CAST(timezone('UTC', timezone('Europe/Zurich', ts)) AS TIMESTAMP) AS guess FROM s),
+k AS (SELECT *, CASE WHEN CAST({_BACK.format('guess')} AS TIMESTAMP) <> ts THEN date_trunc('hour', guess)
+                     WHEN CAST({_BACK.format('guess + INTERVAL 1 HOUR')} AS TIMESTAMP) = ts
+                       OR CAST({_BACK.format('guess - INTERVAL 1 HOUR')} AS TIMESTAMP) = ts THEN NULL ELSE guess END AS own FROM u)
+SELECT l_orderkey, l_linenumber, ts, last_value(own IGNORE NULLS) OVER (
+         PARTITION BY l_linenumber ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts_utc FROM k""")
+def localize_dst_filled(spark, d):
+    return timeline.localize_filled(_dst_stamps(spark, d), "ts", D.ZONE, ["l_linenumber"])
+
+
+def _dst_stamps(spark, d):
+    return D.table(spark, d, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "timestampadd(MINUTE, l_partkey * 7 % 60, "
+        "timestampadd(HOUR, l_orderkey % 6, CAST(l_shipdate AS TIMESTAMP_NTZ))) AS ts")
+
+
 @query("time_completeness_by_series", "Q1 T8", f"""
 SELECT user_id, ts_min, ts_max, n_rows, n_present, n_expected, n_expected - n_present AS n_missing,
        {R('n_present * 100.0 / n_expected')} AS completeness_pct,

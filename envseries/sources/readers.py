@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timecols import floor_to, parse_naive_ts, parse_offset_ts
+from ..functions.timecols import parse_naive_ts, parse_offset_ts
 
 
 def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -23,14 +23,6 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(F.col(c)), F.col(c)) for c in cols})
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet table; a column list prunes the scan (``ReadSchema``)."""
-    df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*columns)
-    return df
-
-
 def read_raw_csv(spark: SparkSession, path: str, *, sep: str = ",") -> DataFrame:
     """Every column of a CSV as text, as it stands (blanks around values included)."""
     return spark.read.option("header", True).option("sep", sep).csv(path)
@@ -48,10 +40,16 @@ def read_long_csv(spark: SparkSession, path: str, *, ts: str = "Datum",
     """
     # every column as string from the header (no inference pass); columns not
     # named here (station, unit, ...) are simply not selected
-    raw = spark.read.option("header", True).option("sep", sep).csv(path)
+    return long_from_raw(read_raw_csv(spark, path, sep=sep), ts=ts, parameter=parameter, value=value,
+                         ts_format=ts_format, extra=extra)
+
+
+def long_from_raw(raw: DataFrame, *, ts: str = "Datum", parameter: str = "Parameter", value: str = "Wert",
+                  ts_format: str = "yyyy-MM-dd'T'HH:mmZ", extra: Sequence[str] = ()) -> DataFrame:
+    """The long measurements of ``read_long_csv`` from a frame (or stored copy) of text columns."""
     missing = [c for c in (ts, parameter, value, *extra) if c not in raw.columns]
     if missing:
-        raise ValueError(f"columns {missing} not in {path}")
+        raise ValueError(f"columns {missing} not in {raw.columns}")
     out = raw.select(
         parse_offset_ts(F.col(ts)).alias("ts"),
         F.trim(F.col(parameter)).alias("parameter"),
@@ -78,18 +76,17 @@ def hourly_feed_schema(variables: Sequence[str]) -> T.StructType:
 
 
 def read_hourly_feed(spark: SparkSession, path: str, variables: Sequence[str],
-                     ts_name: str = "Datum", ts_format: str = "yyyy-MM-dd'T'HH:mm") -> DataFrame:
+                     ts_name: str = "Datum", ts_format: str = "yyyy-MM-dd'T'HH:mm",
+                     position: str | None = None) -> DataFrame:
     """Struct-of-parallel-arrays JSON (``hourly.time``, ``hourly.<var>``) -> one row per index.
 
     ``arrays_zip`` pads shorter arrays with null, so unequal null patterns
-    stay aligned by index; ``time`` is renamed to ``ts_name``.
+    stay aligned by index; ``time`` is renamed to ``ts_name``.  ``position``
+    names a column for the index.
     """
     df = spark.read.schema(hourly_feed_schema(variables)).option("multiLine", True).json(path)
     zipped = F.arrays_zip(*[F.col(f"hourly.{n}").alias(n) for n in ["time", *variables]])
-    rows = df.select(F.inline(zipped))
+    rows = df.select(F.posexplode(zipped).alias("_i", "_row"))
+    rows = rows.select(*([F.col("_i").alias(position)] if position else []), "_row.*")
     rows = rows.withColumn("time", parse_naive_ts(F.col("time"), ts_format))
     return nan_to_null(rows.withColumnRenamed("time", ts_name), list(variables))
-
-
-def floor_hour_long(df: DataFrame, ts: str = "ts") -> DataFrame:
-    return df.withColumn(ts, floor_to(ts, "hour"))

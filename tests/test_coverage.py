@@ -17,7 +17,7 @@ LIBRARY = {
     "A5": ("test_flow.py", "test_route_end_to_end"),
     "A6": ("test_sources.py", "test_table_round_trip_partitioned"),
     "A7": ("test_flow.py", "test_route_end_to_end"),
-    "A8": ("test_sources.py", "test_table_round_trip_partitioned"),
+    "A8": ("test_flow_stations.py", "test_model_results_are_written"),
     "T1": ("test_functions.py", "test_offset_timestamp_to_utc"),
     "T2": ("test_sources.py", "test_hourly_feed_parallel_arrays"),
     "F13": ("test_entry.py", "test_query_matches_oracle"),

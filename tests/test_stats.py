@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tables import SF01
-from reference_t import t_two_sided_p
+from reference_t import t_two_sided_p, t_two_sided_p_exact
 from envseries.functions.tdist import t_pvalue
 from envseries.operators import correlation, hypothesis, models
 from envseries.plans import standins as D
@@ -46,6 +46,19 @@ def test_pvalue_matches_reference_implementation(spark):
     assert t_two_sided_p(1.2, 1.0) == pytest.approx(1 - 2 * math.atan(1.2) / math.pi, rel=1e-12)
 
 
+def test_pvalue_does_not_depend_on_the_degrees_of_freedom(spark):
+    """Relative 1e-9 against 80-digit arithmetic, from one degree of freedom to 1e12 and into the far tail."""
+    cases = [(t, d) for d in (1.0, 2.0, 3.0, 7.5, 19.0, 40.0, 41.0, 1e3, 1e6, 1e9, 1e12)
+             for t in (1e-6, 0.5, 1.0, 1.2499, 1.25, 1.7, 2.0, 3.0, 5.0, 8.0)]
+    df = spark.createDataFrame(cases, "t double, d double")
+    for r in df.select("t", "d", t_pvalue("t", "d").alias("p")).collect():
+        assert r.p == pytest.approx(t_two_sided_p_exact(r.t, r.d), rel=1e-9), (r.t, r.d)
+    edge = spark.createDataFrame([(0.0, 5.0), (float("inf"), 5.0), (1.0, 0.0), (None, 5.0), (float("nan"), 5.0), (-2.0, 1e12)],
+                                 "t double, d double").select(t_pvalue("t", "d").alias("p")).collect()
+    assert [r.p for r in edge[:5]] == [1.0, 0.0, None, None, None]
+    assert edge[5].p == pytest.approx(t_two_sided_p_exact(2.0, 1e12), rel=1e-9)
+
+
 def test_verdict_order(spark):
     df = spark.createDataFrame([(-0.5, 0.5), (0.5, 0.5), (0.5, 0.01), (0.05, 0.01)], "e double, p double")
     v = [r.v for r in df.select(hypothesis.verdict("positive", F.col("e"), F.col("p"), F.col("e"), 0.10)
