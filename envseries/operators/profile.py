@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.units import limits_of, units_of
 from .keyed import attach
 from .quantile import quantile_row
 
@@ -188,8 +189,8 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5, flag_pct: f
 
 def headline_stats(df: DataFrame, cols: Sequence[str], ts: str, units: Mapping[str, str] | None = None
                    ) -> DataFrame:
-    """Non-null count, first and last timestamp with a value, mean, unit."""
-    units = units or {}
+    """Non-null count, first and last timestamp with a value, mean, unit (G26); by default the library's units (P10)."""
+    units = units_of(cols) if units is None else units
     aggs = []
     for i, c in enumerate(cols):
         x, t = _q(c), _q(ts)
@@ -200,8 +201,9 @@ def headline_stats(df: DataFrame, cols: Sequence[str], ts: str, units: Mapping[s
         f"'unit', {_lit(units.get(c, ''))})" for i, c in enumerate(cols)])
 
 
-def limit_exceedance(df: DataFrame, limits: Mapping[str, float]) -> DataFrame:
-    """Per column with a limit: rows above it, share of non-null rows."""
+def limit_exceedance(df: DataFrame, limits: Mapping[str, float] | None = None) -> DataFrame:
+    """Per column with a limit: rows above it, share of non-null rows (P11); by default the library's health limits."""
+    limits = limits_of(df.columns) if limits is None else limits
     cols = list(limits)
     aggs = []
     for i, c in enumerate(cols):

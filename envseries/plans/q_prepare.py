@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import circular_mean
 from ..functions.timecols import date_label, floor_to, localize, month_label
+from ..functions.units import LIMITS as HEALTH_LIMITS
+from ..functions.units import unit_of
 from ..operators import profile, reshape, scan, timeline, zones
 from . import sqlbase as S
 from . import standins as D
@@ -205,10 +207,7 @@ UNIT_RULES = [("click", "clicks/h"), ("view", "views/h"), ("error", "errors/h"),
 
 
 def unit_for(column: str) -> str:
-    for key, unit in UNIT_RULES:
-        if key.lower() in column.lower():
-            return unit
-    return ""
+    return unit_of(column, dict(UNIT_RULES))
 
 
 @query("headline_stats", "G26 P10 T10", " UNION ALL ".join(
@@ -221,8 +220,8 @@ def headline_stats(spark, d):
     return h.withColumn("first_day", date_label("first_ts"))
 
 
-# Health limits by pollutant, mapped onto the stand-in columns.
-LIMITS = {"error": 40.0, "click": 45.0, "view": 100.0, "purchase": 15.0}
+# The library's health limits by pollutant, mapped onto the stand-in columns.
+LIMITS = dict(zip(["error", "click", "view", "purchase"], (HEALTH_LIMITS[k] for k in ("NO2", "PM10", "O3", "PM2"))))
 
 
 @query("limit_exceedance", "P11", " UNION ALL ".join(

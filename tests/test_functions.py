@@ -71,3 +71,14 @@ def test_join_on_true_instants_is_unique(spark):
                                  .cast("timestamp_ntz").alias("ts"))
     j = a.join(b, "ts")
     assert j.count() == 8759 and j.select("ts").distinct().count() == 8759
+
+
+def test_units_and_limits_by_column_name(spark):
+    from envseries.functions.units import limits_of, unit_of
+    from envseries.operators import profile
+    assert [unit_of(c) for c in ("no2", "no", "pm25_std", "wind_direction_10m", "precipitation", "other")] == [
+        "µg/m³", "µg/m³", "µg/m³", "°", "mm/h", ""]
+    assert limits_of(["no", "no2", "pm10", "pm25", "o3", "cloud_cover"]) == {"no2": 40.0, "pm10": 45.0, "pm25": 15.0, "o3": 100.0}
+    df = spark.createDataFrame([(41.0, 1.0), (40.0, None), (None, 2.0)], "no2 double, no double")
+    out = profile.limit_exceedance(df).collect()
+    assert [(r.column, r.limit_value, r.n_exceed, r.exceed_pct) for r in out] == [("no2", 40.0, 1, 50.0)]
