@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import required_checkpoint_dir
 
-#: Whether Spark removes the shuffle files of a query at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the session while a table is written: shuffle files go at the end of the query, and Python workers get
+#: record batches of bounded bytes (ten thousand long texts would be one batch else).
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+           "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -21,19 +23,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table stands for the job's shuffle files, so those go as soon as it is written; the session keeps its setting.
+    The table stands for the job's shuffle files, so those go as soon as it is written; the session keeps its settings.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

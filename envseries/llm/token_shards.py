@@ -28,6 +28,8 @@ LENGTH = 256
 END_TOKEN = 50256
 #: Text bytes per shard, about: each is read by one task in bounded memory.
 SHARD_TEXT_BYTES = 20 << 20
+#: Sequences that wait for a record batch, and records read at a time: 4 and 8 MB.
+BATCH_SEQUENCES, READ_RECORDS = 8_192, 8_192
 ROUNDS = 6
 
 RECORD = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"),
@@ -102,33 +104,41 @@ def sequences(docs: DataFrame, path: str, seed: int) -> tuple[DataFrame, int, in
                 at, count = shared.value[TaskContext.get().partitionId()]
                 end = at + count
             encode = encoder(path).encode_to_numpy
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
-            docs_, nos, index, blobs = [], [], [], []
-            for doc, text in zip(ids.tolist(), batch.column(1)):
+            made, waiting = [], 0
+            for doc, text in zip(batch.column(0).fill_null(NO_ID).to_numpy().tolist(), batch.column(1)):
                 text = text.as_py() or ""
-                tokens = np.append(encode(text, disallowed_special=()), END_TOKEN).astype("<u2")
-                for no, a in enumerate(range(0, len(tokens), LENGTH)):
-                    docs_.append(doc)
-                    nos.append(no)
-                    index.append(at + no)
-                    blobs.append(tokens[a:a + LENGTH].tobytes())
+                tokens = encode(text, disallowed_special=())
+                padded = np.zeros((len(tokens) // LENGTH + 1, LENGTH), "<u2")
+                padded.reshape(-1)[:len(tokens)] = tokens
+                padded.reshape(-1)[len(tokens)] = END_TOKEN
+                made.append((doc, at, len(tokens) + 1, padded))
                 at += capacity(len(text.encode()))
-                if len(blobs) > 20_000:
-                    yield packed(docs_, nos, index, blobs)
-                    docs_, nos, index, blobs = [], [], [], []
-            if blobs:
-                yield packed(docs_, nos, index, blobs)
+                waiting += len(padded)
+                if waiting >= BATCH_SEQUENCES:
+                    yield packed(made)
+                    made, waiting = [], 0
+            if made:
+                yield packed(made)
         if at != end:
             raise RuntimeError("docs was read in other partitions than counted; write it as a table first")
 
-    def packed(doc, no, index, blobs):
-        slot = feistel(np.array(index, np.int64), domain, seed)
-        shard = [int(s) * shards // domain for s in slot]
-        return pa.record_batch([pa.array(shard, pa.int32()), pa.array(slot), pa.array(doc, pa.int64()),
-                                pa.array(no, pa.int32()), pa.array(blobs, pa.binary())],
-                               names=["shard", "slot", "doc_id", "seq_no", "tokens"])
-
-    return rows.mapInArrow(run, "shard int, slot long, doc_id long, seq_no int, tokens binary"), domain, shards
+    def packed(made):
+        doc, at, size = (np.array(x, np.int64) for x in list(zip(*made))[:3])
+        count = np.array([len(m[3]) for m in made])
+        no = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        slot = feistel(np.repeat(at, count) + no, domain, seed)
+        if domain * shards < 2**63:
+            shard = slot * shards // domain
+        else:
+            shard = np.array([int(s) * shards // domain for s in slot])
+        blob = np.concatenate([m[3] for m in made])
+        blobs = pa.Array.from_buffers(pa.binary(), len(no), [
+            None, pa.py_buffer(np.arange(len(no) + 1, dtype=np.int32) * (2 * LENGTH)), pa.py_buffer(blob)])
+        return pa.record_batch([pa.array(shard.astype(np.int32)), pa.array(slot), pa.array(np.repeat(doc, count)),
+                                pa.array(no.astype(np.int32)), pa.array(np.minimum(np.repeat(size, count) - no * LENGTH, LENGTH).astype(np.int32)),
+                                blobs], names=["shard", "slot", "doc_id", "seq_no", "n_tokens", "tokens"])
+
+    return rows.mapInArrow(run, "shard int, slot long, doc_id long, seq_no int, n_tokens int, tokens binary"), domain, shards
 
 
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, seed: int = 1) -> DataFrame:
@@ -145,15 +155,13 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, seed: in
         store, base = fs.FileSystem.from_uri(folder)
         sink, shard, done = None, None, []
         for batch in batches:
-            column = {n: batch.column(n) for n in ("shard", "slot", "doc_id", "seq_no")}
-            column = {n: c.to_numpy() for n, c in column.items()}
+            column = {n: batch.column(n).to_numpy() for n in ("shard", "slot", "doc_id", "seq_no", "n_tokens")}
             out = np.zeros(batch.num_rows, RECORD)
-            for n in ("slot", "doc_id", "seq_no"):
+            for n in ("slot", "doc_id", "seq_no", "n_tokens"):
                 out[n] = column[n]
-            for i, blob in enumerate(batch.column("tokens")):
-                tokens = np.frombuffer(blob.as_buffer(), "<u2")
-                out["n_tokens"][i] = len(tokens)
-                out["tokens"][i, :len(tokens)] = tokens
+            blob = batch.column("tokens")
+            first = blob.offset * LENGTH  # all records are of one length
+            out["tokens"] = np.frombuffer(blob.buffers()[2], "<u2")[first:first + batch.num_rows * LENGTH].reshape(-1, LENGTH)
             cuts = np.flatnonzero(np.diff(column["shard"], prepend=-1 if shard is None else shard))
             bounds = np.unique([0, *cuts, batch.num_rows]).tolist()
             for a, b in zip(bounds, bounds[1:]):
@@ -180,27 +188,34 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, seed: in
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """position, slot, shard, doc_id, seq_no, n_tokens, checksum (crc32 of the ids) of every record."""
-    files = spark.read.format("binaryFile").load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    """position, slot, shard, doc_id, seq_no, n_tokens, checksum (crc32 of the ids) of every record.
+
+    Tasks read ranges of records by seeking, ``READ_RECORDS`` at a time.
+    """
+    ranges = manifest.select("shard", "file", "start", "records",
+                             F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(READ_RECORDS).cast("long"))).alias("skip"))
 
     def run(batches):
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for shard, start, content in zip(*(batch.column(i) for i in range(3))):
-                got = np.frombuffer(content.as_buffer(), RECORD)
-                for a in range(0, len(got), 50_000):
-                    part = got[a:a + 50_000]
-                    n = part["n_tokens"]
-                    crc = [zlib.crc32(t[:k].tobytes()) for t, k in zip(part["tokens"], n.tolist())]
-                    yield pa.record_batch([
-                        pa.array(start.as_py() + a + np.arange(len(part))), pa.array(np.ascontiguousarray(part["slot"])),
-                        pa.array(np.full(len(part), shard.as_py(), np.int32)),
-                        pa.array(np.ascontiguousarray(part["doc_id"]), mask=part["doc_id"] == NO_ID),
-                        pa.array(np.ascontiguousarray(part["seq_no"])), pa.array(np.ascontiguousarray(n)),
-                        pa.array(crc, pa.int64())],
-                        names=["position", "slot", "shard", "doc_id", "seq_no", "n_tokens", "checksum"])
-
-    return files.join(manifest.select("file", "shard", "start"), "file").select("shard", "start", "content").mapInArrow(
+            for row in batch.to_pylist():
+                take = min(READ_RECORDS, row["records"] - row["skip"])
+                with store.open_input_file(f"{base}/{row['file']}") as f:
+                    f.seek(row["skip"] * RECORD.itemsize)
+                    part = np.frombuffer(f.read(take * RECORD.itemsize), RECORD)
+                n = part["n_tokens"]
+                crc = [zlib.crc32(t[:k]) for t, k in zip(part["tokens"], n.tolist())]
+                yield pa.record_batch([
+                    pa.array(row["start"] + row["skip"] + np.arange(len(part))), pa.array(np.ascontiguousarray(part["slot"])),
+                    pa.array(np.full(len(part), row["shard"], np.int32)),
+                    pa.array(np.ascontiguousarray(part["doc_id"]), mask=part["doc_id"] == NO_ID),
+                    pa.array(np.ascontiguousarray(part["seq_no"])), pa.array(np.ascontiguousarray(n)),
+                    pa.array(crc, pa.int64())],
+                    names=["position", "slot", "shard", "doc_id", "seq_no", "n_tokens", "checksum"])
+
+    # a task per shard: the rows of the manifest are too small to be dealt out by their size
+    return ranges.repartitionById(manifest.agg(F.max("shard")).first()[0] + 1, F.col("shard")).mapInArrow(
         run, "position long, slot long, shard int, doc_id long, seq_no int, n_tokens int, checksum long")
 
 
