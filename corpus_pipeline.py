@@ -7,6 +7,7 @@ Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parqu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from envseries.llm import decontamination, mixing, near_dedup, quality_gam, token_shards
 from envseries.llm.storage import table, written
@@ -18,12 +19,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8) the document with the smallest id stays.
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8) one document stays.
 
-    Rows without an id are in no group's place and stay; rows that repeat the id that stays all stay.
+    Documents are told apart by id and text together, so an id that occurs with different texts, or a null id, loses
+    nothing but near copies.  Of a row that is repeated one stays, unless its text has no words.
     """
-    dropped = near_dedup.near_groups(docs, words=5).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(written(dropped, "pipeline-dropped"), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = written(near_dedup.near_groups(keyed, words=5, id_col="_key")
+                     .select(F.col("doc_id").alias("_key"), "kept", "n_shingles"), "pipeline-groups")
+    left = keyed.join(groups.filter("NOT kept").select("_key").distinct(), "_key", "left_anti")
+    twice = written(groups.filter("kept AND n_shingles > 0").groupBy("_key").count().filter("count > 1").select("_key"), "pipeline-twice")
+    if not twice.isEmpty():
+        left = left.join(twice, "_key", "left_anti").unionByName(left.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+    return left.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
