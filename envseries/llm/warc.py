@@ -25,6 +25,7 @@ LEAST_REVISIT = 100
 #: Archive files are closed beyond this size, so each is read by one task in bounded memory.
 FILE_BYTES = 8 << 20
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+LINE = re.compile(rb"(?<=\n)WARC/1\.")
 START = re.compile(rb"\x1f\x8b\x08|(?:^|(?<=\n))WARC/1\.")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -51,19 +52,34 @@ def member(data: bytes, level: int = 3) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _unpacked(data: memoryview, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``; raises ValueError if it is damaged or cut off."""
-    reader, parts, pos = zlib.decompressobj(31), [], at
+def _fed(reader, piece, out: list[bytes]):
+    """The reader after ``piece``, its output appended to ``out``; None if it is damaged: then up to the damage.
+
+    A failing call gives no output at all, so its input is halved until the damaged byte is alone.
+    """
+    before = reader.copy()
     try:
-        while not reader.eof:
-            if pos >= len(data):
-                raise ValueError("member is cut off")
-            piece = data[pos:pos + 65536]
-            parts.append(reader.decompress(piece))
-            pos += len(piece)
-    except zlib.error as e:
-        raise ValueError("member is damaged") from e
-    return b"".join(parts), pos - len(reader.unused_data)
+        out.append(reader.decompress(piece))
+        return reader
+    except zlib.error:
+        if len(piece) == 1:
+            return None
+        half = _fed(before, piece[:len(piece) // 2], out)
+        return half and _fed(half, piece[len(piece) // 2:], out)
+
+
+def _unpacked(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """Content and end of the gzip member at ``at``; of a damaged or cut-off one what comes before, and the reason."""
+    reader, parts, pos = zlib.decompressobj(31), [], at
+    while not reader.eof:
+        if pos >= len(data):
+            return b"".join(parts), pos, "member is cut off"
+        piece = data[pos:pos + 65536]
+        reader = _fed(reader, piece, parts)
+        if reader is None:
+            return b"".join(parts), pos, "member is damaged"
+        pos += len(piece)
+    return b"".join(parts), pos - len(reader.unused_data), None
 
 
 def _parsed(data, at: int) -> tuple[dict, int]:
@@ -105,36 +121,72 @@ def _parsed(data, at: int) -> tuple[dict, int]:
             "payload_digest": digest, "payload": payload if kind == "response" else None}, end + 4
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of one archive, compressed by member or plain, in order; their lengths add up to the file's."""
-    view, at, bad, why = memoryview(data), 0, None, ""
+def _content(content: bytes) -> Iterator[dict]:
+    """Records of a member's content; after one that fails, those from the next version line on.  Gaps have no place in
+    the file of their own: their reason says which bytes of the content they are."""
+    pos, bad, why = 0, None, ""
 
     def gap(end):
-        return {"offset": bad, "length": end - bad, "status": "gap", "reason": why}
+        return {"status": "gap", "reason": f"{why} (bytes {bad} to {end} of the member's content)"}
 
-    while at < len(data):
+    while pos < len(content):
         try:
-            if data.startswith(GZIP, at):
-                content, end = _unpacked(view, at)
-                found, pos = [], 0
-                while pos < len(content):
-                    one, pos = _parsed(content, pos)
-                    found.append(one)
-            else:
-                one, end = _parsed(data, at)
-                found = [one]
+            one, end = _parsed(content, pos)
         except ValueError as e:
             if bad is None:
-                bad, why = at, str(e)
-            following = START.search(data, at + 1)
-            at = following.start() if following else len(data)
+                bad, why = pos, str(e)
+            following = LINE.search(content, pos + 1)
+            pos = following.start() if following else len(content)
             continue
         if bad is not None:
-            yield gap(at)
+            yield gap(pos)
             bad = None
-        for i, one in enumerate(found):
-            yield one | {"offset": at, "length": end - at if i == 0 else 0, "status": "ok", "reason": None}
-        at = end
+        yield one | {"status": "ok", "reason": None}
+        pos = end
+    if bad is not None:
+        yield gap(len(content))
+
+
+def salvage(data: bytes) -> Iterator[dict]:
+    """Records and gaps of one archive, compressed by member or plain, in order; their lengths add up to the file's.
+
+    Of a member with several records the first row has its length.  A record that fails its check costs no other of its
+    member, and of a member that is damaged or cut off the records before the damage are kept.
+    """
+    view, at, bad, why = memoryview(data), 0, None, ""
+
+    def gap(end):
+        return {"offset": bad, "length": end - bad, "status": "gap", "reason": why}
+
+    while at < len(data):
+        found, end, failed = [], at, None
+        if data.startswith(GZIP, at):
+            content, end, failed = _unpacked(view, at)
+            found = list(_content(content))
+            if not any(x["status"] == "ok" for x in found):
+                failed = failed or (found[0]["reason"] if found else "member is empty")
+                found = []
+        else:
+            try:
+                one, end = _parsed(data, at)
+                found = [one | {"status": "ok", "reason": None}]
+            except ValueError as e:
+                failed = str(e)
+        if failed is None:
+            if bad is not None:
+                yield gap(at)
+                bad = None
+            for i, one in enumerate(found):
+                yield one | {"offset": at, "length": end - at if i == 0 else 0}
+            at = end
+            continue
+        if bad is None:
+            bad, why = at, failed
+        for one in found:  # the gap to come has the length of the damaged member
+            if one["status"] == "ok":
+                yield one | {"offset": at, "length": 0}
+        following = START.search(data, at + 1)
+        at = following.start() if following else len(data)
     if bad is not None:
         yield gap(len(data))
 

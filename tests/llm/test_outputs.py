@@ -1,10 +1,10 @@
 import random
 
 import numpy as np
-from llm_rows import row
+from llm_rows import DOCS, row
 
 from envseries.llm import catalog, decontamination, mixing, token_shards, warc
-from envseries.llm.storage import shared_dir, table
+from envseries.llm.storage import shared_dir, table, written
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -141,3 +141,77 @@ def test_pipeline_stages(spark):
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] > 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF01)
     assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def records(n, size=400):
+    import hashlib
+    rng = random.Random(9)
+    out = []
+    for i in range(n):
+        body = bytes(rng.randrange(256) for _ in range(size))
+        out.append(warc.record(str(i), f"http://x/{i}", body, hashlib.sha256(body).hexdigest(), len(body), None))
+    return out
+
+
+def test_salvage_inside_a_member():
+    """Ten records in one member: a bad one costs no other; of a torn member those before the tear are kept."""
+    made = records(10)
+    bad = made[4].replace(b"sha256:", b"sha256:0", 1)
+    one = warc.member(b"".join([*made[:4], bad, *made[5:]]))
+    after = warc.member(made[0])
+    rows = list(warc.salvage(one + after))
+    assert [r["page_id"] for r in rows if r["status"] == "ok"] == [str(i) for i in (0, 1, 2, 3, 5, 6, 7, 8, 9, 0)]
+    gaps = [r for r in rows if r["status"] == "gap"]
+    assert len(gaps) == 1 and "digest" in gaps[0]["reason"] and "of the member's content" in gaps[0]["reason"]
+    assert sum(r["length"] for r in rows) == len(one + after)
+    stray = warc.member(b"".join(made) + b"stray bytes")
+    assert sum(r["status"] == "ok" for r in warc.salvage(stray)) == 10
+
+    whole = warc.member(b"".join(made))
+    cut = list(warc.salvage(whole[:-40] + after))
+    assert [r["page_id"] for r in cut if r["status"] == "ok"] == [*map(str, range(9)), "0"]
+    assert [(r["offset"], r["length"]) for r in cut if r["status"] == "gap"] == [(0, len(whole) - 40)]
+    assert sum(r["length"] for r in cut) == len(whole) - 40 + len(after)
+
+    torn = bytearray(whole)
+    torn[len(whole) // 2:len(whole) // 2 + 60] = bytes(60)
+    rows = list(warc.salvage(bytes(torn) + after))
+    kept = [int(r["page_id"]) for r in rows if r["status"] == "ok"]
+    assert kept[:4] == [0, 1, 2, 3] and kept[-1] == 0 and len(kept) < 11
+    assert sum(r["length"] for r in rows) == len(whole) + len(after)
+    assert [r["reason"] for r in warc.salvage(warc.member(b""))] == ["member is empty"]
+
+
+def test_near_duplicate_stage_drops_rows_not_ids(spark):
+    import corpus_pipeline
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text.replace("w39", "other")
+    only = " ".join(f"u{i}" for i in range(40))
+    rows = [row(1, text), row(2, text), row(2, only), row(3, near), row(4, "alone here"), row(4, "alone here"),
+            row(None, only + " more"), row(None, "a null id of its own"), row(5, None), row(5, None), row(6, ""), row(7, text)]
+    docs = written(spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' AS kept", "1 AS n_shingles"), "test-docs")
+    out = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert out.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    texts = [t for _, t in left]
+    assert sum(t in (text, near) for t in texts) == 1 and sum(t is not None and t.startswith("u0") for t in texts) == 1
+    assert texts.count("alone here") == 1 and texts.count("a null id of its own") == 1
+    assert texts.count(None) == 2 and texts.count("") == 1 and len(texts) == 7
+
+
+def test_stages_on_awkward_rows(spark, awkward):
+    """Every stage keeps its columns and loses no clean text: nulls, blanks, repeated ids, long texts, clashing columns."""
+    import corpus_pipeline
+    docs = written(awkward, "test-awkward")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = written(stage(spark, docs, SF01), "test-awkward")
+        assert out.columns == docs.columns, name
+        if name == "near-duplicate removal":  # ids 4, 5, 5 and null are copies, 7 is nearly 6
+            assert out.filter("text = 'solo'").count() == 1 and out.filter("length(text) > 1000").count() == 1
+            assert out.filter("lower(text) LIKE 'one two%'").count() == 1
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF01).count() >= 0
+    empty = written(awkward.limit(0), "test-empty")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, empty, SF01)
+        assert out.columns == empty.columns and out.count() == 0, name
