@@ -1,7 +1,9 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are words and word beginnings, hashed into buckets.  The buckets that separate the labels best are the machine's
-inputs; it learns a weight for each and a vector whose products weigh every pair of terms that occur together.
+Terms are words and word beginnings, hashed into buckets.  The machine's inputs are the buckets that enough labelled texts
+hold to learn something about the pairs they occur in, whether or not they tell anything alone, and rarer ones that
+separate the labels by themselves.  It learns a weight for each and a vector whose products weigh every pair of terms
+that occur together.  Buckets that neither hold (of a few texts, with no evidence) have nothing to learn from.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from . import labelled
 from .textscan import Words, hash_spans, text_slices
 
 TERM_BITS = 20
-TERMS, LEAST_Z = 2048, 4.0
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 512, 0.2, 1e-5
+#: A bucket is an input if so large a share of the labelled rows hold it, or if its own z-score is at least that.
+LEAST_SHARE, LEAST_Z = 0.03, 4.0
+FACTORS, EPOCHS, BATCH, RATE, DECAY, START = 8, 20, 128, 0.1, 1e-5, 0.02
 THRESHOLD = 0.5
 PREFIXES = (4, 5)
 
@@ -43,7 +46,10 @@ def _distinct(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _selected(texts: DataFrame) -> np.ndarray:
-    """The ``TERMS`` buckets with the largest z-score of the difference between the classes' document shares."""
+    """The buckets that are inputs, by document share or by the z-score of the difference between the classes' shares.
+
+    Their number is bounded by the mean number of terms of a text over ``LEAST_SHARE``, and the few of large z-score.
+    """
 
     def run(batches):
         for batch in batches:
@@ -66,7 +72,7 @@ def _selected(texts: DataFrame) -> np.ndarray:
         F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     share = (F.col("pos") + F.col("neg") + 1) / (pos + neg + 2)
     z = F.abs(F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg))
-    best = counts.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "b").limit(TERMS)
+    best = counts.filter((z >= LEAST_Z) | (F.col("pos") + F.col("neg") >= LEAST_SHARE * (pos + neg)))
     return np.array(sorted(r["b"] for r in best.select("b").collect()), np.int64)
 
 
@@ -83,35 +89,62 @@ def _active(slot: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return _distinct(rows[hit], at[hit].astype(np.int64))
 
 
+def _sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by ``rows`` (in ascending order), for n rows."""
+    out = np.zeros((n, *values.shape[1:]), values.dtype)
+    if len(rows):
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        out[rows[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
+def _margin(p: dict, rows: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds of n texts, and the vectors of their terms, singly and added up."""
+    v = p["v"][at]
+    total = _sums(v, rows, n)
+    pairs = 0.5 * ((total ** 2).sum(1) - _sums((v ** 2).sum(1), rows, n))
+    return p["b"] + _sums(p["w"][at], rows, n) + pairs, v, total
+
+
 def fit(lists: list[np.ndarray], y: np.ndarray, m: int) -> dict:
-    """Weights and factors by Adagrad on the logistic loss."""
+    """Weights and vectors of ``m`` inputs by Adagrad on the logistic loss; ``lists`` has the inputs of each text.
+
+    A step touches the inputs of its texts only.
+    """
     rng = np.random.Generator(np.random.PCG64(11))
     base = (y.sum() + 1) / (len(y) + 2)
-    p = {"b": np.array([np.log(base / (1 - base))]), "w": np.zeros(m), "v": rng.normal(0, 0.05, (m, FACTORS))}
-    seen = {k: np.full_like(v, 1e-2) for k, v in p.items()}
-    for _ in range(EPOCHS if m else 0):
+    p = {"b": np.full(1, np.log(base / (1 - base)), np.float32), "w": np.zeros(m, np.float32),
+         "v": rng.standard_normal((m, FACTORS), np.float32) * np.float32(START)}
+    seen = {k: np.full_like(p[k], 1e-2) for k in p}
+    offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
+    at = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
-            x = np.zeros((len(part), m))
-            for i, r in enumerate(part):
-                x[i, lists[r]] = 1
-            xv = x @ p["v"]
-            f = p["b"] + x @ p["w"] + 0.5 * (xv ** 2 - x @ p["v"] ** 2).sum(1)
-            e = (1 / (1 + np.exp(-np.clip(f, -30, 30))) - y[part]) / len(part)
-            grad = {"b": np.array([e.sum()]), "w": x.T @ e + DECAY * p["w"],
-                    "v": x.T @ (e[:, None] * xv) - (x.T @ e)[:, None] * p["v"] + DECAY * p["v"]}
-            for k, g in grad.items():
-                seen[k] += g ** 2
-                p[k] -= RATE * g / np.sqrt(seen[k])
+            sizes = offsets[part + 1] - offsets[part]
+            ahead = np.cumsum(sizes) - sizes
+            here = at[np.arange(int(sizes.sum())) + np.repeat(offsets[part] - ahead, sizes)]
+            rows = np.repeat(np.arange(len(part)), sizes)
+            f, v, total = _margin(p, rows, here, len(part))
+            e = ((1 / (1 + np.exp(-np.clip(f, -30, 30))) - y[part]) / len(part)).astype(np.float32)
+            order = np.argsort(here)
+            own = here[order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            used = own[first]
+            for k, g in (("w", e[rows]), ("v", e[rows, None] * (total[rows] - v))):
+                if len(used):
+                    g = np.add.reduceat(g[order], first, axis=0) + DECAY * p[k][used]
+                    seen[k][used] += g ** 2
+                    p[k][used] -= RATE * g / np.sqrt(seen[k][used])
+            seen["b"] += e.sum() ** 2
+            p["b"] -= RATE * e.sum() / np.sqrt(seen["b"])
     return p
 
 
 def predict(p: dict, slot: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     rows, at = _active(slot, raw, offsets)
-    f = p["b"] + np.bincount(rows, p["w"][at], minlength=n)
-    for v in p["v"].T:
-        f += 0.5 * (np.bincount(rows, v[at], minlength=n) ** 2 - np.bincount(rows, v[at] ** 2, minlength=n))
-    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    f, _, _ = _margin(p, rows, at, n)
+    return 1 / (1 + np.exp(-np.clip(f.astype(float), -30, 30)))
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, rows: int = labelled.SAMPLE_ROWS) -> tuple[dict, np.ndarray]:
@@ -124,21 +157,24 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, rows: int = labelled.SAMPLE
         for batch in batches:
             for a, b, raw, offsets in text_slices(batch.column(0)):
                 row, at = _active(shared.value, raw, offsets)
-                split = np.searchsorted(row, np.arange(1, b - a))
-                yield pa.record_batch([pa.array([x for x in np.split(at, split)], pa.list_(pa.int64())),
+                ends = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32))),
                                        batch.column(1).slice(a, b - a)], names=["at", "y"])
 
-    got = texts.mapInArrow(run, "at array<bigint>, y int").toArrow()
-    lists = [np.array(x, np.int64) for x in got["at"].to_pylist()]
-    y = (got["y"].to_numpy() > 0).astype(float)
-    order = sorted(range(len(y)), key=lambda i: (lists[i].tolist(), y[i]))  # rows come in any order
+    got = texts.mapInArrow(run, "at array<int>, y int").toArrow().combine_chunks()
+    y = (got["y"].to_numpy() > 0).astype(np.float32)
+    found = got["at"].chunk(0) if got["at"].num_chunks else pa.array([], pa.list_(pa.int32()))
+    at, ends = found.flatten().to_numpy(), np.append(0, np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False)))
+    lists = [at[a:b] for a, b in zip(ends[:-1].astype(int), ends[1:].astype(int))]
+    # rows come in any order: theirs is that of their terms
+    order = sorted(range(len(y)), key=lambda i: (lists[i].tobytes(), y[i]))
     return fit([lists[i] for i in order], y[order], len(selected)), selected
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
-    Null and empty texts have no terms and get the score of the base rate; a null id counts as held out; without
+    Null and empty texts have no terms and get the score of the machine's constant; a null id counts as held out; without
     labelled rows of both classes all scores are the smoothed base rate; an empty table gives no rows.  Labels, lang,
     source and id are no inputs of a score.
     """

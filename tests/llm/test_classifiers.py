@@ -29,6 +29,40 @@ def test_factorization_machine_learns_an_interaction():
     assert score([0, 1]) > 0 > max(score([0]), score([1]), score([0, 2]), score([1, 2]))
 
 
+def test_toxicity_finds_words_that_tell_only_together(spark):
+    """The label is "exactly one of two words": neither tells anything alone, and noise words are everywhere."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(4000):
+        a, b = (int(v) for v in rng.random(2) < 0.5)
+        words = [f"word{k}" for k in rng.integers(0, 300, 12)] + ["insultish"] * a + ["groupish"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(a != b)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    r = toxicity_fm.toxicity_scores(docs, marks).filter("held_out").join(marks, "doc_id").toPandas()
+    assert len(r) > 700 and (r.predicted == r.toxic).mean() > 0.95
+
+
+def test_toxicity_recall_beyond_a_constant(spark):
+    """On the larger table: most toxic rows found, hardly any clean row marked; a constant answer finds none."""
+    path = SF01.replace("0.01", "0.1")
+    docs, labels = table(spark, path, "documents"), table(spark, path, "labels")
+    r = toxicity_fm.toxicity_scores(docs, labels).filter("held_out").join(labels, "doc_id").toPandas()
+    assert r[r.toxic == 1].predicted.mean() > 0.85 and r[r.toxic == 0].predicted.mean() < 0.01
+
+
+def test_machine_equals_brute_force_over_pairs():
+    rng = np.random.default_rng(2)
+    p = {"b": np.array([0.3], np.float32), "w": rng.normal(size=9).astype(np.float32), "v": rng.normal(size=(9, 4)).astype(np.float32)}
+    texts = [np.array([0, 3, 8]), np.array([], int), np.array([5]), np.arange(9)]
+    rows = np.repeat(np.arange(4), [len(t) for t in texts])
+    f, _, _ = toxicity_fm._margin(p, rows, np.concatenate(texts).astype(int), 4)
+    for got, t in zip(f, texts):
+        want = 0.3 + p["w"][t].sum() + sum(float(p["v"][i] @ p["v"][j]) for k, i in enumerate(t) for j in t[k + 1:])
+        assert abs(got - want) < 1e-4
+
+
 def test_language_on_held_out_rows_and_mixed_text(spark):
     docs = table(spark, SF01, "documents")
     r = language_id.language_spans(docs).filter("held_out").join(docs, "doc_id").toPandas()
