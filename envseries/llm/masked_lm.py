@@ -87,6 +87,15 @@ def _tally(held: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(h.view(np.int64)), pa.array(s[at]), pa.array(n)], names=["h", "s", "n"])
 
 
+def class_of(words: Words, own: np.ndarray, order: np.ndarray, tail: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and classes; ``own`` are the hashes of words with a class of their own, sorted, ``order`` their places."""
+    h = words.hashes()
+    if not len(own):
+        return h, np.zeros(len(h), np.int32)
+    at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+    return h, np.where(own[at] == h, 1 + order[at], 1 + len(own) + ending(words) % tail).astype(np.int32)
+
+
 class Classes:
     """Class of every word: 0 is the outside of a text, then the ``own`` words by falling count, then the tail."""
 
@@ -98,13 +107,7 @@ class Classes:
         return 1 + len(self.own) + self.tail
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and classes."""
-        h = words.hashes()
-        if not len(self.own):
-            return h, np.zeros(len(h), np.int32)
-        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
-        return h, np.where(self.own[at] == h, 1 + self.order[at], 1 + len(self.own) + ending(words) % self.tail) \
-            .astype(np.int32)
+        return class_of(words, self.own, self.order, self.tail)
 
 
 def vocabulary(counts: Counts) -> tuple[Classes, DataFrame]:
@@ -186,9 +189,14 @@ def forward(p: dict, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate(within).T
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """Positions in ascending order of small non-negative numbers; 16 bits are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x, kind="stable")
+
+
 def by_group(group: np.ndarray):
     """(group, positions) of each group that occurs."""
-    order = np.argsort(group.astype(np.uint16) if not len(group) or group.max() < 1 << 16 else group, kind="stable")
+    order = stable_order(group)
     edges = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
         yield int(group[order[lo]]), order[lo:hi]
@@ -230,7 +238,7 @@ def step(p: dict, seen: dict, near: np.ndarray, target: np.ndarray) -> None:
     p["c"] -= rate * dh.sum(1)
     dh = np.ascontiguousarray(dh.T)
     for k in range(len(CONTEXT)):
-        order = np.argsort(near[k], kind="stable")
+        order = stable_order(near[k])
         row = near[k][order]
         begin = np.flatnonzero(np.diff(row, prepend=-1))
         count = np.diff(np.append(begin, n))
@@ -240,28 +248,32 @@ def step(p: dict, seen: dict, near: np.ndarray, target: np.ndarray) -> None:
 
 
 def encoded(docs: DataFrame, cls: Classes) -> DataFrame:
-    """One row per input row: rid, doc_id, key, ids (its words' classes as int32), tail (hashes of words that share a
-    class)."""
-    shared = docs.sparkSession.sparkContext.broadcast(cls)
+    """One row per input row: rid, doc_id, key, ids (its words' classes as int32), tail and times (hashes of its words that
+    share a class, and how often each occurs)."""
+    shared = docs.sparkSession.sparkContext.broadcast((cls.own, cls.order, cls.tail))  # arrays: executors know no class
 
     def run(batches):
-        cls = shared.value
+        own, order, tail = shared.value
         for batch in batches:
             for a, b, raw, offsets in text_slices(batch.column(2)):
                 words = Words(raw, offsets)
-                h, c = cls.of(words)
-                rare = c > len(cls.own)
+                h, c = class_of(words, own, order, tail)
+                rare = c > len(own)
                 at = np.append(0, np.cumsum(rare))[words.first]
+                h = h[rare].view(np.int64)
+                each = [np.unique(h[x:y], return_counts=True) for x, y in zip(at[:-1], at[1:])]
+                ends = np.append(0, np.cumsum([len(x) for x, _ in each])).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
+                         for x in ([x for x, _ in each], [n for _, n in each])]
                 data = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), b - a, [None, pa.py_buffer((words.first * 4).astype(np.int64)), pa.py_buffer(c)])
-                tail = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h[rare].view(np.int64)))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                                       data.cast(pa.binary()), tail], names=["doc_id", "key", "ids", "tail"])
+                                       data.cast(pa.binary()), *lists], names=["doc_id", "key", "ids", "tail", "times"])
 
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), text).alias("key"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return written(rows.mapInArrow(run, f"doc_id {kind}, key long, ids binary, tail array<long>")
+    return written(rows.mapInArrow(run, f"doc_id {kind}, key long, ids binary, tail array<long>, times array<long>")
                    .withColumn("rid", F.monotonically_increasing_id()), "lm-words")
 
 
@@ -387,8 +399,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.select("rid", "doc_id", "ids").mapInArrow(run, f"rid long, doc_id {kind}, n_words long, sum double")
-    tail = rows.select("rid", F.explode("tail").alias("h")).join(share, "h").groupBy("rid") \
-        .agg(F.sum("share").alias("share"))
+    tail = rows.select("rid", F.explode(F.arrays_zip(F.col("tail").alias("h"), F.col("times").alias("n"))).alias("t")) \
+        .select("rid", "t.h", "t.n").join(share, "h").groupBy("rid").agg(F.sum(F.col("share") * F.col("n")).alias("share"))
     total = F.col("sum") + F.coalesce("share", F.lit(0.0))
     mean = F.col("log_likelihood") / F.greatest("n_words", F.lit(1))
     return written(scored.join(written(tail, "lm-shares"), "rid", "left").select(
