@@ -45,9 +45,15 @@ def _keyed(df: DataFrame, series: Sequence[str], ts: str, bucket: str) -> DataFr
     return df.selectExpr("*", f"struct({', '.join(parts)}) AS {KEY}")
 
 
+def _buckets(rows: DataFrame, series: Sequence[str], aggs: Sequence) -> DataFrame:
+    """One row per ``_key`` with ``aggs``; series and bucket also as columns, so that all windows share their exchange."""
+    parts = [f"{KEY}.{_q(s)} AS {_q('_s_' + s)}" for s in series]
+    return rows.groupBy(KEY).agg(*aggs).selectExpr("*", *parts, f"{KEY}._bk AS _b")
+
+
 def _bucket_window(series: Sequence[str]) -> str:
-    by = f"PARTITION BY {', '.join(f'{KEY}.{_q(s)}' for s in series)} " if series else ""
-    return f"{by}ORDER BY {KEY}._bk"
+    by = f"PARTITION BY {', '.join(_q('_s_' + s) for s in series)} " if series else ""
+    return f"{by}ORDER BY _b"
 
 
 def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str],
@@ -82,7 +88,7 @@ def neighbours(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str
     for c in cols:
         aggs += [F.expr(f"max({_nn(_q(c), '_rn')}) AS {_q('_bl_' + c)}"),
                  F.expr(f"min({_nn(_q(c), '_rn')}) AS {_q('_bf_' + c)}")]
-    b = d.groupBy(KEY).agg(*aggs)
+    b = _buckets(d, series, aggs)
 
     bucket_w = _bucket_window(series)
     before = f"OVER ({bucket_w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -217,7 +223,7 @@ def with_halo(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str]
         own = f"named_struct('p', _rn, 'v', {_q(c)})"
         edge += [f"array_sort(collect_list(CASE WHEN _rn > _bn - {int(before)} THEN {own} END)) AS {_q('_t_' + c)}",
                  f"array_sort(collect_list(CASE WHEN _rn <= {int(after)} THEN {own} END)) AS {_q('_h_' + c)}"]
-    b = d.groupBy(KEY).agg(*[F.expr(e) for e in edge])
+    b = _buckets(d, series, [F.expr(e) for e in edge])
     w = _bucket_window(series)
     carried = []
     for c in cols:
