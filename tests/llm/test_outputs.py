@@ -189,7 +189,7 @@ def test_near_duplicate_stage_drops_rows_not_ids(spark):
     only = " ".join(f"u{i}" for i in range(40))
     rows = [row(1, text), row(2, text), row(2, only), row(3, near), row(4, "alone here"), row(4, "alone here"),
             row(None, only + " more"), row(None, "a null id of its own"), row(5, None), row(5, None), row(6, ""), row(7, text)]
-    docs = written(spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' AS kept", "1 AS n_shingles"), "test-docs")
+    docs = written(spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' AS kept", "1 AS n_shingles", "7 AS _key"), "test-docs")
     out = corpus_pipeline.near_duplicates(spark, docs, None)
     assert out.columns == docs.columns
     left = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
@@ -202,7 +202,7 @@ def test_near_duplicate_stage_drops_rows_not_ids(spark):
 def test_stages_on_awkward_rows(spark, awkward):
     """Every stage keeps its columns and loses no clean text: nulls, blanks, repeated ids, long texts, clashing columns."""
     import corpus_pipeline
-    docs = written(awkward, "test-awkward")
+    docs = written(awkward.selectExpr("*", "'leak' AS _leak_key"), "test-awkward")
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         out = written(stage(spark, docs, SF01), "test-awkward")
         assert out.columns == docs.columns, name
