@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envseries.llm import decontamination, mixing, near_dedup, quality_gam, token_shards
-from envseries.llm.storage import table, written
+from envseries.llm.storage import few, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +24,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents are told apart by id and text together, so an id that occurs with different texts, or a null id, loses
     nothing but near copies.  Of a row that is repeated one stays, unless its text has no words.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = written(near_dedup.near_groups(keyed, words=5, id_col="_key")
-                     .select(F.col("doc_id").alias("_key"), "kept", "n_shingles"), "pipeline-groups")
-    left = keyed.join(groups.filter("NOT kept").select("_key").distinct(), "_key", "left_anti")
-    twice = written(groups.filter("kept AND n_shingles > 0").groupBy("_key").count().filter("count > 1").select("_key"), "pipeline-twice")
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = written(near_dedup.near_groups(keyed, words=5, id_col=key)
+                     .select(F.col("doc_id").alias(key), "kept", "n_shingles"), "pipeline-groups")
+    gone = written(groups.filter("NOT kept").select(key).distinct(), "pipeline-gone")
+    left = keyed.join(few(gone), key, "left_anti")  # texts are not exchanged for a few keys
+    twice = written(groups.filter("kept AND n_shingles > 0").groupBy(key).count().filter("count > 1").select(key), "pipeline-twice")
     if not twice.isEmpty():
-        left = left.join(twice, "_key", "left_anti").unionByName(left.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+        left = left.join(twice, key, "left_anti").unionByName(left.join(twice, key, "left_semi").dropDuplicates([key]))
     return left.select(*docs.columns)
 
 
